@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.orphans import orphan_keys, salted_join
+from larkspur.operators.packed import split_packed
 from larkspur.operators.spikes import implausible_readings
 from larkspur.operators.timestamps import normalise_times
 from larkspur.operators.units import convert_units, load_in_megawatts
 from larkspur.session import table
 
 
+PACKED = {"clinical_trials": ("nct_id", ["conditions", "interventions"]), "pubmed_articles": ("pmid", ["authors"]), "congress_bills": ("bill_id", ["committees"])}
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        table(spark, sf_dir, name).select(F.lit(f"{name}.{col}").alias("field"), F.col(key).alias("row_key"), F.col(col).alias("text"))
+        for name, (key, cols) in PACKED.items()
+        for col in cols
+    ]
+    return split_packed(reduce(DataFrame.unionByName, parts), "field", "row_key", "text", ampersand_fields=("pubmed_articles.authors",))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the packed fields with its position."""
+    return _packed(spark, sf_dir).select("field", "row_key", "pos", "item").distinct()
+
+
+def p2_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts and values of each field are in which dialect."""
+    return _packed(spark, sf_dir).groupBy("field", "dialect").agg(F.count_if(F.col("pos") == 1).alias("n_texts"), F.count(F.lit(1)).alias("n_values"))
+
+
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(name: str, key: str, col: str, **how) -> DataFrame:
         df = table(spark, sf_dir, name)
@@ -119,6 +144,8 @@ def p7_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_dialects": p2_dialects,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_layouts": p4_layouts,
