@@ -1 +1,30 @@
-QUERIES: dict = {}
+"""The pN_ queries of the llm subpackage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm.names import link_names, name_pairs
+from larkspur.session import table
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = table(spark, sf_dir, "clinical_trials").select(F.lit("clinical_trials.sponsor").alias("field"), F.lit("organisation").alias("kind"), F.col("sponsor").alias("name"))
+    bills = table(spark, sf_dir, "congress_bills").select(F.lit("congress_bills.sponsor_name").alias("field"), F.lit("person").alias("kind"), F.col("sponsor_name").alias("name"))
+    return link_names(trials.unionByName(bills), "field", "kind", "name")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of different spellings of one entity within a field."""
+    return name_pairs(_names(spark, sf_dir))
+
+
+def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its entity and the number of spellings it is linked to."""
+    linked = _names(spark, sf_dir)
+    sizes = linked.groupBy("field", "entity").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    return linked.join(sizes, ["field", "entity"]).select("field", "name", "n_rows", "entity", "n_links")
+
+
+QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings}
