@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.language import language_segments
+from larkspur.llm.leaks import find_leaks
 from larkspur.llm.names import link_names, name_pairs
 from larkspur.session import table
 
@@ -27,4 +29,37 @@ def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.join(sizes, ["field", "entity"]).select("field", "name", "n_rows", "entity", "n_links")
 
 
-QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings}
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feeds = table(spark, sf_dir, "feeds").select(F.col("id").alias("feed_id"), "title", "language")
+    return language_segments(feeds, "feed_id", "title", "language")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of every title that is not wholly in its stated language."""
+    rows = _segments(spark, sf_dir)
+    wrong = F.col("stated").isNull() | (F.col("n_segments") > 1) | (F.col("language") != F.col("stated"))
+    return rows.filter(wrong & F.col("feed_id").isNotNull()).select("feed_id", "segment", "language").distinct()
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every title with its language and calibrated confidence."""
+    return _segments(spark, sf_dir).select("feed_id", "stated", "segment", "language", F.round("confidence", 4).alias("confidence"), "segment_text")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items leaked into them."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, into how many documents, and how completely."""
+    leaks = _leaks(spark, sf_dir)
+    benchmark = table(spark, sf_dir, "eval_items").select("item_id", "benchmark")
+    return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("matched_words").alias("most_words")).join(benchmark, "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p5_found": p5_found, "p5_segments": p5_segments, "p8_found": p8_found, "p8_items": p8_items}
