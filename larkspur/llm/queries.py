@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.language import language_segments
 from larkspur.llm.leaks import find_leaks
+from larkspur.llm.mixing import mix_sources
 from larkspur.llm.names import link_names, name_pairs
+from larkspur.llm.sentences import split_sentences
 from larkspur.session import table
 
 
@@ -62,4 +64,42 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("matched_words").alias("most_words")).join(benchmark, "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p5_found": p5_found, "p5_segments": p5_segments, "p8_found": p8_found, "p8_items": p8_items}
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached per wanted source, with any shortfall."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their number of copies."""
+    return _mix(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence unit of every document with its place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id is not null")
+    return split_sentences(docs, "doc_id", "text")
+
+
+def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and length of the sentence units of each language label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").filter("doc_id is not null")
+    units = split_sentences(docs.withColumn("key", F.struct("doc_id", "lang")), "key", "text").select("key.lang", (F.col("end_char") - F.col("start_char")).alias("n"))
+    return units.groupBy("lang").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").cast("bigint").alias("n_chars"), F.max("n").alias("longest"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_spellings": p1_spellings,
+    "p5_found": p5_found,
+    "p5_segments": p5_segments,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p9_mix": p9_mix,
+    "p9_documents": p9_documents,
+    "p10_found": p10_found,
+    "p10_lengths": p10_lengths,
+}
