@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,44 +29,66 @@ def script_counts(text: Column) -> dict[str, Column]:
     return {k: F.length(F.regexp_replace(text, f"[^{r}]", "")) for k, r in SCRIPTS.items()}
 
 
-def dominant_script(text: Column) -> Column:
-    """The script of most letters; the earlier in SCRIPTS on ties; null if none."""
-    n = script_counts(text)
-    most = F.greatest(*n.values())
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _counts(text: Column) -> Column:
+    return F.struct(*[c.alias(k) for k, c in script_counts(text).items()])
+
+
+def _dominant(n: Column) -> Column:
+    most = F.greatest(*[n[k] for k in SCRIPTS])
     out = None
-    for k, c in n.items():
-        out = F.when((c == most) & (most > 0), k) if out is None else out.when((c == most) & (most > 0), k)
+    for k in SCRIPTS:
+        hit = (n[k] == most) & (most > 0)
+        out = F.when(hit, k) if out is None else out.when(hit, k)
     return out
 
 
+def dominant_script(text: Column) -> Column:
+    """The script of most letters; the earlier in SCRIPTS on ties; null if none."""
+    return _let(_counts(text), _dominant)
+
+
 def latin_language(text: Column) -> Column:
     """Diacritics of vi, tr, pl, sv first; else common words (3 each) and trigrams; English wins ties."""
     low = F.lower(text)
+    keys = sorted(COMMON, key=lambda k: (k != "en", k))
     found = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))
-    scores = {}
-    for k in sorted(COMMON, key=lambda k: (k != "en", k)):
-        hits = F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in COMMON[k]])))
-        grams = sum((F.regexp_count(low, F.lit(g)) for g in TRIGRAMS[k]), F.lit(0))
-        scores[k] = hits * 3 + grams
-    most = F.greatest(*scores.values())
+
+    def scored(words: Column) -> Column:
+        parts = [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in COMMON[k]]))) * 3 + sum((F.regexp_count(low, F.lit(g)) for g in TRIGRAMS[k]), F.lit(0)) for k in keys]
+        return F.struct(*[p.alias(k) for p, k in zip(parts, keys)])
+
+    def best(n: Column) -> Column:
+        most = F.greatest(*[n[k] for k in keys])
+        out = None
+        for k in keys:
+            hit = (n[k] == most) & (most > 0)
+            out = F.when(hit, k) if out is None else out.when(hit, k)
+        return out.otherwise("unknown")
+
     out = None
     for k, chars in DIACRITICS.items():
         hit = F.length(F.regexp_replace(low, f"[^{chars}]", "")) >= 2
         out = F.when(hit, k) if out is None else out.when(hit, k)
-    for k, s in scores.items():
-        out = out.when((s == most) & (most > 0), k)
-    return out.otherwise("unknown")
+    return out.otherwise(_let(_let(found, scored), best))
 
 
 def script_language(text: Column) -> Column:
     """Language by dominant script; Han with more than 5 % kana is Japanese; Latin by words; under 3 bytes unknown."""
-    n = script_counts(text)
-    kana, total = n["hiragana"] + n["katakana"], sum(n.values(), F.lit(0))
-    script = dominant_script(text)
-    out = F.when((F.octet_length(text) < 3) | script.isNull(), "unknown").when(script == "han", F.when(kana > 0.05 * total, "ja").otherwise("zh"))
-    for k, lang in SCRIPT_LANGUAGE.items():
-        out = out.when(script == k, lang)
-    return out.otherwise("latin")
+
+    def judge(both: Column) -> Column:
+        n, script = both["n"], both["script"]
+        total = sum((n[k] for k in SCRIPTS), F.lit(0))
+        out = F.when((F.octet_length(text) < 3) | script.isNull(), "unknown").when(script == "han", F.when(n["hiragana"] + n["katakana"] > 0.05 * total, "ja").otherwise("zh"))
+        for k, lang in SCRIPT_LANGUAGE.items():
+            out = out.when(script == k, lang)
+        return out.otherwise("latin")
+
+    return _let(_let(_counts(text), lambda n: F.struct(n.alias("n"), _dominant(n).alias("script"))), judge)
 
 
 def simple_language(text: Column) -> Column:
@@ -74,8 +98,11 @@ def simple_language(text: Column) -> Column:
 
 def languages_by_share(text: Column, least: float = 0.05, most: int = 5) -> Column:
     """Scripts of at least ``least`` of the letters, by share, as "script:percent"."""
-    n = script_counts(text)
-    total = sum(n.values(), F.lit(0))
-    rows = F.array(*[F.struct((-F.floor(c * 100 / F.greatest(total, F.lit(1)))).alias("p"), F.lit(k).alias("k")) for k, c in n.items()])
-    kept = F.filter(rows, lambda r: r["p"] <= -int(least * 100))
-    return F.array_join(F.transform(F.slice(F.array_sort(kept), 1, most), lambda r: F.concat(r["k"], F.lit(":"), (-r["p"]).cast("string"))), ",")
+
+    def shares(n: Column) -> Column:
+        total = F.greatest(sum((n[k] for k in SCRIPTS), F.lit(0)), F.lit(1))
+        rows = F.array(*[F.struct((-F.floor(n[k] * 100 / total)).alias("p"), F.lit(k).alias("k")) for k in SCRIPTS])
+        kept = F.filter(rows, lambda r: r["p"] <= -int(least * 100))
+        return F.array_join(F.transform(F.slice(F.array_sort(kept), 1, most), lambda r: F.concat(r["k"], F.lit(":"), (-r["p"]).cast("string"))), ",")
+
+    return _let(_counts(text), shares)

@@ -1,2 +1,419 @@
+"""Queries of columns, joins, aggregates, windows and keyed tables with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from larkspur.functions import lang, scores, text, urls
+from larkspur.operators import curate, store
+from larkspur.plans.search import documents
+from larkspur.session import table
+from larkspur.streaming import metrics
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_D = "d AS (SELECT doc_id, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS title, source, lang, feed_id, created_at FROM documents)"
+_RANGES = {k: f"length(regexp_replace(text, '[^{r}]', '', 'g'))" for k, r in lang.SCRIPTS.items()}
+_S = "s AS (SELECT *, " + ", ".join(f"{v} AS n_{k}" for k, v in _RANGES.items()) + " FROM d)"
+_MOST = "greatest(" + ", ".join(f"n_{k}" for k in _RANGES) + ")"
+_DOM = "CASE " + " ".join(f"WHEN n_{k} = {_MOST} AND {_MOST} > 0 THEN '{k}'" for k in _RANGES) + " END"
+
+
+# ---- URLs ----
+@query("SELECT id, lower(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '^[^@]*@', '')) AS host FROM feeds")
+def url01_host(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feeds").select("id", urls.host(F.col("url")).alias("host"))
+
+
+@query("SELECT country, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(domain, '\\.(co|or)\\.kr$|\\.kr$') THEN 'kr' ELSE 'global' END AS country FROM feeds) GROUP BY country")
+def url02_country(s: SparkSession, d: str) -> DataFrame:
+    """Countries of feed domains (all end with a generic label in the test data)."""
+    return table(s, d, "feeds").groupBy(urls.country(F.col("domain")).alias("country")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(url), '/$', ''), '^https?://', ''), '^www\\.', '') AS norm FROM feeds")
+def url04_normalise(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feeds").select("id", urls.normal_url(F.col("url")).alias("norm"))
+
+
+_CAT = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(domain), '{w}')''' for w in urls.CATEGORY_WORDS[k])} THEN '{k}'" for k in sorted(urls.CATEGORY_WORDS)) + " ELSE 'general' END"
+
+
+@query(f"SELECT category, count(*) AS n FROM (SELECT {_CAT} AS category FROM feeds) GROUP BY category")
+def url07_category(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feeds").groupBy(urls.category(F.col("domain")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, CASE WHEN domain = 'grid.example' OR domain LIKE '%.grid.example' THEN 'premium' WHEN contains(domain, 'blogspot.com') OR contains(domain, 'wordpress.com') OR contains(domain, 'medium.com') OR contains(domain, 'substack.com') OR contains(domain, 'tumblr.com') THEN 'blog' ELSE 'standard' END AS quality FROM feeds")
+def url08_quality(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feeds").select("id", urls.domain_quality(F.col("domain"), ("grid.example",)).alias("quality"))
+
+
+# ---- languages ----
+@query(f"WITH {_D}, {_S} SELECT script, count(*) AS n FROM (SELECT {_DOM} AS script FROM s) GROUP BY script")
+def lng01_scripts(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).groupBy(lang.dominant_script(F.col("text")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_TOTAL = " + ".join(f"n_{k}" for k in _RANGES)
+_LANG2 = f"CASE WHEN strlen(text) < 3 OR script IS NULL THEN 'unknown' WHEN script = 'han' THEN CASE WHEN n_hiragana + n_katakana > 0.05 * ({_TOTAL}) THEN 'ja' ELSE 'zh' END " + " ".join(f"WHEN script = '{k}' THEN '{v}'" for k, v in lang.SCRIPT_LANGUAGE.items()) + " ELSE 'latin' END"
+
+
+@query(f"WITH {_D}, {_S} SELECT lang, detected, count(*) AS n FROM (SELECT lang, {_LANG2} AS detected FROM (SELECT *, {_DOM} AS script FROM s)) GROUP BY ALL")
+def lng02_language(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).groupBy("lang", lang.script_language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _latin_sql() -> str:
+    cols = []
+    for k in sorted(lang.COMMON, key=lambda k: (k != "en", k)):
+        words = ", ".join(f"'{w}'" for w in lang.COMMON[k])
+        grams = " + ".join(f"len(regexp_extract_all(low, '{g}'))" for g in lang.TRIGRAMS[k])
+        cols.append(f"3 * len(list_intersect(found, [{words}])) + {grams} AS s_{k}")
+    keys = sorted(lang.COMMON, key=lambda k: (k != "en", k))
+    most = "greatest(" + ", ".join(f"s_{k}" for k in keys) + ")"
+    dia = " ".join(f"WHEN length(regexp_replace(low, '[^{c}]', '', 'g')) >= 2 THEN '{k}'" for k, c in lang.DIACRITICS.items())
+    pick = " ".join(f"WHEN s_{k} = {most} AND {most} > 0 THEN '{k}'" for k in keys)
+    return f"WITH {_D}, l AS (SELECT lang, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+')) AS found FROM d), c AS (SELECT *, {', '.join(cols)} FROM l) SELECT lang, latin, count(*) AS n FROM (SELECT lang, CASE {dia} {pick} ELSE 'unknown' END AS latin FROM c) GROUP BY ALL"
+
+
+@query(_latin_sql())
+def lng03_latin(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).groupBy("lang", lang.latin_language(F.col("text")).alias("latin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def lng04_shares(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).select("doc_id", lang.languages_by_share(F.col("text")).alias("shares"))
+
+
+@query(f"WITH {_D} SELECT simple, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '[\\x{{AC00}}-\\x{{D7A3}}]{{3,}}') THEN 'ko' WHEN regexp_matches(text, '[\\x{{3040}}-\\x{{30FF}}]{{3,}}') THEN 'ja' WHEN regexp_matches(text, '[\\x{{4E00}}-\\x{{9FFF}}]{{3,}}') THEN 'zh' WHEN regexp_matches(text, '[\\x{{0400}}-\\x{{04FF}}]{{3,}}') THEN 'ru' ELSE 'en' END AS simple FROM d) GROUP BY simple")
+def lng06_simple(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).groupBy(lang.simple_language(F.col("text")).alias("simple")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- text ----
+@query("SELECT DISTINCT title, CASE WHEN slug = '' THEN 'vertical' ELSE slug END AS slug FROM (SELECT title, regexp_replace(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\x{AC00}-\\x{D7A3}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 30), '-+$', '') AS slug FROM feeds WHERE title IS NOT NULL)")
+def str16_slug(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feeds").filter("title is not null").select("title", text.slug(F.col("title")).alias("slug")).distinct()
+
+
+@query(f"WITH {_D} SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet FROM d")
+def str17_truncate(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).select("doc_id", text.truncate(F.col("text"), 200, "...").alias("snippet"))
+
+
+@query(f"WITH {_D} SELECT doc_id, regexp_replace(regexp_replace(title, '(?i)(trial)', '<mark>\\1</mark>', 'g'), '(?i)(note)', '<mark>\\1</mark>', 'g') AS marked FROM d")
+def str20_highlight(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).select("doc_id", text.highlight(F.col("title"), "trial note").alias("marked"))
+
+
+_SPAM = "(" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in text.SPAM) + ")"
+
+
+@query(f"WITH {_D} SELECT source, count(*) FILTER (WHERE strlen(text) < 20 OR {_SPAM} >= 3) AS n_spam, round(avg(greatest(1.0 - CASE WHEN strlen(text) < 50 THEN 0.3 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 AND length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 0.2 ELSE 0 END - CASE WHEN strlen(text) < 20 OR {_SPAM} >= 3 THEN 0.4 ELSE 0 END, 0)), 6) AS quality FROM d GROUP BY source")
+def str25_quality(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return documents(s, d).groupBy("source").agg(F.count_if(text.is_spam(t)).alias("n_spam"), F.round(F.avg(text.text_quality(t)), 6).alias("quality"))
+
+
+@query("WITH k AS (SELECT category, lower(trim(unnest(string_split(title, ' ')))) AS kw FROM feeds WHERE title IS NOT NULL) SELECT kw, count(DISTINCT category) AS n_categories FROM k WHERE kw <> '' GROUP BY kw")
+def set04_keywords(s: SparkSession, d: str) -> DataFrame:
+    k = table(s, d, "feeds").filter("title is not null").select("category", F.explode(F.split("title", " ")).alias("kw")).select("category", F.lower(F.trim("kw")).alias("kw"))
+    return k.filter("kw != ''").groupBy("kw").agg(F.countDistinct("category").alias("n_categories"))
+
+
+# ---- scores ----
+_KIND = "CASE WHEN domain LIKE '%lab%' THEN 'academic' WHEN feed_type = 'youtube' THEN 'blog' ELSE 'news' END"
+_ITEMS = "(id % 30)"
+_TRUST = f"least(greatest(0.5 + CASE WHEN kind IN ('academic', 'government') THEN 0.3 WHEN kind = 'news' THEN 0.15 WHEN kind = 'blog' THEN 0.05 ELSE 0 END + CASE WHEN items >= 20 THEN 0.1 WHEN items >= 5 THEN 0.05 ELSE 0 END + CASE WHEN coalesce(country = 'us', false) THEN 0.05 ELSE 0 END, 0), 1)"
+_F = f"f AS (SELECT *, {_KIND} AS kind, {_ITEMS} AS items FROM feeds), t AS (SELECT *, round(({_TRUST})::DOUBLE, 6) AS trust FROM f), r AS (SELECT *, CASE WHEN kind IN ('academic', 'government') OR trust >= 0.8 THEN 1 WHEN trust < 0.5 THEN 3 ELSE 2 END AS tier FROM t)"
+
+
+def _tiered(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "feeds")
+    f = f.withColumn("kind", F.when(F.col("domain").like("%lab%"), "academic").when(F.col("feed_type") == "youtube", "blog").otherwise("news")).withColumn("items", F.col("id") % 30)
+    ok = F.coalesce(F.col("country") == "us", F.lit(False))
+    f = f.withColumn("trust", F.round(scores.trust(F.col("kind"), F.col("items"), ok, F.lit(2)), 6))
+    return f.withColumn("tier", scores.tier(F.col("kind"), F.col("trust")))
+
+
+@query(f"WITH {_F} SELECT id, trust, tier::INT AS tier FROM r")
+def scr01_trust(s: SparkSession, d: str) -> DataFrame:
+    return _tiered(s, d).select("id", "trust", "tier")
+
+
+@query(f"WITH {_F} SELECT id, (least(items, 20) * 2 + CASE WHEN coalesce(title, '') <> '' THEN 10 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(url, '(?i)comment') THEN 20 ELSE 0 END)::BIGINT AS score FROM r")
+def scr02_feed_score(s: SparkSession, d: str) -> DataFrame:
+    return _tiered(s, d).select("id", scores.feed_score(F.col("items"), F.col("title"), F.col("url")).cast("bigint").alias("score"))
+
+
+@query(f"WITH {_F} SELECT tier::INT AS tier, count(*) AS n, round(avg(CASE WHEN quality_score IS NOT NULL THEN least(greatest(quality_score / 100 + CASE tier WHEN 1 THEN 0.2 WHEN 3 THEN -0.1 ELSE 0 END, 0), 1) END), 6) AS adjusted FROM r GROUP BY tier")
+def scr04_adjusted(s: SparkSession, d: str) -> DataFrame:
+    f = _tiered(s, d)
+    q = F.col("quality_score") / 100
+    return f.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(q.isNotNull(), scores.tier_adjusted(q, F.col("tier")))), 6).alias("adjusted"))
+
+
+@query("SELECT id, round(1 / (1 + exp(-(quality_score - 50) / 10)), 6) AS logistic, floor(quality_score * 100 + 0.5) / 100 AS two FROM feeds")
+def mth01_logistic(s: SparkSession, d: str) -> DataFrame:
+    q = F.col("quality_score")
+    return table(s, d, "feeds").select("id", F.round(scores.logistic(q, 50.0, 10.0), 6).alias("logistic"), scores.two_decimals(q).alias("two"))
+
+
+# ---- curation ----
+@query(f"WITH {_F}, q AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY trust DESC, id) AS rn FROM r), k AS (SELECT * FROM q WHERE rn <= CASE tier WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE 15 END ORDER BY tier, trust DESC, id LIMIT 60), rest AS (SELECT * FROM q WHERE rn > CASE tier WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE 15 END ORDER BY tier, trust DESC, id LIMIT greatest(0, 40 - (SELECT count(*) FROM k))) SELECT id, tier::INT AS tier, trust FROM (SELECT * FROM k UNION ALL SELECT * FROM rest)")
+def win01_tier_quota(s: SparkSession, d: str) -> DataFrame:
+    return curate.tier_quota(_tiered(s, d).select("id", "tier", "trust"), "id", 60, 40)
+
+
+@query("WITH t AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS turn FROM feeds WHERE category IS NOT NULL) SELECT id, category, turn FROM t ORDER BY turn, category, id LIMIT 50")
+def win03_round_robin(s: SparkSession, d: str) -> DataFrame:
+    return curate.round_robin(table(s, d, "feeds").filter("category is not null").select("id", "category"), "category", "id", 50)
+
+
+@query("WITH w AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT day::DATE AS day, event_type, n, round(n / lag(n) OVER (PARTITION BY event_type ORDER BY day), 6) AS ratio FROM w")
+def win08_period_ratio(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("ratio", F.round(F.col("n") / F.lag("n").over(W.partitionBy("event_type").orderBy("day")), 6))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) SELECT user_id, event_type, event_id FROM r WHERE rn = 1")
+def win09_first_per_key(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select("user_id", "event_type", "event_id", "ts")
+    return curate.keep_first(e.withColumn("k", F.struct("user_id", "event_type")), F.col("k"), "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean3 FROM events")
+def win07_rolling_mean(s: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
+    return table(s, d, "events").select("user_id", "event_id", F.round(F.avg("value").over(w), 6).alias("mean3"))
+
+
+@query(f"WITH {_F} SELECT t.tier::INT AS tier, coalesce(n, 0) AS n FROM (VALUES (1), (2), (3)) t(tier) LEFT JOIN (SELECT tier, count(*) AS n FROM r GROUP BY tier) USING (tier)")
+def agg17_tier_histogram(s: SparkSession, d: str) -> DataFrame:
+    return curate.tier_histogram(_tiered(s, d))
+
+
+RATIOS = {"en": 0.4, "de": 0.15, "fr": 0.1, "ko": 0.2, "vi": 0.15}
+_RATIO = ", ".join(f"('{k}', {int(v * 5000)})" for k, v in RATIOS.items())
+
+
+@query(f"WITH w(lang, target) AS (VALUES {_RATIO}), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT lang, target::BIGINT AS target, coalesce(n, 0) AS n, target - coalesce(n, 0) AS gap, target - coalesce(n, 0) > 500 AS critical FROM w LEFT JOIN n USING (lang) WHERE target > coalesce(n, 0)")
+def agg18_language_gaps(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return curate.gaps(n, RATIOS, 5000, 500)
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY id) AS rn FROM feeds) SELECT id, domain FROM r WHERE rn = 1")
+def set02_dedupe_domain(s: SparkSession, d: str) -> DataFrame:
+    return curate.keep_first(table(s, d, "feeds").select("id", "domain"), F.col("domain"), "id")
+
+
+@query("WITH f AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(url), '/$', ''), '^https?://', ''), '^www\\.', '') AS norm FROM feeds), r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY id) AS rn FROM f) SELECT id, norm FROM r WHERE rn = 1")
+def set03_dedupe_url(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "feeds").select("id", urls.normal_url(F.col("url")).alias("norm"))
+    return curate.keep_first(f, F.col("norm"), "id")
+
+
+@query("SELECT 'feed' AS kind, count(*) AS n, count(DISTINCT domain) AS n_hosts FROM feeds UNION ALL SELECT 'document', count(*), count(DISTINCT regexp_extract(url, '^https?://([^/]*)', 1)) FROM documents")
+def set01_union_sources(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "feeds").select(F.lit("feed").alias("kind"), F.col("domain").alias("host"))
+    b = table(s, d, "documents").select(F.lit("document").alias("kind"), F.when(F.col("url").isNotNull(), urls.host(F.col("url"))).alias("host"))
+    return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("host").alias("n_hosts"))
+
+
+# ---- joins ----
+@query("SELECT d.doc_id, coalesce(f.domain, 'Unknown') AS domain, f.category FROM documents d LEFT JOIN feeds f ON d.feed_id = f.id")
+def jon01_left(s: SparkSession, d: str) -> DataFrame:
+    """Documents with their feeds; the salt keeps one feed with a third of all documents from one task."""
+    docs, feeds = table(s, d, "documents").select("doc_id", F.col("feed_id").alias("id")), table(s, d, "feeds").select("id", "domain", "category")
+    from larkspur.operators.orphans import salted_join
+
+    return salted_join(docs, feeds, ["id"], by="doc_id").select("doc_id", F.coalesce("domain", F.lit("Unknown")).alias("domain"), "category")
+
+
+@query("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey")
+def jon02_inner(s: SparkSession, d: str) -> DataFrame:
+    o, c, n = table(s, d, "orders"), table(s, d, "customer"), table(s, d, "nation")
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "c_name", "n_name")
+
+
+@query("WITH h AS (SELECT doc_id, regexp_extract(lower(url), '^https?://([^/]*)', 1) AS host FROM documents WHERE url IS NOT NULL), x AS (SELECT doc_id, array_to_string(labels[i:], '.') AS suffix FROM (SELECT doc_id, string_split(host, '.') AS labels, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM h)), k AS (SELECT DISTINCT doc_id, f.domain FROM x JOIN feeds f ON f.domain = x.suffix) SELECT d.doc_id, k.domain FROM documents d LEFT JOIN k USING (doc_id)")
+def jon03_contains_host(s: SparkSession, d: str) -> DataFrame:
+    """Documents whose host is, or lies under, the domain of a feed: an equi-join on host suffixes, where a containment test would compare all pairs."""
+    docs = table(s, d, "documents").select("doc_id", F.split(urls.host(F.col("url")), r"\.").alias("labels"))
+    suffixes = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("labels"), F.lit(1))), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))).alias("domain"))
+    hits = suffixes.join(table(s, d, "feeds").select("domain").distinct(), "domain").distinct()
+    return docs.select("doc_id").join(hits, "doc_id", "left")
+
+
+@query("SELECT c.c_custkey, count(o.o_orderkey) AS n_orders, round(coalesce(sum(o.o_totalprice), 0), 2) AS total FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+def jon05_left_agg(s: SparkSession, d: str) -> DataFrame:
+    """Orders are summed by customer before the join, so it moves one row a customer."""
+    o = table(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("t"))
+    c = table(s, d, "customer")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_orders"), F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"))
+
+
+@query("SELECT id, url FROM feeds f WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.feed_id = f.id)")
+def jon10_anti(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feeds").select("id", "url").join(table(s, d, "documents").select(F.col("feed_id").alias("id")).distinct(), "id", "left_anti")
+
+
+# ---- aggregates ----
+@query("SELECT count(*) AS n, round(avg(quality_score), 6) AS avg_quality, count(*) FILTER (WHERE status = 'active') AS n_active FROM feeds")
+def agg01_totals(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "feeds").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality_score"), 6).alias("avg_quality"), F.count_if(F.col("status") == "active").alias("n_active"))
+
+
+_DIMS = ["language", "country", "category", "status", "feed_type"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS dimension, coalesce({x}, '') AS key, count(*) AS n FROM feeds GROUP BY coalesce({x}, '')" for x in _DIMS))
+def agg02_group_stats(s: SparkSession, d: str) -> DataFrame:
+    return store.group_stats(table(s, d, "feeds"), _DIMS)
+
+
+@query("SELECT feed_id, count(*) AS n, count(*) FILTER (WHERE text ILIKE '%trial%') AS n_fit FROM documents GROUP BY feed_id HAVING count(*) > 5 AND count(*) FILTER (WHERE text ILIKE '%trial%') / count(*) < 0.2")
+def agg05_having(s: SparkSession, d: str) -> DataFrame:
+    """Feeds with more than five documents of which under a fifth fit the topic."""
+    g = table(s, d, "documents").groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").ilike("%trial%")).alias("n_fit"))
+    return g.filter((F.col("n") > 5) & (F.col("n_fit") / F.col("n") < 0.2))
+
+
+_TABLES = ["documents", "feeds", "clinical_trials", "pubmed_articles", "congress_bills", "congress_votes", "legal_cases", "ercot_prices", "eia_series", "entsoe_load"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
+def agg06_table_counts(s: SparkSession, d: str) -> DataFrame:
+    out = None
+    for t in _TABLES:
+        one = table(s, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("WITH r AS (SELECT category, substr(title, 1, 50) AS t, row_number() OVER (PARTITION BY category ORDER BY id) AS rn FROM feeds), c AS (SELECT category, count(*) AS n FROM feeds GROUP BY category), l AS (SELECT category, string_agg(coalesce(t, ''), ' / ' ORDER BY rn) AS samples FROM r WHERE rn <= 3 GROUP BY category) SELECT c.category, c.n, l.samples FROM c JOIN l ON c.category IS NOT DISTINCT FROM l.category")
+def agg16_samples(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "feeds").select("id", "category", F.coalesce(F.substring("title", 1, 50), F.lit("")).alias("t"))
+    r = f.withColumn("rn", F.row_number().over(W.partitionBy("category").orderBy("id")))
+    return r.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", "t")))), lambda x: x["t"]), " / ").alias("samples"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
+def agg21_latency(s: SparkSession, d: str) -> DataFrame:
+    return metrics.latency(table(s, d, "events"), ["event_type"])
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
+def agg22_counters(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT chamber, count(*) AS total, count(*) FILTER (WHERE result = 'Passed') AS passed, floor(100.0 * count(*) FILTER (WHERE result = 'Passed') / count(*))::BIGINT AS percent FROM congress_votes GROUP BY chamber")
+def agg25_rate(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "congress_votes").groupBy("chamber").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("result") == "Passed").alias("passed"))
+    return v.withColumn("percent", F.floor(F.col("passed") * 100 / F.col("total")))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def agg_pricing_summary(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    price = F.col("l_extendedprice")
+    return x.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_base"), F.round(F.sum(price * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count(F.lit(1)).alias("n"))
+
+
+# ---- filters ----
+@query("SELECT id, quality_score FROM feeds WHERE status = 'active' AND feed_type = 'rss' ORDER BY quality_score DESC NULLS LAST, id LIMIT 25")
+def flt01_list(s: SparkSession, d: str) -> DataFrame:
+    return store.list_rows(table(s, d, "feeds").select("id", "quality_score", "status", "feed_type"), {"status": "active", "feed_type": "rss", "country": None}, [F.desc_nulls_last("quality_score"), "id"], 25).select("id", "quality_score")
+
+
+@query("SELECT doc_id FROM documents WHERE created_at > TIMESTAMP '2024-01-01' AND created_at <= TIMESTAMP '2024-07-01'")
+def flt03_window(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("created_at")
+    return table(s, d, "documents").filter((t > F.lit("2024-01-01").cast("timestamp")) & (t <= F.lit("2024-07-01").cast("timestamp"))).select("doc_id")
+
+
+@query("SELECT doc_id, url FROM documents WHERE (text IS NULL OR text = '') AND url NOT ILIKE '%youtube%' ORDER BY doc_id LIMIT 50")
+def flt04_missing(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").filter((F.col("text").isNull() | (F.col("text") == "")) & ~F.col("url").ilike("%youtube%"))
+    return x.select("doc_id", "url").orderBy("doc_id").limit(50)
+
+
+@query("SELECT DISTINCT series_id, name FROM eia_series WHERE name ILIKE '%gas%' OR description ILIKE '%gas%'")
+def flt06_like(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "eia_series").filter(F.col("name").ilike("%gas%") | F.col("description").ilike("%gas%")).select("series_id", "name").distinct()
+
+
+# ---- keyed tables ----
+def _batches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Trials as first stored, and the rows that came later for some of them."""
+    t = table(s, d, "clinical_trials").select("nct_id", "title", "phase", "status", "created_at")
+    return t.filter(F.col("created_at") <= F.lit("2024-10-01").cast("timestamp")), t.filter(F.col("created_at") > F.lit("2024-10-01").cast("timestamp"))
+
+
+_B = "o AS (SELECT nct_id, title, phase, status, created_at FROM clinical_trials WHERE created_at <= TIMESTAMP '2024-10-01'), n AS (SELECT nct_id, title, phase, status, created_at FROM clinical_trials WHERE created_at > TIMESTAMP '2024-10-01')"
+
+
+@query(f"WITH {_B}, b AS (SELECT *, 0 AS batch FROM o UNION ALL SELECT *, 1 FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY nct_id ORDER BY batch DESC, created_at DESC) AS rn FROM b) SELECT nct_id, title, status FROM r WHERE rn = 1")
+def snk01_replace(s: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(s, d)
+    return store.replace_on_key(old, new, "nct_id", "created_at").select("nct_id", "title", "status")
+
+
+@query(f"WITH {_B}, r AS (SELECT *, row_number() OVER (PARTITION BY nct_id ORDER BY created_at) AS rn FROM n) SELECT nct_id, title, status FROM r WHERE rn = 1 AND nct_id NOT IN (SELECT nct_id FROM o)")
+def snk02_ignore(s: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(s, d)
+    return store.insert_ignore(old, new, "nct_id", "created_at").select("nct_id", "title", "status")
+
+
+@query(f"WITH {_B}, o1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nct_id ORDER BY created_at) AS rn FROM o) WHERE rn = 1), n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nct_id ORDER BY created_at) AS rn FROM n) WHERE rn = 1) SELECT coalesce(n1.nct_id, o1.nct_id) AS nct_id, CASE WHEN o1.nct_id IS NOT NULL THEN o1.title ELSE n1.title END AS title, coalesce(n1.phase, o1.phase) AS phase, CASE WHEN n1.nct_id IS NOT NULL THEN n1.status ELSE o1.status END AS status FROM o1 FULL JOIN n1 ON o1.nct_id = n1.nct_id")
+def snk03_upsert(s: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(s, d)
+    first = lambda df: curate.keep_first(df, F.col("nct_id"), "created_at").drop("created_at")
+    return store.upsert(first(old), first(new), "nct_id", ["phase"], ["status"]).select("nct_id", "title", "phase", "status")
+
+
+@query("SELECT id, quality_score FROM feeds WHERE NOT coalesce(quality_score < 40, false)")
+def snk06_prune(s: SparkSession, d: str) -> DataFrame:
+    return store.delete_where(table(s, d, "feeds").select("id", "quality_score"), F.col("quality_score") < 40)
+
+
+@query("SELECT id, CASE WHEN created_at < 1700000000 AND status = 'active' THEN 'inactive' ELSE status END AS status FROM feeds")
+def snk07_stale(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "feeds").select("id", "status", "created_at")
+    return store.update_where(f, (F.col("created_at") < 1_700_000_000) & (F.col("status") == "active"), "status", F.lit("inactive")).select("id", "status")
+
+
+# ---- event windows, batch form ----
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stm03_tumbling(s: SparkSession, d: str) -> DataFrame:
+    return metrics.tumbling(table(s, d, "events"), "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("WITH b AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM b GROUP BY ALL")
+def stm_sliding(s: SparkSession, d: str) -> DataFrame:
+    return metrics.tumbling(table(s, d, "events"), "1 hour", "30 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, session")
+def stm_session(s: SparkSession, d: str) -> DataFrame:
+    return metrics.sessions(table(s, d, "events"), "30 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
