@@ -50,12 +50,12 @@ def orphan_keys(refs: DataFrame, keys: DataFrame, on: list[str], match: str = "s
 
 
 def spread(df: DataFrame, by: str, salts: int) -> DataFrame:
-    """``df`` with a column ``_salt`` in 0..salts-1 derived from ``by``."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    """``df`` with a column ``__salt`` in 0..salts-1 derived from ``by``."""
+    return df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "left", salts: int = 16) -> DataFrame:
     """Joins ``big`` to ``small`` (unique on ``on``); the rows of one hot key go
     to ``salts`` tasks, chosen by the hash of column ``by`` of ``big``."""
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread(big, by, salts).join(copies, [*on, "_salt"], how).drop("_salt")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread(big, by, salts).join(copies, [*on, "__salt"], how).drop("__salt")

@@ -190,8 +190,8 @@ def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: st
     None). ``month_first``: slashed dates of every source are month first, so
     the day-first layout is not in the mixture. ``ambiguous`` is true where the
     best posterior is below ``sure``."""
-    df = df.withColumn("_text", F.col(col).cast("string")).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit(""))
-    df = df.drop(*[c for c in OUTPUT if c in df.columns])
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in OUTPUT]
+    df = df.select(*keep, F.col(f"`{col}`").cast("string").alias("__text"), (F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit("")).alias("__source"))
 
     @F.pandas_udf("struct<layouts: array<string>, forms: array<string>, sig: string>")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -204,30 +204,29 @@ def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: st
                 rows.append(([p[0] for p in found], [p[1] for p in found], "|".join(p[0] for p in found)))
             yield pd.DataFrame(rows, columns=["layouts", "forms", "sig"])
 
-    df = df.withColumn("_p", read("_text"))
-    keep = [F.col(f"`{c}`") for c in df.columns if not c.startswith("_")]
-    first, sure_one = F.try_element_at("_p.forms", F.lit(1)), F.try_element_at("_p.layouts", F.lit(1))
+    df = df.withColumn("__p", read("__text"))
+    first, sure_one = F.try_element_at("__p.forms", F.lit(1)), F.try_element_at("__p.layouts", F.lit(1))
     if month_first:  # no layouts compete
         found = first.isNotNull()
         return df.select(*keep, first.alias("normal_form"), sure_one.alias("layout"), F.when(found, F.lit(1.0)).alias("posterior"), F.when(found, F.lit(False)).alias("ambiguous"))
-    counts = df.select("_source", F.col("_p.sig").alias("_sig")).filter("_sig != ''").groupBy("_source", "_sig").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select("__source", F.col("__p.sig").alias("__sig")).filter("__sig != ''").groupBy("__source", "__sig").agg(F.count(F.lit(1)).alias("n"))
 
     def em(part: pd.DataFrame) -> pd.DataFrame:
-        seen = [(tuple(s.split("|")), int(n)) for s, n in zip(part["_sig"], part["n"])]
+        seen = [(tuple(s.split("|")), int(n)) for s, n in zip(part["__sig"], part["n"])]
         # a slashed text read one way only because the other is impossible decides the order; one that can be read both ways does not
         weight = mixture(seen, {"slash_mdy": 0.05})
         rows = []
         for s, _ in seen:
             best = max(s, key=lambda x: (weight[x], -s.index(x)))
             rows.append(("|".join(s), best, weight[best] / sum(weight[x] for x in s)))
-        out = pd.DataFrame(rows, columns=["_sig", "_best", "_post"])
-        out.insert(0, "_source", part["_source"].iloc[0])
+        out = pd.DataFrame(rows, columns=["__sig", "__best", "__post"])
+        out.insert(0, "__source", part["__source"].iloc[0])
         return out
 
     # a group holds the few signatures of one source; only ambiguous ones need a look-up
-    chosen = counts.groupBy("_source").applyInPandas(em, "_source string, _sig string, _best string, _post double").filter(F.col("_sig").contains("|"))
-    df = df.withColumn("_sig", F.col("_p.sig")).join(small_side(cut(chosen)), ["_source", "_sig"], "left")
-    at = F.when(F.col("_best").isNull(), F.lit(1)).otherwise(F.array_position("_p.layouts", F.col("_best")).cast("int"))
+    chosen = counts.groupBy("__source").applyInPandas(em, "__source string, __sig string, __best string, __post double").filter(F.col("__sig").contains("|"))
+    df = df.withColumn("__sig", F.col("__p.sig")).join(small_side(cut(chosen)), ["__source", "__sig"], "left")
+    at = F.when(F.col("__best").isNull(), F.lit(1)).otherwise(F.array_position("__p.layouts", F.col("__best")).cast("int"))
     found = first.isNotNull()
-    post = F.coalesce("_post", F.lit(1.0))
-    return df.select(*keep, F.try_element_at("_p.forms", at).alias("normal_form"), F.coalesce("_best", sure_one).alias("layout"), F.when(found, post).alias("posterior"), F.when(found, post < sure).alias("ambiguous"))
+    post = F.coalesce("__post", F.lit(1.0))
+    return df.select(*keep, F.try_element_at("__p.forms", at).alias("normal_form"), F.coalesce("__best", sure_one).alias("layout"), F.when(found, post).alias("posterior"), F.when(found, post < sure).alias("ambiguous"))

@@ -172,12 +172,13 @@ def alias_dictionary(spellings: DataFrame, nearest: float = 0.34, gram: int = 2)
 
 def convert_units(df: DataFrame, group: str, units: str, value: str, texts: list[str]) -> DataFrame:
     """Adds ``unit``, ``factor`` (null: not known) and ``common_value``."""
-    df = df.drop(*[c for c in ("unit", "factor", "common_value") if c in df.columns and c not in (units, value)])
-    df = df.withColumn("unit_group", F.col(group)).withColumn("spelling", stated_unit(F.col(units), *[F.col(t) for t in texts]))
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("unit", "factor", "common_value")]
+    named = df.select(*keep, F.col(f"`{group}`").alias("__group"), stated_unit(F.col(f"`{units}`"), *[F.col(f"`{t}`") for t in texts]).alias("__spelling"), F.col(f"`{value}`").alias("__value"))
     # distinct spellings only: pre-aggregated before any comparison
-    spelled = df.select("unit_group", "spelling").dropna().groupBy("unit_group", "spelling").count().drop("count")
-    aliases = small_side(cut(alias_dictionary(spelled).select("unit_group", "spelling", "unit", "factor")))
-    return df.join(aliases, ["unit_group", "spelling"], "left").withColumn("common_value", F.col(value) * F.col("factor")).drop("unit_group", "spelling")
+    spelled = named.select(F.col("__group").alias("unit_group"), F.col("__spelling").alias("spelling")).dropna().distinct()
+    aliases = alias_dictionary(spelled).select(F.col("unit_group").alias("__group"), F.col("spelling").alias("__spelling"), "unit", "factor")
+    joined = named.join(small_side(cut(aliases)), ["__group", "__spelling"], "left")
+    return joined.select(*keep, "unit", "factor", (F.col("__value") * F.col("factor")).alias("common_value"))
 
 
 # What a load may be recorded as, in megawatts: MW, GW, kW, and MWh, GWh, kWh of a quarter hour.
@@ -192,16 +193,16 @@ def load_in_megawatts(df: DataFrame, area: str, time: str, load: str, forecast:
     its neighbours stands in, else the area's mean forecast. ``time``: seconds
     since 1970. A load that is null or not positive, or an area without any
     forecast, gives null."""
-    at = F.floor(F.col(time) / span_s)
-    known = df.filter(F.col(forecast) > 0).select(F.col(area).alias("_area"), at.alias("_at"), F.col(forecast).alias("_f"))
-    hourly = known.groupBy("_area", "_at").agg(F.sum("_f").alias("s"), F.count("_f").alias("n"))
-    hourly = cut(hourly.select("_area", F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1)).alias("_at"), "s", "n").groupBy("_area", "_at").agg((F.sum("s") / F.sum("n")).alias("_near")))
-    areas = known.groupBy("_area").agg(F.avg("_f").alias("_all"))
-    has, lacks = df.filter(F.col(forecast) > 0), df.filter(F.coalesce(F.col(forecast), F.lit(0.0)) <= 0)
-    has = has.withColumn("_level", F.col(forecast))
-    lacks = lacks.withColumn("_area", F.col(area)).withColumn("_at", at).join(hourly, ["_area", "_at"], "left").join(areas, "_area", "left")
-    lacks = lacks.withColumn("_level", F.coalesce("_near", "_all")).drop("_area", "_at", "_near", "_all")
-    both = has.unionByName(lacks)
-    off = F.array(*[F.struct(F.abs(F.ln(F.col(load) * f / F.col("_level"))).alias("off"), F.lit(f).alias("factor")) for f in LOAD_FACTORS])
-    best = F.when((F.col(load) > 0) & (F.col("_level") > 0), F.array_min(off)["factor"])
-    return both.withColumn("factor", best).withColumn("common_value", F.col(load) * F.col("factor")).drop("_level")
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("factor", "common_value")]
+    rows = df.select(*keep, F.col(f"`{area}`").alias("__area"), F.floor(F.col(f"`{time}`") / span_s).alias("__at"), F.col(f"`{load}`").alias("__load"), F.when(F.col(f"`{forecast}`") > 0, F.col(f"`{forecast}`")).alias("__f"))
+    known = rows.select("__area", "__at", "__f").filter("__f IS NOT NULL")
+    hourly = known.groupBy("__area", "__at").agg(F.sum("__f").alias("s"), F.count("__f").alias("n"))
+    around = hourly.select("__area", F.explode(F.array(F.col("__at") - 1, F.col("__at"), F.col("__at") + 1)).alias("__at"), "s", "n")
+    near = cut(around.groupBy("__area", "__at").agg((F.sum("s") / F.sum("n")).alias("__near")))
+    areas = hourly.groupBy("__area").agg((F.sum("s") / F.sum("n")).alias("__all"))
+    has = rows.filter("__f IS NOT NULL").withColumn("__level", F.col("__f"))
+    lacks = rows.filter("__f IS NULL").join(near, ["__area", "__at"], "left").join(areas, "__area", "left").withColumn("__level", F.coalesce("__near", "__all"))
+    both = has.unionByName(lacks.drop("__near", "__all"))
+    off = F.array(*[F.struct(F.abs(F.ln(F.col("__load") * f / F.col("__level"))).alias("off"), F.lit(f).alias("factor")) for f in LOAD_FACTORS])
+    best = F.when((F.col("__load") > 0) & (F.col("__level") > 0), F.array_min(off)["factor"])
+    return both.withColumn("__factor", best).select(*keep, F.col("__factor").alias("factor"), (F.col("__load") * F.col("__factor")).alias("common_value"))
