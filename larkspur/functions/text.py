@@ -170,7 +170,7 @@ def contains_folded(items: Column, x: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def json_keywords(text: Column) -> Column:
