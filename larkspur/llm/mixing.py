@@ -35,12 +35,9 @@ _loaded: dict[str, object] = {}
 def _encoding(path: str):
     """The tokenizer at ``path``, loaded once in each worker."""
     if path not in _loaded:
-        import sys
-
         if path.endswith(".tiktoken"):
             import tiktoken
 
-            sys.path.insert(0, path.rpartition("/")[0].rpartition("/")[0])
             try:
                 from public_tokenizers import PATTERN
             except ImportError:  # Fixed value: the splitting pattern of byte-level BPE

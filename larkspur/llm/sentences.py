@@ -43,6 +43,7 @@ _ENDERS = frozenset(".!?…。！？｡．।॥؟")
 _WIDE_ENDERS = frozenset("。！？｡．।॥؟")
 _LIST = re.compile(r"[ \t]*(?:[-*•‣▪–+]|(\d{1,3})[.)]|\(?([a-zA-Z])\))[ \t]+\S")
 _THAI = re.compile(r"[฀-๿]")
+_WIDE = re.compile(r"[\u2E80-\uFFFF]")
 _SPACE = re.compile(r"\s+")
 
 
@@ -331,7 +332,7 @@ def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
             if start is None:
                 line = text[a:b].strip()
                 alone = line and line[-1] not in ".!?…。！？।:,;)”\"»" and len(line) < 60 and k + 1 < len(lines) and not listed[k + 1]
-                if alone and k == 0:
+                if alone and k == 0 and len(line) >= 8 and len(line.split()) > 1 - bool(_WIDE.search(line)):
                     first = text[lines[1][0] : lines[1][1]].split(None, 1)[0]
                     if len(line) + 1 + len(first) < width - 10 and text[lines[1][0]].isupper():
                         yield "line", a, b
