@@ -7,9 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from larkspur.plans import catalog, cleaning, search
+from larkspur.plans import catalog, cleaning, more, search
 
-MODULES = (cleaning, search, catalog)
+MODULES = (cleaning, search, catalog, more)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}
 
