@@ -12,8 +12,9 @@ parses which are shortest by letters alone, so that the fragments of wrong
 parses do not vouch for one another.
 
 Scale: texts are made distinct before counting; values are counted with partial
-aggregation; look-ups of hot values and hot texts are salted. Texts with a
-single possible parse are never looked up.
+aggregation; the codes of hot values, of which there can be but few, are
+broadcast, the others joined by shuffle; hot texts are salted. Texts with a
+single possible parse are never scored.
 
 Defined results: null, empty and blank texts have no values; empty slots do not
 count; positions run from 1; rows repeated under one key with one text give one
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.orphans import salted_join
+from larkspur.session import cut
 
 #: delimiters that separate wherever they stand outside quotes, by name
 STRONG = {"semicolon": r"[;；]", "pipe": r"\|+", "bullet": r"[•·]", "tab": r"\t", "line": r"\r\n|\r|\n", "break": r"<br\s*/?>", "slash": r"(?<=\s)/(?=\s)", "ideographic": "、"}
@@ -39,6 +41,7 @@ COMMA, AMPERSAND = r"[,，]", r"(?<=\s)&(?=\s)"
 QUOTED = re.compile(r'\s*(?:\(?\d{1,3}[.)]\s+)?"((?:[^"\\]|""|\\.)*)"\s*')
 NUMBER = re.compile(r"^\(?\d{1,3}(?:\)|\.(?=\s))\s*")
 DIALECT_BITS, LEFT_OVER_BITS, END_BITS = 3.0, 40.0, 6.0
+HOT_BITS = 10.0
 
 
 def text_bits(value: str) -> float:
@@ -138,21 +141,26 @@ def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_field
     def letters(values: pd.Series) -> pd.Series:
         return values.map(text_bits)
 
-    texts = rows.select("field", "text").distinct().withColumn("parses", candidates("field", "text"))
+    # parsed once for all that follows but the last step; a text is known by 128 bits of hash
+    ids = [F.xxhash64("field", "text").alias("id1"), F.xxhash64("text", F.lit(1), "field").alias("id2")]
+    texts = cut(rows.select("field", "text").distinct().select("field", *ids, candidates("field", "text").alias("parses")))
     # in how many distinct texts a value stands, each in its shortest parse by letters
     values = texts.select("field", F.explode(F.array_distinct(F.try_element_at("parses", F.lit(1))["items"])).alias("item"))
     counts = values.groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))  # one row a field
-    codes = counts.join(F.broadcast(totals), "field").select("field", "item", F.when(F.col("n") > 1, F.log2(F.col("total") / (F.col("n") - 1))).alias("known"))
-
-    open_ = texts.filter(F.size("parses") > 1)
-    placed = open_.select("field", "text", F.posexplode("parses").alias("no", "p")).select("field", "text", "no", "p.dialect", "p.bits", F.explode_outer("p.items").alias("item"))
-    scored = salted_join(placed, codes, ["field", "item"], by="text", how="left").withColumn("own", F.coalesce(F.least("known", letters(F.coalesce("item", F.lit("")))), letters(F.coalesce("item", F.lit("")))))
-    lengths = scored.groupBy("field", "text", "no").agg((F.first("bits") + F.sum("own")).alias("length"))
-    cheapest = lengths.groupBy("field", "text").agg(F.min(F.struct("length", "no"))["no"].alias("no"))
-
-    parsed = rows.distinct().withColumn("parses", candidates("field", "text"))
-    one = parsed.filter(F.size("parses") == 1).withColumn("no", F.lit(0))
-    many = salted_join(parsed.filter(F.size("parses") > 1), cheapest, ["field", "text"], by="row_key", how="inner")
-    chosen = one.unionByName(many).withColumn("p", F.get("parses", F.col("no")))
+    codes = cut(counts.filter("n > 1").join(F.broadcast(totals), "field").select("field", "item", F.log2(F.col("total") / (F.col("n") - 1)).alias("known")))
+    # a value with less than HOT_BITS stands for more than 2 ** -HOT_BITS of all values: there are at most that many, and they are broadcast
+    hot, cold = codes.filter(F.col("known") < HOT_BITS), codes.filter(F.col("known") >= HOT_BITS)
+
+    open_ = texts.filter(F.size("parses") > 1).select("field", "id1", "id2", F.posexplode("parses").alias("no", "p"))
+    placed = open_.select("field", "id1", "id2", "no", "p.bits", F.explode_outer("p.items").alias("item"))
+    seen = placed.join(F.broadcast(hot), ["field", "item"], "left")
+    met = seen.filter("known IS NOT NULL").select("id1", "id2", "no", "bits", F.least("known", letters("item")).alias("own"))
+    rest = seen.filter("known IS NULL").drop("known").join(cold, ["field", "item"], "left")
+    rest = rest.select("id1", "id2", "no", "bits", F.least("known", letters(F.coalesce("item", F.lit("")))).alias("own"))
+    lengths = met.unionByName(rest).groupBy("id1", "id2", "no").agg((F.first("bits") + F.sum("own")).alias("length"))
+    cheapest = lengths.groupBy("id1", "id2").agg(F.min(F.struct("length", "no"))["no"].alias("no"))
+
+    picked = salted_join(rows.distinct().select("*", *ids), cheapest, ["id1", "id2"], by="row_key", how="left", salts=8)
+    chosen = picked.select("field", "row_key", F.get(candidates("field", "text"), F.coalesce("no", F.lit(0))).alias("p"))
     return chosen.select("field", "row_key", F.col("p.dialect").alias("dialect"), F.posexplode("p.items").alias("pos", "item")).select("field", "row_key", (F.col("pos") + 1).alias("pos"), "item", "dialect")
