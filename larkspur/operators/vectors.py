@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from larkspur.functions.text import tokens
+from larkspur.session import cut
 
 
 def term_counts(df: DataFrame, key: str, text: str, least_bytes: int = 2) -> DataFrame:
@@ -61,14 +62,14 @@ def smoothed_rank(candidates: DataFrame, positives: DataFrame, key: str, text: s
     if not n:
         return candidates.select(key, F.lit(0.5).alias("score"))
     pt = augmented_tf(term_counts(positives, key, text), key)
-    ct = augmented_tf(term_counts(candidates, key, text), key)
-    vocab = document_frequency(pt).filter("df >= 2").select("term")
+    ct = cut(augmented_tf(term_counts(candidates, key, text), key))  # read three times below
+    vocab = document_frequency(pt).filter("df >= 2").select("term", F.col("df").alias("df_p"))
     everything = float(n + candidates.count())
-    df = document_frequency(pt.select(key, "term").unionByName(ct.select(key, "term")))
-    idf = vocab.join(df, "term").select("term", F.ln(F.lit(everything) / (F.col("df") + 1)).alias("idf"))
-    mean = pt.join(idf, "term").groupBy("term").agg((F.sum(F.col("tf") * F.col("idf")) / n).alias("m"), F.first("idf").alias("idf"))
-    size = float(max(idf.count(), 1))
-    length = float(mean.agg(F.sqrt(F.sum(F.col("m") * F.col("m")))).first()[0] or 0.0)
+    df = vocab.join(document_frequency(ct), "term", "left").select("term", (F.col("df_p") + F.coalesce("df", F.lit(0))).alias("df"))
+    idf = df.select("term", F.ln(F.lit(everything) / (F.col("df") + 1)).alias("idf"))
+    mean = cut(pt.join(idf, "term").groupBy("term").agg((F.sum(F.col("tf") * F.col("idf")) / n).alias("m"), F.first("idf").alias("idf")))
+    stats = mean.agg(F.count(F.lit(1)).alias("size"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("length")).first()  # one row
+    size, length = float(max(stats["size"], 1)), float(stats["length"] or 0.0)
     joined = ct.join(mean, "term").withColumn("v", F.col("tf") * F.col("idf"))
     parts = joined.groupBy(key).agg(F.sum(F.col("v") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.count_if(F.col("v") > 0).alias("hits"))
     alpha = n / (n + 5.0)
