@@ -6,8 +6,9 @@ penalties, then calibrated by a single temperature on rows held out of training.
 
 Training uses a bounded sample of labelled rows (``sample_rows``, chosen by the
 hash of the text); the document frequencies behind IDF and the word counts that
-tell names from words cover all rows. Labels are noisy, so a first model drops
-the rows that contradict it and a second one is trained on the rest.
+tell names from words cover all rows. Labels are noisy, so each third of the
+sample is judged by a model of the other two, rows that contradict it are left
+out, and the final model is trained on the rest.
 
 Segments: a text is cut at separators into pieces; pieces that hold only names
 have no language and join the stretch around them; neighbouring pieces of one
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "ko", "ja", "zh", "vi")
 BUCKETS = 1 << 16
+FOLDS = 3
 # Notations of language labels (lower case, without region).
 LABELS = {
     "en": "en eng english", "de": "de deu ger german deutsch", "fr": "fr fra fre french francais", "es": "es spa spanish espanol castellano",
@@ -48,6 +50,7 @@ SEEDS = {
 }
 _SEPARATOR = re.compile(r"\s*(?:[|¦\n\r\t()\[\]{}<>«»“”\"：:;；•·/]|\s[-–—]+\s|–|—|[.!?。！？]+(?=\s|$)|(?<=[。！？])|,\s|，|、|\s{2,})\s*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_SCRIPT_MARKS = [(b"\0kana", re.compile(r"[぀-ヿ]")), (b"\0hangul", re.compile(r"[가-힣]")), (b"\0cyrillic", re.compile(r"[Ѐ-ӿ]")), (b"\0han", re.compile(r"^[㐀-鿿]+$"))]
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 
 
@@ -77,10 +80,14 @@ def words_of(piece: str) -> list[str]:
 
 
 def buckets_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character 1- to 4-grams of a text with their counts."""
+    """Hashed character 1- to 4-grams of a text, and its words' scripts, with their counts."""
     counts: dict[int, int] = {}
     for w in _WORD.findall(text.lower()):
         t = f" {w} "
+        for name, script in _SCRIPT_MARKS:
+            if script.search(w):
+                b = zlib.crc32(name) % BUCKETS
+                counts[b] = counts.get(b, 0) + 1
         for n in (1, 2, 3, 4):
             for i in range(len(t) - n + 1):
                 g = t[i : i + n]
@@ -146,6 +153,11 @@ def train_ftrl(model: LanguageModel, texts: list[str], labels: list[int], passes
     model.bias = solve(zb, nb, 0.0)
 
 
+def _passes(rows: int, least: int) -> int:
+    """More passes over a small sample, so that the weights get as far."""
+    return max(least, min(30, least * 5_000 // max(rows, 1)))
+
+
 def calibrate(model: LanguageModel, texts: list[str], labels: list[int]) -> None:
     """The temperature of least held-out log loss."""
     if len(texts) < 20:
@@ -177,15 +189,22 @@ def fit_languages(df: DataFrame, text: str, label: str, names: frozenset[str] |
     for r in df_rows:
         counts[r["b"]] = r["count"]
     model = LanguageModel(np.log((1 + total) / (1 + counts)) + 1)
-    rows = texts.filter("label is not null").groupBy("text").agg(F.min("label").alias("label"), F.min(F.xxhash64("text")).alias("h")).orderBy("h").limit(sample_rows).collect()
+    # a text under several labels counts with its most frequent one
+    votes = texts.filter("label is not null").groupBy("text", "label").agg(F.count(F.lit(1)).alias("n"))
+    rows = votes.groupBy("text").agg(F.max(F.struct("n", "label"))["label"].alias("label")).select("text", "label", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample_rows).collect()
     pool = [(p, LANGUAGES.index(r["label"]), r["h"] % 10 == 0) for r in rows for p in pieces_of(r["text"]) if len(words_of(p)) > 2]
     seeds = [(w, LANGUAGES.index(k)) for k, ws in SEEDS.items() for w in [ws, *(" ".join(ws.split()[i : i + 5]) for i in range(0, 15, 5))]]
-    train = [(t, y) for t, y, held in pool if not held] + seeds
-    train_ftrl(model, [t for t, _ in train], [y for _, y in train], passes=2)
-    keep = lambda t, y: model.probabilities(t).argmax() == y
-    clean = [(t, y) for t, y in train[: len(train) - len(seeds)] if keep(t, y)] + seeds
-    held = [(t, y) for t, y, h in pool if h and keep(t, y)]
-    train_ftrl(model, [t for t, _ in clean], [y for _, y in clean])
+    # labels are noisy: each third is judged by a model of the other two, and rows that contradict it are left out
+    agrees = [True] * len(pool)
+    for fold in range(FOLDS):
+        train = [(t, y) for i, (t, y, _) in enumerate(pool) if i % FOLDS != fold] + seeds * 3
+        train_ftrl(model, [t for t, _ in train], [y for _, y in train], passes=_passes(len(train), 1))
+        for i in range(fold, len(pool), FOLDS):
+            p = model.probabilities(pool[i][0])
+            agrees[i] = p.argmax() == pool[i][1] or p.max() < 0.4
+    clean = [(t, y) for (t, y, h), ok in zip(pool, agrees) if ok and not h] + seeds * 3
+    held = [(t, y) for (t, y, h), ok in zip(pool, agrees) if ok and h]
+    train_ftrl(model, [t for t, _ in clean], [y for _, y in clean], passes=_passes(len(clean), 4))
     calibrate(model, [t for t, _ in held], [y for _, y in held])
     return model
 
