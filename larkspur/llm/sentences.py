@@ -111,7 +111,9 @@ def _opens_sentence(text: str, i: int, end: int) -> bool:
     if i >= end:
         return True
     c = text[i]
-    return c.isupper() or c.isdigit() or c.istitle() or (c.isalpha() and not c.islower())
+    if c.islower():  # pH, eGFR
+        return text[i + 1 : i + 2].isupper() and i + 1 < end
+    return c.isalnum() or c in "$€£¥§#"
 
 
 def _stop_ends(text: str, i: int, start: int, end: int) -> bool:
@@ -122,7 +124,7 @@ def _stop_ends(text: str, i: int, start: int, end: int) -> bool:
             return False  # the last of several marks decides
         # no space: only between a word or number and a capitalised word
         more = text[i + 2 : i + 3]
-        if not (after.isupper() and (more.islower() or more in "'’ " or re.match(r"\.\s+[^\W\d_]", text[i + 2 : i + 6]))):
+        if not (after.isupper() and (more.islower() or more.isspace() or more in "'’" or re.match(r"\.\s+[^\W\d_]", text[i + 2 : i + 6]))):
             return ord(after) > 0x2E7F and not before.isdigit()
         if not (before.islower() or before.isdigit()) or (i - 2 >= start and text[i - 2] == "."):
             return False

@@ -19,6 +19,7 @@ CASES = [
     ["„Das Ergebnis steht. Wir veröffentlichen es“, sagte Fatel.", "Am 2. Mai 2014 sprach Dr. Brazil über z. B. alte Akten.", "372 Kranke kamen!"],
     ["« Le résultat est sûr. Nous le publierons », a dit le Dr Laklutel.", "Quelle surprise à Simemer !", "Le prix, p. ex., monte."],
     ["«El resultado es firme. Lo publicaremos», dijo Bufumum.", "¡Nadie lo creía!", "En EE. UU. 915 enfermeras llegaron a las 2 p. m. del lunes."],
+    ["Beds were empty.", "pH was 70.74, and eGFR fell to 124.", "mRNA helped.", "$5 million went to pH tests."],
     ["«Итог ясен. Мы его опубликуем», — сказал проф. А. Б. Орлин.", "Деньги, т. е. 948 млн руб., пойдут на ул. Новой."],
 ]
 
