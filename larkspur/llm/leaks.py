@@ -119,13 +119,18 @@ def leaks_in(words: list[str], index: ItemIndex, least_seeds: int, least_words:
                 continue
             near = positions[start:k]
             start = k
-            if len({tuple(words[p : p + SEED_WORDS]) for p in near}) < least_seeds:
-                continue
-            low, high = max(0, near[0] - reach), near[-1] + reach
-            matched, _, item_span, doc_span, _ = align(words[low:high], target, index.weight)
-            alike = matched / max(item_span, doc_span, 1)
-            if matched >= least_words and alike >= identity and (best is None or matched > best[1]):
-                best = (item, int(matched), float(alike), low)
+            # a long run of seeds is aligned in overlapping windows of bounded size
+            for first in range(near[0], near[-1] + 1, 6 * reach):
+                seeds = [p for p in near if first <= p < first + 8 * reach] if near[-1] - near[0] > 8 * reach else near
+                if len({tuple(words[p : p + SEED_WORDS]) for p in seeds}) < least_seeds:
+                    continue
+                low, high = max(0, seeds[0] - reach), seeds[-1] + reach
+                matched, _, item_span, doc_span, _ = align(words[low:high], target, index.weight)
+                alike = matched / max(item_span, doc_span, 1)
+                if matched >= least_words and alike >= identity and (best is None or matched > best[1]):
+                    best = (item, int(matched), float(alike), low)
+                if seeds is near:
+                    break
         if best:
             out.append(best)
     return out

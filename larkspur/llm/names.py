@@ -79,6 +79,7 @@ GIVEN = {
     "steven": "steve stephen", "david": "dave", "samuel": "sam sammy", "benjamin": "ben", "jennifer": "jen jenny", "rebecca": "becky", "barbara": "barb",
     "victoria": "vicky tori", "christopher": "chris", "nicholas": "nick", "timothy": "tim", "kenneth": "ken", "ronald": "ron", "lawrence": "larry",
 }
+LONGEST = 100
 _KIND = {w: k for k, ws in KIND_WORDS.items() for w in ws.split()}
 _GIVEN = {w: g for g, ws in GIVEN.items() for w in [g, *ws.split()]}
 
@@ -196,8 +197,9 @@ def close_tokens(tokens: DataFrame, max_edits: int = 2) -> DataFrame:
 
     An edit touches at most four of a token's trigrams, so two tokens within k
     edits share one of the 4k + 1 rarest trigrams of each: only these prefixes
-    are joined, and every pair within ``max_edits`` is found."""
-    grams = tokens.withColumn("gram", F.explode(F.pandas_udf(_grams, "array<string>")("token")))
+    are joined, and every pair within ``max_edits`` is found. Tokens of more than
+    ``LONGEST`` characters are no names; they are only ever equal."""
+    grams = tokens.filter(F.length("token") <= LONGEST).withColumn("gram", F.explode(F.pandas_udf(_grams, "array<string>")("token")))
     df = grams.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(df, ["field", "gram"]).withColumn("rank", F.row_number().over(W.partitionBy("field", "token").orderBy("df", "gram")))
     prefix = ranked.filter(F.col("rank") <= 4 * max_edits + 1).select("field", "gram", "token", "n")

@@ -183,9 +183,14 @@ def _paragraph(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     marks = [m.start() for m in _MARKS.finditer(text, start, end)]
     thai = len(_THAI.findall(text, start, end)) * 2 > (end - start)
     if thai:  # white space on one line ends a unit
-        for m in re.finditer(r"[ \t 　]+", text[start:end]):
+        spans, inside = sorted(pairs.items()), 0  # outermost first
+        covered = start
+        for m in re.finditer(r"[ \t\u00A0\u3000]+", text[start:end]):
             at = start + m.start()
-            if any(a < at < b for a, b in pairs.items()) or "\n" in text[start + m.start() : start + m.end()]:
+            while inside < len(spans) and spans[inside][0] < at:
+                covered = max(covered, spans[inside][1])
+                inside += 1
+            if at < covered:
                 continue
             if _THAI.search(text[unit:at]) or _THAI.search(text[at : at + 40]):
                 if at > unit:
@@ -227,13 +232,18 @@ def _paragraph(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
                 continue  # the mark after it decides
             if text[opener] not in QUOTES:
                 # in brackets: a unit of its own only if the bracket opened it
-                if opener == unit or not text[unit:opener].strip("\"“„«*_ \n"):
+                if opener == unit or (opener - unit < 8 and not text[unit:opener].strip("\"“„«*_ \n")):
                     if _opens_sentence(text, nxt, end):
                         yield unit, i + 1
                         unit = nxt
                 continue
             opened = opener == unit
-            clause_end = next((m for m in marks[k:] if text[m] in _ENDERS and (text[m] != "." or _stop_ends(text, m, nxt, end))), end)
+            clause_end = end
+            for at in range(k, min(n, k + 60)):  # the clause that may report the speech
+                m = marks[at]
+                if text[m] in _ENDERS and (text[m] != "." or _stop_ends(text, m, nxt, end)):
+                    clause_end = m
+                    break
             clause = text[nxt:clause_end]
             if opened:
                 if follow in ",;:，；：、—–-" or (follow.islower() and follow.isalpha()):
@@ -294,15 +304,26 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _line_groups(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of lines that are not blank."""
+    group: list[tuple[int, int]] = []
+    at = 0
+    for line in re.split("(\r\n|\r|\n)", text):
+        if line in ("\r\n", "\r", "\n"):
+            pass
+        elif line and not line.isspace():
+            group.append((at, at + len(line)))
+        elif group:
+            yield group
+            group = []
+        at += len(line)
+    if group:
+        yield group
+
+
 def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of paragraphs, list lines and headings."""
-    for m in re.finditer(r"(?:[^\n]*\S[^\n]*(?:\n|$))+", text.replace("\r\n", " \n").replace("\r", "\n")):
-        lines: list[tuple[int, int]] = []
-        at = m.start()
-        for line in m[0].split("\n"):
-            if line.strip():
-                lines.append((at, at + len(line)))
-            at += len(line) + 1
+    for lines in _line_groups(text):
         width = max(b - a for a, b in lines)
         marks = [_LIST.match(text, a, b) for a, b in lines]
         # list lines: a bullet, or a number that continues the count

@@ -49,6 +49,15 @@ def test_blocks():
     assert len(sentence_units("It is so. " * 20_000)) == 20_000
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    for text in (" " * 400_000, '"A b c." ' * 40_000, "(a b) " * 60_000, "อ กข " * 60_000, "(อ กข) " * 40_000, "x" * 400_000, "z. B. " * 50_000, "\n" * 300_000, "- a\n" * 60_000):
+        began = time.time()
+        sentence_units(text)
+        assert time.time() - began < 8, text[:10]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="Ab c.!?\n\"“”()«»。อ1-…", max_size=60))
 def test_units_cover_the_text_in_order(text):
