@@ -52,15 +52,18 @@ def dominant_script(text: Column) -> Column:
     return _let(_counts(text), _dominant)
 
 
+def _occurrences(text: Column, part: str) -> Column:
+    """How often a part stands in a text, without overlaps; plain replacement is several times faster than a pattern."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def latin_language(text: Column) -> Column:
     """Diacritics of vi, tr, pl, sv first; else common words (3 each) and trigrams; English wins ties."""
-    low = F.lower(text)
     keys = sorted(COMMON, key=lambda k: (k != "en", k))
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))
 
-    def scored(words: Column) -> Column:
-        parts = [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in COMMON[k]]))) * 3 + sum((F.regexp_count(low, F.lit(g)) for g in TRIGRAMS[k]), F.lit(0)) for k in keys]
-        return F.struct(*[p.alias(k) for p, k in zip(parts, keys)])
+    def scored(low: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))
+        return _let(found, lambda words: F.struct(*[(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in COMMON[k]]))) * 3 + sum((_occurrences(low, g) for g in TRIGRAMS[k]), F.lit(0))).alias(k) for k in keys]))
 
     def best(n: Column) -> Column:
         most = F.greatest(*[n[k] for k in keys])
@@ -70,11 +73,14 @@ def latin_language(text: Column) -> Column:
             out = F.when(hit, k) if out is None else out.when(hit, k)
         return out.otherwise("unknown")
 
-    out = None
-    for k, chars in DIACRITICS.items():
-        hit = F.length(F.regexp_replace(low, f"[^{chars}]", "")) >= 2
-        out = F.when(hit, k) if out is None else out.when(hit, k)
-    return out.otherwise(_let(_let(found, scored), best))
+    def judge(low: Column) -> Column:
+        out = None
+        for k, chars in DIACRITICS.items():
+            hit = F.length(low) - F.length(F.translate(low, chars, "")) >= 2
+            out = F.when(hit, k) if out is None else out.when(hit, k)
+        return out.otherwise(_let(scored(low), best))
+
+    return _let(F.lower(text), judge)
 
 
 def script_language(text: Column) -> Column:
