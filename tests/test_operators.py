@@ -59,3 +59,25 @@ def test_quota(spark):
     assert n == {1: 4, 2: 6, 3: 2}
     assert curate.tier_quota(df, "id", 12, 20).count() == 20
     assert [r.id for r in curate.round_robin(df.withColumn("s", F.col("tier").cast("string")), "s", "id", 4).collect()] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize(
+    ("words", "text", "low", "high"),
+    [
+        (["clinical trial", "FDA", "drug", "pharmaceutical"], "The FDA approved the drug after a clinical trial by a pharmaceutical firm", 0.5, 1.0),
+        (["clinical trial", "FDA", "drug", "pharmaceutical"], "FDA warns about a drug", 0.2, 0.7),
+        (["clinical trial", "FDA", "drug", "pharmaceutical"], "Sunny weather all week", 0.0, 0.1),
+        (["clinical trial", "FDA", "drug", "pharmaceutical"], "", 0.0, 0.0),
+        (["C++", "C#", ".NET"], "Programming in C++, C# and .NET", 0.3, 1.0),
+    ],
+)
+def test_relevance_bounds(spark, words, text, low, high):
+    s = spark.createDataFrame([(text,)], "text string").select(vectors.keyword_relevance(F.col("text"), words).alias("s")).first().s
+    assert low <= s <= high
+
+
+def test_relevance_grows_with_matches_and_ignores_case(spark):
+    words = ["AI", "machine learning", "deep learning"]
+    texts = ["AI here", "AI and machine learning", "AI and machine learning and deep learning", "ai AND MACHINE LEARNING AND DEEP LEARNING"]
+    s = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(vectors.keyword_relevance(F.col("text"), words).alias("s")).collect()]
+    assert s[0] < s[1] < s[2] == s[3]
