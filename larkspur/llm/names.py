@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -107,20 +108,39 @@ def edits(a: str, b: str, most: int = 3) -> int:
     return min(row[-1], most + 1)
 
 
+def _letters(text: str) -> int:
+    """The set of a word's letters as bits; k edits change at most 2k of them."""
+    bits = 0
+    for c in text:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def _nearest(token: str, words: list[tuple[str, int]], most: int) -> str | None:
+    """The first of ``words`` within ``most`` edits of a token."""
+    bits = _letters(token)
+    return next((w for w, b in words if abs(len(w) - len(token)) <= most and (b ^ bits).bit_count() <= 2 * most and edits(token, w, most) <= most), None)
+
+
+_GIVEN_LONG = [(g, _letters(g)) for g in GIVEN if len(g) > 4]
+_GIVEN_LONGER = [(g, b) for g, b in _GIVEN_LONG if len(g) > 6]
+_KIND_LONG = [(k, _letters(k)) for k in KIND_WORDS if len(k) > 5]
+
+
+@lru_cache(maxsize=65_536)
 def _close_given(token: str) -> str | None:
-    """The given name that a token is, or misspells by one edit."""
+    """The given name that a token is, or misspells by one edit, if long by two."""
     if token in _GIVEN:
         return _GIVEN[token]
     if len(token) < 4:
         return None
-    for g in GIVEN:
-        if len(g) > 4 and edits(token, g, 1) <= 1:
-            return g
-    if len(token) > 4:
-        for g in GIVEN:
-            if len(g) > 6 and edits(token, g, 2) <= 2:
-                return g
-    return None
+    return _nearest(token, _GIVEN_LONG, 1) or (_nearest(token, _GIVEN_LONGER, 2) if len(token) > 4 else None)
+
+
+@lru_cache(maxsize=65_536)
+def _kind_of(token: str) -> str | None:
+    """The kind word that a token is, abbreviates, or misspells by one edit."""
+    return _KIND.get(token) or (_nearest(token, _KIND_LONG, 1) if len(token) > 5 else None)
 
 
 def organisation(name: str) -> tuple[list[str], str, str]:
@@ -134,9 +154,7 @@ def organisation(name: str) -> tuple[list[str], str, str]:
     for t in tokens:
         if t in FILLER:
             continue
-        kind = _KIND.get(t)
-        if kind is None and len(t) > 5:
-            kind = next((k for k in KIND_WORDS if len(k) > 5 and edits(t, k, 1) <= 1), None)
+        kind = _kind_of(t)
         if kind:
             kinds.add(kind)
         elif len(t) > 1:
