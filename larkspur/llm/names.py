@@ -205,7 +205,8 @@ def _grams(tokens: pd.Series) -> pd.Series:
 
 
 def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y, 2) for x, y in zip(a, b)], dtype="int32")
+    bits = {w: _letters(w) for w in {*a, *b}}
+    return pd.Series([edits(x, y, 2) if (bits[x] ^ bits[y]).bit_count() <= 4 else 3 for x, y in zip(a, b)], dtype="int32")
 
 
 def close_tokens(tokens: DataFrame, max_edits: int = 2) -> DataFrame:
