@@ -263,29 +263,30 @@ def soft_fit(a: tuple[str, str], b: tuple[str, str], weights: dict[str, float])
     return 0.5 if not total else 0.5 + 0.5 * got / total
 
 
-def _resolve(part: pd.DataFrame) -> pd.DataFrame:
-    """The distinct qualifiers of one root -> entity of each."""
-    part = part.sort_values(["n", "q1", "q2"], ascending=[False, True, True])
-    weights = dict(zip(part["q1"], part["w"]))
-    full = [(q1, q2) for q1, q2 in zip(part["q1"], part["q2"]) if len(q1) > 1]
-    rows = dict(zip(zip(part["q1"], part["q2"]), part["n"]))
+def _resolve(quals: list[tuple[str, str, int, float]]) -> list[str]:
+    """The entity of each of a root's distinct qualifiers (q1, q2, rows, weight), in their order."""
+    order = sorted(range(len(quals)), key=lambda i: (-quals[i][2], quals[i][0], quals[i][1]))
+    weights = {quals[i][0]: quals[i][3] for i in order}
+    rows = {quals[i][:2]: quals[i][2] for i in order}
+    full = [q for q in rows if len(q[0]) > 1]
     # entities: each q1 with each of its q2; a q1 that never has one stands alone
     entities = [e for e in full if e[1] or not any(f[0] == e[0] and f[1] for f in full)]
     if not entities:
-        entities = [e for e in zip(part["q1"], part["q2"]) if e[0]]
+        entities = [e for e in rows if e[0]]
+    own = set(entities)
     out = []
-    for q1, q2 in zip(part["q1"], part["q2"]):
-        if (q1, q2) in entities:
-            best = (q1, q2)
-        else:
-            fits = [(soft_fit((q1, q2), e, weights), rows[e], e) for e in entities]
+    for q1, q2, _, _ in quals:
+        best = (q1, q2)
+        if best not in own:
+            fits = [(soft_fit(best, e, weights), rows[e], e) for e in entities]
             fits = [f for f in fits if f[0] > 0]
-            best = max(fits, key=lambda f: (f[0], f[1]))[2] if fits else (q1, q2)
-        out.append((q1, q2, "|".join(best)))
-    res = pd.DataFrame(out, columns=["q1", "q2", "entity"])
-    res.insert(0, "root", part["root"].iloc[0])
-    res.insert(0, "field", part["field"].iloc[0])
-    return res
+            best = max(fits, key=lambda f: (f[0], f[1]))[2] if fits else best
+        out.append("|".join(best))
+    return out
+
+
+def _entities(groups: pd.Series) -> pd.Series:
+    return groups.map(lambda g: _resolve([(x["q1"], x["q2"], x["n"], x["w"]) for x in g]))
 
 
 def link_names(df: DataFrame, field: str, kind: str, name: str) -> DataFrame:
@@ -302,7 +303,10 @@ def link_names(df: DataFrame, field: str, kind: str, name: str) -> DataFrame:
     total = rooted.groupBy("field").agg(F.count(F.lit(1)).alias("names"))  # one row a field
     weights = rare.join(F.broadcast(total), "field").select("field", "q1", F.log1p(F.col("names") / F.col("df")).alias("w"))
     distinct = rooted.groupBy("field", "root", "q1", "q2").agg(F.sum("n").alias("n")).join(weights, ["field", "q1"])
-    entities = distinct.groupBy("field", "root").applyInPandas(_resolve, "field string, root string, q1 string, q2 string, entity string")
+    # one row a root with its few qualifiers, resolved in Arrow batches of many roots
+    grouped = distinct.groupBy("field", "root").agg(F.sort_array(F.collect_list(F.struct("q1", "q2", "n", "w"))).alias("quals"))
+    entities = grouped.select("field", "root", F.explode(F.arrays_zip("quals", F.pandas_udf(_entities, "array<string>")("quals").alias("entity"))).alias("x"))
+    entities = entities.select("field", "root", "x.quals.q1", "x.quals.q2", "x.entity")
     return rooted.join(entities, ["field", "root", "q1", "q2"]).select("field", "name", F.col("n").alias("n_rows"), F.concat_ws("|", "root", "entity").alias("entity"))
 
 
