@@ -44,9 +44,21 @@ DIALECT_BITS, LEFT_OVER_BITS, END_BITS = 3.0, 40.0, 6.0
 HOT_BITS = 10.0
 
 
+class _LetterBits(dict):
+    """Code length of each character, worked out once."""
+
+    def __missing__(self, c: str) -> float:
+        self[c] = bits = 4.5 if c.isalpha() else 3.0 if c == " " else 5.0 if c.isdigit() else 12.0
+        return bits
+
+
+_BITS = _LetterBits()
+_ANY = re.compile("|".join(["\"", r"^\s*\[", *STRONG.values(), COMMA, AMPERSAND]))
+
+
 def text_bits(value: str) -> float:
     """Code length of a new value, letter by letter."""
-    return END_BITS + sum(4.5 if c.isalpha() else 3.0 if c == " " else 5.0 if c.isdigit() else 12.0 for c in value)
+    return END_BITS + sum(map(_BITS.__getitem__, value))
 
 
 def clean_item(item: str) -> str:
@@ -98,6 +110,9 @@ def candidate_parses(text: str | None, ampersand: bool = False) -> list[tuple[st
     """(dialect, bits of the dialect, values) for every parse that differs, the shortest by letters first."""
     if text is None or not text.strip():
         return []
+    if not _ANY.search(text):
+        item = clean_item(text)
+        return [("whole", DIALECT_BITS, [item] if item else [])]
     listed = _bracketed(text)
     if listed is not None:
         return [("bracketed", DIALECT_BITS, listed)]
@@ -122,7 +137,7 @@ def candidate_parses(text: str | None, ampersand: bool = False) -> list[tuple[st
             if tuple(items) not in seen:
                 seen.add(tuple(items))
                 out.append((name + ("" if quotes else "_unquoted"), DIALECT_BITS + LEFT_OVER_BITS * (left + (0 if quotes else n_quoted)), items))
-    return sorted(out, key=lambda p: p[1] + sum(map(text_bits, p[2])))
+    return sorted(out, key=lambda p: p[1] + sum(map(text_bits, p[2]))) if len(out) > 1 else out
 
 
 def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_fields: tuple[str, ...] = ()) -> DataFrame:
