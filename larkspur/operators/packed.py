@@ -106,6 +106,24 @@ def _bracketed(text: str) -> list[str] | None:
     return [x for x in (str(v).strip() for v in values if v is not None) if x]
 
 
+def _dialects(text: str, ampersand: bool) -> list[tuple[str, float, str | None, bool]]:
+    """(name, bits, delimiters, quotes) of every dialect that could apply to a text."""
+    bare, n_quoted = outside_quotes(text)
+    n_strong = {k: n for k, p in STRONG.items() if (n := len(re.findall(p, bare)))}
+    weak = [p for p in ([COMMA] + [AMPERSAND] * ampersand) if re.search(p, bare)]
+    total = sum(n_strong.values())
+    patterns: dict[str, tuple[str | None, int]] = {}
+    if n_strong:
+        patterns["strong"] = ("|".join(STRONG[k] for k in n_strong), 0)
+        if len(n_strong) > 1:
+            patterns |= {k: (STRONG[k], total - n) for k, n in n_strong.items()}
+    if weak:
+        patterns["comma"] = ("|".join(weak), total)
+    patterns["whole"] = (None, total or sum(len(re.findall(p, bare)) for p in weak))
+    kinds = ((True, "", 0), (False, "_unquoted", n_quoted)) if '"' in text else ((True, "", 0),)
+    return [(name + mark, DIALECT_BITS + LEFT_OVER_BITS * (left + ignored), pattern, quotes) for quotes, mark, ignored in kinds for name, (pattern, left) in patterns.items()]
+
+
 def candidate_parses(text: str | None, ampersand: bool = False) -> list[tuple[str, float, list[str]]]:
     """(dialect, bits of the dialect, values) for every parse that differs, the shortest by letters first."""
     if text is None or not text.strip():
@@ -116,30 +134,25 @@ def candidate_parses(text: str | None, ampersand: bool = False) -> list[tuple[st
     listed = _bracketed(text)
     if listed is not None:
         return [("bracketed", DIALECT_BITS, listed)]
-    bare, n_quoted = outside_quotes(text)
-    strong = [k for k, p in STRONG.items() if re.search(p, bare)]
-    weak = [p for p in ([COMMA] + [AMPERSAND] * ampersand) if re.search(p, bare)]
-    patterns: dict[str, tuple[str | None, int]] = {}
-    n_strong = {k: len(re.findall(STRONG[k], bare)) for k in strong}
-    n_weak = sum(len(re.findall(p, bare)) for p in weak)
-    total = sum(n_strong.values())
-    if strong:
-        patterns["strong"] = ("|".join(STRONG[k] for k in strong), 0)
-        if len(strong) > 1:
-            patterns |= {k: (STRONG[k], total - n_strong[k]) for k in strong}
-    if weak:
-        patterns["comma"] = ("|".join(weak), total)
-    patterns["whole"] = (None, total or n_weak)
     out, seen = [], set()
-    for quotes in (True, False) if '"' in text else (True,):
-        for name, (pattern, left) in patterns.items():
-            items = split_text(text, re.compile(pattern) if pattern else None, quotes)
-            if tuple(items) not in seen:
-                seen.add(tuple(items))
-                out.append((name + ("" if quotes else "_unquoted"), DIALECT_BITS + LEFT_OVER_BITS * (left + (0 if quotes else n_quoted)), items))
+    for name, bits, pattern, quotes in _dialects(text, ampersand):
+        items = split_text(text, re.compile(pattern) if pattern else None, quotes)
+        if tuple(items) not in seen:
+            seen.add(tuple(items))
+            out.append((name, bits, items))
     return sorted(out, key=lambda p: p[1] + sum(map(text_bits, p[2]))) if len(out) > 1 else out
 
 
+def parse_as(text: str | None, dialect: str | None, ampersand: bool = False) -> tuple[str, list[str]] | None:
+    """The parse under a dialect, or the only one there is if none is named."""
+    if dialect and text:
+        for name, _, pattern, quotes in _dialects(text, ampersand):
+            if name == dialect:
+                return name, split_text(text, re.compile(pattern) if pattern else None, quotes)
+    found = candidate_parses(text, ampersand)
+    return (found[0][0], found[0][2]) if found else None
+
+
 def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_fields: tuple[str, ...] = ()) -> DataFrame:
     """(field, row_key, pos, item, dialect) for a table of packed texts.
 
@@ -152,6 +165,12 @@ def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_field
         for fields, texts in parts:
             yield pd.Series([[{"dialect": d, "bits": b, "items": i} for d, b, i in candidate_parses(t, f in ampersand_fields)] for f, t in zip(fields, texts)])
 
+    @F.pandas_udf("struct<dialect: string, items: array<string>>")
+    def parsed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for fields, texts, dialects in parts:
+            rows = [parse_as(t, d, f in ampersand_fields) or (None, None) for f, t, d in zip(fields, texts, dialects)]
+            yield pd.DataFrame(rows, columns=["dialect", "items"])
+
     @F.pandas_udf("double")
     def letters(values: pd.Series) -> pd.Series:
         return values.map(text_bits)
@@ -168,14 +187,14 @@ def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_field
     hot, cold = codes.filter(F.col("known") < HOT_BITS), codes.filter(F.col("known") >= HOT_BITS)
 
     open_ = texts.filter(F.size("parses") > 1).select("field", "id1", "id2", F.posexplode("parses").alias("no", "p"))
-    placed = open_.select("field", "id1", "id2", "no", "p.bits", F.explode_outer("p.items").alias("item"))
+    placed = open_.select("field", "id1", "id2", "no", "p.bits", "p.dialect", F.explode_outer("p.items").alias("item"))
     seen = placed.join(F.broadcast(hot), ["field", "item"], "left")
-    met = seen.filter("known IS NOT NULL").select("id1", "id2", "no", "bits", F.least("known", letters("item")).alias("own"))
+    met = seen.filter("known IS NOT NULL").select("id1", "id2", "no", "bits", "dialect", F.least("known", letters("item")).alias("own"))
     rest = seen.filter("known IS NULL").drop("known").join(cold, ["field", "item"], "left")
-    rest = rest.select("id1", "id2", "no", "bits", F.least("known", letters(F.coalesce("item", F.lit("")))).alias("own"))
-    lengths = met.unionByName(rest).groupBy("id1", "id2", "no").agg((F.first("bits") + F.sum("own")).alias("length"))
-    cheapest = lengths.groupBy("id1", "id2").agg(F.min(F.struct("length", "no"))["no"].alias("no"))
+    rest = rest.select("id1", "id2", "no", "bits", "dialect", F.least("known", letters(F.coalesce("item", F.lit("")))).alias("own"))
+    lengths = met.unionByName(rest).groupBy("id1", "id2", "no").agg((F.first("bits") + F.sum("own")).alias("length"), F.first("dialect").alias("dialect"))
+    cheapest = lengths.groupBy("id1", "id2").agg(F.min(F.struct("length", "no", "dialect"))["dialect"].alias("dialect"))
 
     picked = salted_join(rows.distinct().select("*", *ids), cheapest, ["id1", "id2"], by="row_key", how="left", salts=8)
-    chosen = picked.select("field", "row_key", F.get(candidates("field", "text"), F.coalesce("no", F.lit(0))).alias("p"))
+    chosen = picked.select("field", "row_key", parsed("field", "text", "dialect").alias("p"))
     return chosen.select("field", "row_key", F.col("p.dialect").alias("dialect"), F.posexplode("p.items").alias("pos", "item")).select("field", "row_key", (F.col("pos") + 1).alias("pos"), "item", "dialect")
