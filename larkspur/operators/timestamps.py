@@ -89,6 +89,21 @@ LAYOUTS = {
 _PATTERNS = {k: re.compile(v) for k, v in LAYOUTS.items()}
 
 
+_ZEROS = str.maketrans("123456789", "000000000")
+
+
+@lru_cache(maxsize=65_536)
+def _layouts_of(shape: str) -> tuple[str, ...]:
+    """The layouts of a text whose digits are all 0: no pattern tells one digit from another."""
+    return tuple(k for k, p in _PATTERNS.items() if p.fullmatch(shape))
+
+
+@lru_cache(maxsize=65_536)
+def _clock_of(shape: str) -> re.Pattern | None:
+    """The pattern of a time of day that such a text ends with, if any."""
+    return next((p for p in (_COMPACT, _CLOCK) if p.match(shape)), None)
+
+
 def _month(text: str) -> int | None:
     return int(text) if text.isdigit() else _MONTH_OF.get("".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
 
@@ -119,7 +134,8 @@ def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str], .
     if raw is None or len(raw) > MAX_TEXT:
         return ()
     text = _WEEKDAY.sub("", " ".join(raw.lower().split()))
-    timed = _COMPACT.match(text) or _CLOCK.match(text)
+    clock = _clock_of(text.translate(_ZEROS))
+    timed = clock.match(text) if clock else None
     day, secs, east = text, None, None
     if timed:
         day = timed["date"].rstrip(", ")
@@ -127,11 +143,8 @@ def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str], .
         if secs is None:
             return ()
     found = []
-    for layout, pattern in _PATTERNS.items():
-        hit = pattern.fullmatch(day)
-        if not hit:
-            continue
-        part = hit.groupdict()
+    for layout in _layouts_of(day.translate(_ZEROS)):
+        part = _PATTERNS[layout].fullmatch(day).groupdict()
         try:
             if "y" not in part:
                 if timed:
@@ -193,12 +206,23 @@ def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: st
     keep = [F.col(f"`{c}`") for c in df.columns if c not in OUTPUT]
     df = df.select(*keep, F.col(f"`{col}`").cast("string").alias("__text"), (F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit("")).alias("__source"))
 
+    @F.pandas_udf("struct<form: string, layout: string>")
+    def read_first(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            rows = [next(((form, layout) for layout, form in parses(t, zone) if layout != "slash_dmy"), (None, None)) for t in batch]
+            yield pd.DataFrame(rows, columns=["form", "layout"], dtype=object)
+
+    if month_first:  # no layouts compete: the first reading stands
+        df = df.withColumn("__p", read_first("__text"))
+        found = F.col("__p.form").isNotNull()
+        return df.select(*keep, F.col("__p.form").alias("normal_form"), F.col("__p.layout").alias("layout"), F.when(found, F.lit(1.0)).alias("posterior"), F.when(found, F.lit(False)).alias("ambiguous"))
+
     @F.pandas_udf("struct<layouts: array<string>, forms: array<string>, sig: string>")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
             for text in batch:
-                found = [p for p in parses(text, zone) if not (month_first and p[0] == "slash_dmy")]
+                found = list(parses(text, zone))
                 if len({form for _, form in found}) == 1:  # 05/05/2020 says nothing about the order
                     found = found[:1]
                 rows.append(([p[0] for p in found], [p[1] for p in found], "|".join(p[0] for p in found)))
@@ -206,9 +230,6 @@ def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: st
 
     df = df.withColumn("__p", read("__text"))
     first, sure_one = F.try_element_at("__p.forms", F.lit(1)), F.try_element_at("__p.layouts", F.lit(1))
-    if month_first:  # no layouts compete
-        found = first.isNotNull()
-        return df.select(*keep, first.alias("normal_form"), sure_one.alias("layout"), F.when(found, F.lit(1.0)).alias("posterior"), F.when(found, F.lit(False)).alias("ambiguous"))
     counts = df.select("__source", F.col("__p.sig").alias("__sig")).filter("__sig != ''").groupBy("__source", "__sig").agg(F.count(F.lit(1)).alias("n"))
 
     def em(part: pd.DataFrame) -> pd.DataFrame:
