@@ -5,7 +5,8 @@
 2. Rare n-grams of the items (in few items) are seeds; a document is compared
    with an item only where several distinct seeds of the item stand close together.
 3. A Smith-Waterman alignment of the words around those seeds, in which rare
-   words weigh more, scores exact, partial and edited copies alike.
+   words weigh more, scores exact, partial and edited copies alike; where it
+   bridges foreign text, its dense parts and unbroken runs are judged alone.
 
 Scale: the items are a stated query set. They are scanned against all documents
 in blocks of bounded size (a block is broadcast, its size is a parameter);
@@ -73,9 +74,9 @@ class ItemIndex:
         return out
 
 
-def align(doc: list[str], item: list[str], weight: dict[str, float], gap: float = 0.25, mismatch: float = 0.3) -> tuple[int, float, int, int, int]:
-    """Smith-Waterman over words -> (matched words, matched weight, item words
-    spanned, document words spanned, longest unbroken run) of the best local alignment."""
+def _path(doc: list[str], item: list[str], weight: dict[str, float], gap: float = 0.25, mismatch: float = 0.3) -> tuple[np.ndarray, float, int, int, int, int]:
+    """Smith-Waterman over words -> (pairs of item and document word that match, in
+    order; their weight; first and end item word; first and end document word)."""
     ids: dict[str, int] = {}
     d = np.fromiter((ids.setdefault(w, len(ids)) for w in doc), np.int64, len(doc))
     m, n = len(item), len(doc)
@@ -88,22 +89,91 @@ def align(doc: list[str], item: list[str], weight: dict[str, float], gap: float
         row = np.concatenate(([0.0], row))
         score[r] = np.maximum(np.maximum.accumulate(row + ramp) - ramp, 0.0)
     r, c = np.unravel_index(int(score.argmax()), score.shape)
-    end_r, end_c = r, c
-    matched, mass, run, longest = 0, 0.0, 0, 0
+    end_r, end_c = int(r), int(c)
+    pairs, mass = [], 0.0
     while r > 0 and c > 0 and score[r, c] > 1e-9:
         w = item[r - 1]
         hit = ids.get(w, -1) == d[c - 1]
         step = weight.get(w, 1.0) if hit else -mismatch
         if abs(score[r, c] - (score[r - 1, c - 1] + step)) < 1e-9:
-            matched, mass = matched + hit, mass + (step if hit else 0.0)
-            run = run + 1 if hit else 0
-            longest = max(longest, run)
             r, c = r - 1, c - 1
+            if hit:
+                pairs.append((r, c))
+                mass += step
         elif abs(score[r, c] - (score[r - 1, c] - gap)) < 1e-9:
-            r, run = r - 1, 0
+            r -= 1
         else:
-            c, run = c - 1, 0
-    return matched, mass, int(end_r - r), int(end_c - c), longest
+            c -= 1
+    return np.array(pairs[::-1], np.int64).reshape(-1, 2), mass, int(r), end_r, int(c), end_c
+
+
+def align(doc: list[str], item: list[str], weight: dict[str, float], gap: float = 0.25, mismatch: float = 0.3) -> tuple[int, float, int, int, int]:
+    """(matched words, matched weight, item words spanned, document words
+    spanned, longest unbroken run) of the best local alignment."""
+    pairs, mass, r, end_r, c, end_c = _path(doc, item, weight, gap, mismatch)
+    breaks = np.flatnonzero((np.diff(pairs, axis=0) != 1).any(axis=1)) + 1
+    longest = int(np.diff(np.concatenate(([0], breaks, [len(pairs)]))).max())
+    return len(pairs), mass, end_r - r, end_c - c, longest
+
+
+def unbroken(doc: list[str], item: list[str], least_words: int = 1) -> int:
+    """Length of the longest run of words that doc and item share, or 0 if it is shorter than ``least_words``."""
+    known, longest, start = set(item), 0, 0
+    for end in range(len(doc) + 1):
+        if end < len(doc) and doc[end] in known:
+            continue
+        if end - start >= max(least_words, longest + 1):  # a run holds only words of the item
+            ids: dict[str, int] = {}
+            d = np.fromiter((ids.setdefault(w, len(ids)) for w in doc[start:end]), np.int64, end - start)
+            run = np.zeros(end - start + 1, np.int64)
+            for w in item:
+                run[1:] = np.where(d == ids.get(w, -1), run[:-1] + 1, 0)
+                longest = max(longest, int(run.max()))
+        start = end + 1
+    return longest if longest >= least_words else 0
+
+
+def dense_part(pairs: np.ndarray, least_words: int, identity: float) -> tuple[int, float] | None:
+    """(matched words, identity) of the longest part of an alignment that holds both bounds."""
+    best, most = None, least_words
+    for i in range(len(pairs) - least_words + 1):
+        if len(pairs) - i < most:
+            break
+        counts = np.arange(1, len(pairs) - i + 1)
+        alike = counts / (pairs[i:] - pairs[i] + 1).max(axis=1)
+        held = np.flatnonzero((counts >= most) & (alike >= identity))
+        if len(held):
+            best, most = (int(counts[held[-1]]), float(alike[held[-1]])), int(counts[held[-1]]) + 1
+    return best
+
+
+def _judge(words: list[str], low: int, high: int, seeds: list[int], target: list[str], weight: dict[str, float], least_seeds: int, least_words: int, identity: float) -> tuple[int, float] | None:
+    """(matched words, identity) of the item's passage in words[low:high].
+
+    The best alignment may bridge foreign words between two excerpts. If it does
+    not hold as a whole, its dense parts, the longest unbroken run, and the words
+    before and after it, as far as enough seeds stand there, are judged by themselves."""
+    found: list[tuple[int, float]] = []
+    known = set(target)
+    stretches = [(low, min(high, len(words)))]
+    while stretches:
+        a, b = stretches.pop()
+        if sum(w in known for w in words[a:b]) < least_words:  # no more than these can match
+            continue
+        pairs, _, r, end_r, c, end_c = _path(words[a:b], target, weight)
+        alike = len(pairs) / max(end_r - r, end_c - c, 1)
+        if len(pairs) >= least_words and alike >= identity:
+            found.append((len(pairs), alike))
+            continue
+        if part := dense_part(pairs, least_words, identity):
+            found.append(part)
+        if run := unbroken(words[a:b], target, least_words):
+            found.append((run, 1.0))
+        for x, y in ((a, a + c), (a + end_c, b)):
+            # shorter than [a, b): the alignment of a stretch with seeds is not empty
+            if y - x >= least_words and len({tuple(words[p : p + SEED_WORDS]) for p in seeds if x <= p <= y - SEED_WORDS}) >= least_seeds:
+                stretches.append((x, y))
+    return max(found, default=None)
 
 
 def leaks_in(words: list[str], index: ItemIndex, least_seeds: int, least_words: int, identity: float) -> list[tuple[int, int, float, int]]:
@@ -125,10 +195,9 @@ def leaks_in(words: list[str], index: ItemIndex, least_seeds: int, least_words:
                 if len({tuple(words[p : p + SEED_WORDS]) for p in seeds}) < least_seeds:
                     continue
                 low, high = max(0, seeds[0] - reach), seeds[-1] + reach
-                matched, _, item_span, doc_span, _ = align(words[low:high], target, index.weight)
-                alike = matched / max(item_span, doc_span, 1)
-                if matched >= least_words and alike >= identity and (best is None or matched > best[1]):
-                    best = (item, int(matched), float(alike), low)
+                held = _judge(words, low, high, seeds, target, index.weight, least_seeds, least_words, identity)
+                if held and (best is None or held[0] > best[1]):
+                    best = (item, *held, low)
                 if seeds is near:
                     break
         if best:

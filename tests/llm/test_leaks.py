@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from larkspur.llm.leaks import ItemIndex, align, find_leaks, words_of
+from larkspur.llm.leaks import ItemIndex, align, find_leaks, leaks_in, words_of
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -67,3 +67,17 @@ def test_stock_phrases_are_no_seeds():
     stock = "please read the passage and choose the best answer now"
     ix = ItemIndex([(k, " ".join(passage(k, 30)) + " " + stock) for k in range(8)])
     assert not ix.hits(words_of(stock))
+
+
+def test_excerpts_with_foreign_words_between():
+    items = {k: passage(k, 60) for k in range(20)}
+    ix = ItemIndex([(k, " ".join(w)) for k, w in items.items()])
+    foreign = lambda n: [f"n{i}" for i in range(n)]
+    for size, between in ((20, 24), (24, 28), (20, 60), (18, 40)):
+        for k, w in items.items():
+            for parts in ((w[:size], w[-size:]), (w[-size:], w[:size])):
+                doc = foreign(30) + parts[0] + foreign(between) + parts[1] + foreign(30)
+                got = [(i, m, a) for i, m, a, _ in leaks_in(doc, ix, 3, 16, 0.65) if i == k]
+                assert got and got[0][1] >= size and got[0][2] >= 0.65
+    # excerpts that are too short by themselves do not add up over foreign words
+    assert not leaks_in(foreign(30) + items[0][:10] + foreign(40) + items[0][-10:] + foreign(30), ix, 3, 16, 0.65)
