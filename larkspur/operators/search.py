@@ -7,10 +7,15 @@ statistics. :func:`postings` gives the inverted index in long form for repeated
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from larkspur.functions.text import query_terms, tokens
 
@@ -84,10 +89,76 @@ def nearest(df: DataFrame, key: str, vector: str, query: list[float], k: int) ->
     return df.select(key, F.round(cosine(F.col(vector), q), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def fuse(a: DataFrame, b: DataFrame, key: str, wa: float = 0.5, wb: float = 0.5, k: int = 60) -> DataFrame:
+class VectorBlock:
+    """A block of query vectors, scored against batches of rows."""
+
+    def __init__(self, queries: list[tuple], k: int):
+        self.keys, self.k = [q for q, _ in queries], k
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: vectors of other lengths score 0
+        for n in {len(v) for _, v in queries if v is not None and len(v)}:
+            at = [i for i, (_, v) in enumerate(queries) if v is not None and len(v) == n]
+            self.groups[n] = np.array(at), _unit([queries[i][1] for i in at])
+
+    def scores(self, vectors: list) -> np.ndarray:
+        """Cosines rounded to 6 places, a row for each query; 0 where a norm is 0."""
+        out = np.zeros((len(self.keys), len(vectors)))
+        for n, (at, unit) in self.groups.items():
+            rows = [j for j, v in enumerate(vectors) if v is not None and len(v) == n]
+            if rows:
+                out[np.ix_(at, rows)] = unit @ _unit([vectors[j] for j in rows]).T
+        return np.round(out, 6) + 0.0
+
+    def best(self, batches: Iterator[tuple[list, list]], step: int = 1000) -> list[tuple]:
+        """(query, key, score): the ``k`` best rows of all batches for each query."""
+        kept: list[list[tuple]] = [[] for _ in self.keys]
+        for keys, vectors in batches:
+            for start in range(0, len(keys), step):
+                some, score = keys[start : start + step], self.scores(vectors[start : start + step])
+                for i, row in enumerate(score):
+                    least = kept[i][-1][0] if len(kept[i]) == self.k else math.inf
+                    if len(row) > self.k:
+                        least = min(least, -np.partition(row, -self.k)[-self.k])
+                    found = [(-float(row[j]), some[j]) for j in np.flatnonzero(row >= -least)]
+                    kept[i] = sorted(kept[i] + found)[: self.k]
+        return [(q, key, -score) for q, best in zip(self.keys, kept) for score, key in best]
+
+
+def _unit(vectors: list) -> np.ndarray:
+    m = np.array([np.asarray(v, np.float64) for v in vectors])
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def nearest_each(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """(query_id, ``key``, score, rank): for each row of ``queries`` the ``k`` rows of ``df`` closest by cosine.
+
+    Queries are broadcast in blocks of about ``block``, each scored against all
+    rows; only the ``k`` best of a partition and query are shuffled."""
+    spark = df.sparkSession
+    q_type, key_type = queries.schema[key].dataType.simpleString(), df.schema[key].dataType.simpleString()
+    wanted = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("vector"))
+    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    blocks = max(1, math.ceil(wanted.count() / block))
+    parts = []
+    for b in range(blocks):
+        some = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        shared = spark.sparkContext.broadcast(VectorBlock([(r["query_id"], r["vector"]) for r in some], k))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            found = shared.value.best((batch["key"].tolist(), batch["vector"].tolist()) for batch in batches)
+            yield pd.DataFrame(found, columns=["query_id", "key", "score"])
+
+        parts.append(rows.mapInPandas(scan, f"query_id {q_type}, key {key_type}, score double"))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    found = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)
+    return found.select("query_id", F.col("key").alias(key), "score", "rank")
+
+
+def fuse(a: DataFrame, b: DataFrame, key: str | list[str], wa: float = 0.5, wb: float = 0.5, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two short ranked lists (``key``, ``rank``)."""
-    x, y = a.select(key, F.col("rank").alias("rank_a")), b.select(key, F.col("rank").alias("rank_b"))
-    both = x.join(y, key, "full")
+    keys = [key] if isinstance(key, str) else key
+    x, y = a.select(*keys, F.col("rank").alias("rank_a")), b.select(*keys, F.col("rank").alias("rank_b"))
+    both = x.join(y, keys, "full")
     score = F.coalesce(wa / (k + F.col("rank_a")), F.lit(0.0)) + F.coalesce(wb / (k + F.col("rank_b")), F.lit(0.0))
     found = F.when(F.col("rank_a").isNotNull() & F.col("rank_b").isNotNull(), "hybrid:both").when(F.col("rank_a").isNotNull(), "hybrid:fts").otherwise("hybrid:semantic")
-    return both.select(key, "rank_a", "rank_b", F.round(score, 8).alias("score"), found.alias("source"))
+    return both.select(*keys, "rank_a", "rank_b", F.round(score, 8).alias("score"), found.alias("source"))

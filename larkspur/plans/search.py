@@ -73,6 +73,26 @@ def rrf01_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuse(a, _ranked(near, 30), "doc_id").select("doc_id", "rank_a", "rank_b", "score", "source")
 
 
+def _query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+
+
+def sem01_cosine_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty vectors nearest to each vector of the query set."""
+    return search.nearest_each(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_rows(spark, sf_dir), 20)
+
+
+def rrf01_hybrid_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of full text fused with those of each vector of the query set, thirty each."""
+    queries = _query_rows(spark, sf_dir)
+    top = _ranked(search.bm25(documents(spark, sf_dir), "doc_id", "text", QUERY), 30).collect()  # thirty rows
+    hits = F.array(*[F.struct(F.lit(r["doc_id"]).alias("doc_id"), F.lit(r["rank"]).alias("rank")) for r in top]).cast("array<struct<doc_id:bigint,rank:bigint>>")
+    a = queries.select(F.col("vec_id").alias("query_id"), F.inline(hits))
+    b = search.nearest_each(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", queries, 30).withColumnRenamed("vec_id", "doc_id")
+    return search.fuse(a, b, ["query_id", "doc_id"]).select("query_id", "doc_id", "rank_a", "rank_b", "score", "source")
+
+
 def srt01_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search over trials, articles and cases, ten of each."""
     out = None
@@ -226,6 +246,9 @@ def _bm25_sql(terms: list[str]) -> str:
 
 _BM = _bm25_sql(QUERY.split())
 _NEAR = "v AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings)"
+_NEAR_SET = """qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+    v AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, qs),
+    near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM v)"""
 _TC = f"{_D}, tc AS (SELECT doc_id, source, lang, term, count(*) AS n FROM (SELECT doc_id, source, lang, unnest(list_filter({_TOK}, lambda x: strlen(x) >= 2)) AS term FROM d) GROUP BY ALL), tf AS (SELECT *, 0.5 + 0.5 * n / max(n) OVER (PARTITION BY doc_id) AS tf FROM tc)"
 _CUR = f"(created_at > TIMESTAMP '{SINCE}' AND created_at <= TIMESTAMP '{UNTIL}')"
 _PRE = f"(created_at > TIMESTAMP '{PREVIOUS}' AND created_at <= TIMESTAMP '{SINCE}')"
@@ -255,6 +278,11 @@ SQL = {
         n AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank_b FROM v ORDER BY score DESC, vec_id LIMIT 30)
         SELECT doc_id, rank_a, rank_b, round(coalesce(0.5 / (60 + rank_a), 0) + coalesce(0.5 / (60 + rank_b), 0), 8) AS score,
         CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 'hybrid:both' WHEN rank_a IS NOT NULL THEN 'hybrid:fts' ELSE 'hybrid:semantic' END AS source FROM a FULL JOIN n USING (doc_id)""",
+    "sem01_cosine_set": f"WITH {_NEAR_SET} SELECT query_id, vec_id, score, rank FROM near WHERE rank <= 20",
+    "rrf01_hybrid_set": f"""WITH {_BM}, {_NEAR_SET}, top AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank_a FROM b ORDER BY score DESC, doc_id LIMIT 30),
+        a AS (SELECT query_id, doc_id, rank_a FROM top, qs), n AS (SELECT query_id, vec_id AS doc_id, rank AS rank_b FROM near WHERE rank <= 30)
+        SELECT query_id, doc_id, rank_a, rank_b, round(coalesce(0.5 / (60 + rank_a), 0) + coalesce(0.5 / (60 + rank_b), 0), 8) AS score,
+        CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 'hybrid:both' WHEN rank_a IS NOT NULL THEN 'hybrid:fts' ELSE 'hybrid:semantic' END AS source FROM a FULL JOIN n USING (query_id, doc_id)""",
     "srt01_multi_source": " UNION ALL ".join(
         f"SELECT * FROM (SELECT '{n}' AS source, doc_id FROM (SELECT {k} AS doc_id, max({c}) AS t FROM {n} GROUP BY {k}) WHERE list_has_any(regexp_extract_all(lower(coalesce(t, '')), '{_T}'), ['study', 'migraine', 'notice']) ORDER BY doc_id LIMIT 10)"
         for n, k, c in (("clinical_trials", "nct_id", "title"), ("pubmed_articles", "pmid", "title"), ("legal_cases", "case_id", "snippet"))

@@ -81,3 +81,18 @@ def test_relevance_grows_with_matches_and_ignores_case(spark):
     texts = ["AI here", "AI and machine learning", "AI and machine learning and deep learning", "ai AND MACHINE LEARNING AND DEEP LEARNING"]
     s = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(vectors.keyword_relevance(F.col("text"), words).alias("s")).collect()]
     assert s[0] < s[1] < s[2] == s[3]
+
+
+def test_nearest_of_a_set_of_queries(spark):
+    rows = [(i, [float(i % 7) - 3, float(i % 5) - 2, 1.0]) for i in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0]), (42, [1.0]), (43, [])]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    queries = df.filter("id % 10 = 0")  # 40 has no vector
+    want = {}
+    for q in (0, 10, 20, 30):
+        want[q] = [(r.id, r.score) for r in search.nearest(df, "id", "v", rows[q][1], 6).orderBy(F.desc("score"), "id").collect()]
+    for block in (100, 2):
+        got = {}
+        for r in search.nearest_each(df, "id", "v", queries, 6, block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, r.score))
+        assert {q: got[q] for q in want} == want and set(got) == {*want, 40} and got[40] == [(i, 0.0) for i in range(6)]
+    assert search.nearest_each(df, "id", "v", queries.limit(0), 6).count() == 0 and search.nearest_each(df.limit(0), "id", "v", queries, 6).count() == 0
