@@ -1,7 +1,8 @@
 """Iterative query expansion by relevance feedback.
 
-Term scores of a round are one aggregation; only the best few hundred terms
-come to the driver, where the next query is made up by small rules."""
+Term scores of a round are one aggregation, added to the totals of all terms so
+far; only the terms of the query and the best unused ones come to the driver,
+where the next query is made up by small rules."""
 
 from __future__ import annotations
 
@@ -12,17 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.vectors import feedback_terms, keyword_relevance
+from larkspur.session import cut
 
 
 @dataclass
 class Expander:
-    """State of an expansion: scored terms, terms used, the query and the precisions so far."""
+    """State of an expansion: scored terms, terms used, the query and the precisions so far.
+
+    ``totals`` (term, total) has the score of every term after a round of :func:`learn`, ``scores`` those that matter to the next query."""
 
     seeds: list[str]
     scores: dict[str, float] = field(default_factory=dict)
     used: set[str] = field(default_factory=set)
     query: list[str] = field(default_factory=list)
     precisions: list[float] = field(default_factory=list)
+    totals: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.scores |= {t: 1 - 0.05 * i for i, t in enumerate(self.seeds)}
@@ -56,13 +61,22 @@ class Expander:
         return [" ".join(q), f"{q[0]} RSS feed", f"{q[0]} blog", " ".join(q[:2]) + " news"] if q else []
 
 
-def learn(expander: Expander, pages: DataFrame, key: str, text: str, relevant: Column, most_terms: int = 500) -> float:
-    """One round: precision of the pages, and the best terms of their feedback."""
+def learn(expander: Expander, pages: DataFrame, key: str, text: str, relevant: Column) -> float:
+    """One round: precision of the pages, and their feedback added to the total of every term."""
     stats = pages.agg(F.avg(relevant.cast("double"))).first()
     precision = float(stats[0] or 0.0)
-    for r in feedback_terms(pages, key, text, relevant).orderBy(F.desc("score"), "term").limit(most_terms).collect():
-        expander.scores[r["term"]] = expander.scores.get(r["term"], 0.0) + r["score"]
+    before = expander.totals
+    if before is None:
+        before = pages.sparkSession.createDataFrame(list(expander.scores.items()), "term string, total double")
+    both = before.join(feedback_terms(pages, key, text, relevant), "term", "full")
+    totals = cut(both.select("term", (F.coalesce("total", F.lit(0.0)) + F.coalesce("score", F.lit(0.0))).alias("total")))
+    asked = list(expander.query)
+    held = sorted({*asked, *expander.used, *expander.seeds})
+    unused = totals.filter((F.col("total") > 0) & ~F.col("term").isin(sorted({*asked, *expander.used})))
+    best = unused.orderBy(F.desc("total"), "term").limit(5)  # the longest query
+    expander.scores = {r["term"]: r["total"] for r in totals.filter(F.col("term").isin(held)).unionByName(best).collect()}
     expander.adjust(precision)
+    expander.totals = totals.withColumn("total", F.when(F.col("term").isin(asked), F.col("total") * precision).otherwise(F.col("total")))
     return precision
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import curate, search, store, vectors
+from larkspur.operators.feedback import Expander, learn
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +97,19 @@ def test_nearest_of_a_set_of_queries(spark):
             got.setdefault(r.query_id, []).append((r.id, r.score))
         assert {q: got[q] for q in want} == want and set(got) == {*want, 40} and got[40] == [(i, 0.0) for i in range(6)]
     assert search.nearest_each(df, "id", "v", queries.limit(0), 6).count() == 0 and search.nearest_each(df.limit(0), "id", "v", queries, 6).count() == 0
+
+
+def test_feedback_updates_every_term_in_every_round(spark):
+    """A term that gained in the first round falls in the second, however many other terms the second has."""
+    first = spark.createDataFrame([(1, "seed gained gained " + "other")], "id int, t string")
+    many = " ".join(f"word{i}" for i in range(700))
+    second = spark.createDataFrame([(1, f"seed {many}"), (2, "gained"), (3, "gained"), (4, "gained")], "id int, t string")
+    e = Expander(["seed"])
+    learn(e, first, "id", "t", F.col("id") == 1)
+    assert e.scores["gained"] == 1.0 and e.scores["seed"] == 1.75
+    e.query = ["seed"]
+    learn(e, second, "id", "t", F.col("id") == 1)
+    total = {r.term: r.total for r in e.totals.collect()}
+    assert len(total) == 703 and total["gained"] == -0.5 and total["word5"] == 1.0 and total["other"] == 0.75
+    assert total["seed"] == pytest.approx(2.75 / 4) and e.scores["seed"] == pytest.approx(total["seed"])
+    assert "gained" not in e.best(5) and len(e.scores) <= 6
