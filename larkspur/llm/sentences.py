@@ -1,10 +1,15 @@
 """Sentence units with offsets, for many languages and scripts.
 
-A pushdown automaton reads each paragraph: its stack holds the open quotations
-and brackets, its input are the marks at which a sentence may end. A mark ends a
-unit only while the stack is empty; full stops are checked against a trie of
-abbreviations read backwards, decimals, initials and dates. Paragraphs are
-found first: blank lines, list levels and headings end units whatever follows.
+A pushdown automaton reads each text: its stack holds the open list levels (with
+the number that comes next), and within a paragraph the open quotations and
+brackets; its input are the marks at which a sentence may end. A mark ends a
+unit only while no quotation or bracket is open; full stops are checked against a trie of
+abbreviations read backwards, decimals, initials and dates. Blank lines, list
+lines and headings end units whatever follows.
+
+Every step looks as far as it must and no text is read twice at one place, so
+the time is in proportion to the length, and no number of characters or marks
+changes how a text is cut.
 
 Defined results: null, empty and blank texts have no units; texts of any length
 are read whole; a quotation or bracket that is never closed in its paragraph is
@@ -15,6 +20,7 @@ character that is not white space; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,9 +37,12 @@ BEFORE_NUMBER = """no nos vol vols pp p fig figs sec secs art arts abs nr az al
 #: may end a sentence: it does before a capital that can open one
 MAY_END = """inc co corp ltd plc llc jr sr etc a.m p.m a.m u.s u.k u.n e.u d.c ph.d m.d b.a m.a et.al p.a b.c a.d s.a ee.uu usw руб коп тыс млн млрд г гг р др пр u.s.c gmbh cie
 jan feb mar apr jun jul aug sep sept oct nov dec est dept ave blvd rd""".split()
+#: those of MAY_END that end a sentence before a number too: it is no part of them
+ENDS_BEFORE_NUMBER = frozenset("inc co corp ltd plc llc jr sr etc a.m p.m ph.d m.d b.a m.a s.a gmbh cie".split())
 _MONTH = re.compile(r"\s*(?:jan|feb|mär|mar|apr|mai|may|jun|jul|aug|sep|okt|oct|nov|dez|dec|enero|janv|fév|avr|juil|août|déc|янв|фев|мар|апр|мая|июн|июл|авг|сен|окт|ноя|дек)", re.I)
 _SPEECH = re.compile(r"\b(?:said|says|say|asked|asks|shouted|told|replied|wrote|answered|cried|called|added|warned|insisted|whispered|noted|explained|declared|sagte|fragte|rief|schrieb|meinte|antwortete|erklärte|dit|demandé|demanda|répondu|écrit|crié|dijo|preguntó|gritó|respondió|escribió|сказал|сказала|спросил|спросила|крикнул|ответил)\b")
 _CJK_SPEECH = re.compile(r"[说說道问問]|表示|と|고|라고")
+_CLAUSE_EDGE = re.compile(r"[，,、“「『\"«„]")
 
 OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "〈": "〉", "《": "》"}
 CLOSE = frozenset("”»›」』)]）】〉》")
@@ -45,6 +54,18 @@ _LIST = re.compile(r"[ \t]*(?:[-*•‣▪–+]|(\d{1,3})[.)]|\(?([a-zA-Z])\))[
 _THAI = re.compile(r"[฀-๿]")
 _WIDE = re.compile(r"[\u2E80-\uFFFF]")
 _SPACE = re.compile(r"\s+")
+# What stands before an apostrophe in French and Italian without being part of the next word.
+_ELIDED = frozenset("l d qu n s c j m t dell all nell sull un".split())
+
+
+def _contraction(text: str, i: int, start: int) -> bool:
+    """Does an apostrophe at ``i`` join two parts of one word, other than an elided article (l'art., d'ex.)?"""
+    if i < start or text[i] not in "'’":
+        return False
+    k = i
+    while k > start and text[k - 1].isalpha():
+        k -= 1
+    return text[k:i].lower() not in _ELIDED
 
 
 class Trie:
@@ -62,7 +83,7 @@ class Trie:
         """Does an abbreviation end at the full stop ``text[stop]``? White space after inner full stops is skipped."""
         node, i = self.root, stop - 1
         while True:
-            if "" in node and (i < start or not (text[i].isalnum() or text[i] in "'’")) and not (i >= start and text[i] == "." and i > start and text[i - 1].isalnum()):
+            if "" in node and (i < start or not text[i].isalnum()) and not _contraction(text, i, start) and not (i >= start and text[i] == "." and i > start and text[i - 1].isalnum()):
                 return True
             if i < start:
                 return False
@@ -76,7 +97,7 @@ class Trie:
 
 
 _PARTED = frozenset(w for w in INSIDE + MAY_END if w.count(".") == 1)
-_INSIDE, _BEFORE_NUMBER, _MAY_END = Trie(INSIDE), Trie(BEFORE_NUMBER), Trie(MAY_END)
+_INSIDE, _BEFORE_NUMBER, _MAY_END, _BEFORE_COUNT = Trie(INSIDE), Trie(BEFORE_NUMBER), Trie(MAY_END), Trie(sorted(ENDS_BEFORE_NUMBER))
 
 
 def _pairs(text: str, start: int, end: int) -> dict[int, int]:
@@ -140,8 +161,10 @@ def _stop_ends(text: str, i: int, start: int, end: int) -> bool:
         return _opens_sentence(text, k, end)
     if not _opens_sentence(text, k, end):
         return False
-    word = re.search(r"[^\W_]+$", text[max(start, i - 40) : i])
-    w = word[0] if word else ""
+    at = i
+    while at > start and text[at - 1].isalnum():
+        at -= 1
+    w = text[at:i]
     if text[k + 1 : k + 2] == "." and f"{w}.{following}".lower() in _PARTED:
         return False  # the first half of "z. B."
     if _INSIDE.before(text, i, start):
@@ -166,7 +189,7 @@ def _stop_ends(text: str, i: int, start: int, end: int) -> bool:
             return False
     if _MAY_END.before(text, i, start):
         if following.isdigit():
-            return False
+            return _BEFORE_COUNT.before(text, i, start)
         return _opens_sentence(text, k, end)
     if "ऀ" <= before <= "ॿ":
         return False  # Devanagari ends sentences with a danda
@@ -182,23 +205,26 @@ def _paragraph(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     i = start
     marks = [m.start() for m in _MARKS.finditer(text, start, end)]
     thai = len(_THAI.findall(text, start, end)) * 2 > (end - start)
-    if thai:  # white space on one line ends a unit
-        spans, inside = sorted(pairs.items()), 0  # outermost first
-        covered = start
-        for m in re.finditer(r"[ \t\u00A0\u3000]+", text[start:end]):
-            at = start + m.start()
-            while inside < len(spans) and spans[inside][0] < at:
+    if thai:  # white space on one line, outside quotations and brackets, ends a unit beside Thai
+        spans, inside, covered = sorted(pairs.items()), 0, start  # outermost first
+        gaps = []
+        for m in re.compile(r"[ \t\u00A0\u3000]+").finditer(text, start, end):
+            while inside < len(spans) and spans[inside][0] < m.start():
                 covered = max(covered, spans[inside][1])
                 inside += 1
-            if at < covered:
-                continue
-            if _THAI.search(text[unit:at]) or _THAI.search(text[at : at + 40]):
-                if at > unit:
-                    yield unit, at
-                unit = start + m.end()
+            if m.start() >= covered:
+                gaps.append(m.span())
+        written = False  # does the unit hold Thai so far?
+        for (at, after), piece, following in zip(gaps, [start, *(b for _, b in gaps)], [a for a, _ in gaps[1:]] + [end]):
+            written = written or _THAI.search(text, piece, at) is not None
+            if at > unit and (written or _THAI.search(text, after, following)):
+                yield unit, at
+                unit, written = after, False
         if unit < end:
             yield unit, end
         return
+    end_of_clause = -1  # place in marks of the first end of a sentence from k on, once sought
+    speech: list[int] | None = None
     n, k = len(marks), 0
     while k < n:
         i = marks[k]
@@ -232,32 +258,37 @@ def _paragraph(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
                 continue  # the mark after it decides
             if text[opener] not in QUOTES:
                 # in brackets: a unit of its own only if the bracket opened it
-                if opener == unit or (opener - unit < 8 and not text[unit:opener].strip("\"“„«*_ \n")):
+                j = opener
+                while j > unit and text[j - 1] in "\"“„«*_ \n":
+                    j -= 1
+                if j == unit:
                     if _opens_sentence(text, nxt, end):
                         yield unit, i + 1
                         unit = nxt
                 continue
             opened = opener == unit
-            clause_end = end
-            for at in range(k, min(n, k + 60)):  # the clause that may report the speech
-                m = marks[at]
-                if text[m] in _ENDERS and (text[m] != "." or _stop_ends(text, m, nxt, end)):
-                    clause_end = m
-                    break
-            clause = text[nxt:clause_end]
+            if end_of_clause < k:  # the clause that may report the speech
+                end_of_clause = k
+                while end_of_clause < n and not (text[marks[end_of_clause]] in _ENDERS and (text[marks[end_of_clause]] != "." or _stop_ends(text, marks[end_of_clause], start, end))):
+                    end_of_clause += 1
+            clause_end = marks[end_of_clause] if end_of_clause < n else end
             if opened:
-                if follow in ",;:，；：、—–-" or (follow.islower() and follow.isalpha()):
+                if follow in ",;:，；：、—–-" or (follow.islower() and not _opens_sentence(text, nxt, end)):
                     continue
                 if ord(follow) > 0x2E7F and inner in "。！？｡．…!?.":
-                    if follow == "と" or (_CJK_SPEECH.search(clause) and len(clause) < 40 and follow not in QUOTES):
+                    edge = _CLAUSE_EDGE.search(text, nxt, clause_end)
+                    if follow == "と" or (follow not in QUOTES and _CJK_SPEECH.search(text, nxt, edge.start() if edge else clause_end)):
                         continue
                 elif inner in "!?…" and follow not in QUOTES:
-                    if _SPEECH.search(text, nxt, clause_end):
+                    if speech is None:
+                        speech = [m.start() for m in _SPEECH.finditer(text, start, end)]
+                    at = bisect_left(speech, nxt)
+                    if at < len(speech) and speech[at] < clause_end:
                         continue
                 if not _opens_sentence(text, nxt, end):
                     continue
             else:
-                if follow in ",;:，；：、—–-)" or (follow.islower() and follow.isalpha()):
+                if follow in ",;:，；：、—–-)" or (follow.islower() and not _opens_sentence(text, nxt, end)):
                     continue
                 if inner in ".…" and not _opens_sentence(text, nxt, end):
                     continue
@@ -321,40 +352,59 @@ def _line_groups(text: str) -> Iterator[list[tuple[int, int]]]:
         yield group
 
 
+def _list_lines(text: str, lines: list[tuple[int, int]], levels: list[list[int]]) -> list[bool]:
+    """Which lines of a run are list lines.
+
+    ``levels`` is the stack of open numbered lists as [indent, number that comes
+    next]; it lives on over blank lines. A line closes the levels deeper than its
+    indent and goes on with the one at it; the number 1 opens a level."""
+    marks = [_LIST.match(text, a, b) for a, b in lines]
+    listed: list[bool] = []
+    for k, (hit, (a, _)) in enumerate(zip(marks, lines)):
+        ok = False
+        if hit:
+            introduced = k > 0 and text[lines[k - 1][0] : lines[k - 1][1]].rstrip().endswith((":", "："))
+            follows = k == 0 or listed[-1] or introduced
+            indent = len(hit[0]) - len(hit[0].lstrip(" \t"))
+            if hit[1]:
+                number = int(hit[1])
+                open_ = [level for level in levels if level[0] <= indent]
+                if open_ and open_[-1] == [indent, number]:
+                    ok = True
+                    levels[:] = open_
+                    levels[-1][1] += 1
+                elif number == 1 and (follows or (k + 1 < len(lines) and marks[k + 1] is not None and marks[k + 1][1] == "2")):
+                    ok = True
+                    levels[:] = [level for level in open_ if level[0] < indent] + [[indent, 2]]
+            elif hit[2]:
+                ok = (k == 0 or listed[-1]) and len(lines) > 1
+            else:
+                ok = follows or (k + 1 < len(lines) and bool(marks[k + 1]))
+                if ok:
+                    levels[:] = [level for level in levels if level[0] <= indent]
+        listed.append(ok)
+    if not any(listed):
+        levels.clear()  # a paragraph of running text ends all lists
+    return listed
+
+
 def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of paragraphs, list lines and headings."""
+    levels: list[list[int]] = []
     for lines in _line_groups(text):
         width = max(b - a for a, b in lines)
-        marks = [_LIST.match(text, a, b) for a, b in lines]
-        # list lines: a bullet, or a number that continues the count
-        listed, expect = [], None
-        for k, hit in enumerate(marks):
-            ok = False
-            if hit:
-                if hit[1]:
-                    ok = hit[1] == "1" or (expect is not None and int(hit[1]) == expect)
-                    if ok and hit[1] == "1" and k + 1 < len(lines) and not (marks[k + 1] and marks[k + 1][1] == "2") and k > 0:
-                        ok = False
-                    if ok:
-                        expect = int(hit[1]) + 1
-                elif hit[2]:
-                    ok = (k == 0 or listed[-1]) and len(lines) > 1
-                else:
-                    ok = k == 0 or listed[-1] or (k + 1 < len(lines) and bool(marks[k + 1])) or text[lines[k - 1][0] : lines[k - 1][1]].rstrip().endswith((":", "："))
-            listed.append(ok)
+        listed = _list_lines(text, lines, levels)
         start = None
         for k, (a, b) in enumerate(lines):
             if listed[k]:
                 if start is not None:
                     yield "text", start[0], start[1]
                 start = None
-                if k + 1 < len(lines) and not listed[k + 1] and not text[lines[k + 1][0]].isspace():
-                    pass
                 yield "line", a, b
                 continue
             if start is None:
                 line = text[a:b].strip()
-                alone = line and line[-1] not in ".!?…。！？।:,;)”\"»" and len(line) < 60 and k + 1 < len(lines) and not listed[k + 1]
+                alone = line and line[-1] not in ".!?…。！？।:,;)”\"»" and k + 1 < len(lines) and not listed[k + 1]
                 if alone and k == 0 and len(line) >= 8 and len(line.split()) > 1 - bool(_WIDE.search(line)):
                     first = text[lines[1][0] : lines[1][1]].split(None, 1)[0]
                     if len(line) + 1 + len(first) < width - 10 and text[lines[1][0]].isupper():
@@ -366,8 +416,8 @@ def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
         if start is not None:
             a, b = _trim(text, *start)
             line = text[a:b]
-            short = len(lines) == 1 and len(line) < 80 and not any(c in _ENDERS for c in line) and (re.search(r"[:：]\s*[^\W\d_]+ \d+$", line) or " " not in line)
-            yield ("line" if short else "text"), start[0], start[1]
+            heading = len(lines) == 1 and not any(c in _ENDERS for c in line) and (re.search(r"[:：]\s*[^\W\d_]+ \d+$", line) or " " not in line)
+            yield ("line" if heading else "text"), start[0], start[1]
 
 
 def sentence_units(text: str | None) -> list[tuple[int, int]]:

@@ -75,3 +75,52 @@ def test_operator(spark):
     got = [tuple(r) for r in split_sentences(df, "doc_id", "text").orderBy("doc_id", "sent_no").collect()]
     assert got == [(None, 1, 0, 4), (1, 1, 0, 4), (1, 1, 0, 4), (1, 2, 5, 9), (1, 2, 5, 9)]
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_abbreviations_after_an_elided_article_and_before_numbers():
+    assert units("Le tribunal cite l’art. 538, al. 5, du code. Il s'en va.") == ["Le tribunal cite l’art. 538, al. 5, du code.", "Il s'en va."]
+    assert units("Die Mittel gehen an die Hinas GmbH. 280 Raucher kamen.") == ["Die Mittel gehen an die Hinas GmbH.", "280 Raucher kamen."]
+    assert units('The clerk said: "No comment." pH was 3.1, and eGFR fell.') == ['The clerk said: "No comment."', "pH was 3.1, and eGFR fell."]
+    assert units("They can't. No. 5 won't. It ended.") == ["They can't.", "No. 5 won't.", "It ended."]
+
+
+def test_list_levels():
+    assert units("1. a b\n   1. x y\n   2. Z\n2. B c\n\n3. D e\n\n4. F g") == ["1. a b", "1. x y", "2. Z", "2. B c", "3. D e", "4. F g"]
+    assert units("- a\n  - b\n- c") == ["- a", "- b", "- c"]
+    assert units("Sie kam am\n1. Mai und ging am\n3. Juni 2021 wieder fort.") == ["Sie kam am\n1. Mai und ging am\n3. Juni 2021 wieder fort."]
+
+
+@pytest.mark.parametrize("n", [1, 70, 700])
+def test_no_number_of_marks_or_letters_changes_the_cut(n):
+    assert len(units('"We agree!" The plan ' + "(a) " * n + "holds. Ann said no.")) == 3
+    assert len(units('"We agree!" ' + "x " * n + "Ann said. No.")) == 2
+    assert units("“走吧！”" + "他" * n + "说。好。") == ["“走吧！”" + "他" * n + "说。", "好。"]
+    assert units("ยา" * n + " " + "x" * n + " " + "ยา" * n) == ["ยา" * n, "x" * n, "ยา" * n]
+    assert len(units("See the " + "w" * n + ". It ended.")) == 2
+    assert units("Note: " + "Very " * n + "Long 7\n\nIt ended.") == ["Note: " + "Very " * n + "Long 7", "It ended."]
+
+
+POOL = {
+    "en": ["Dr. Tisin, M.D., Ph.D., leads the unit.", '"Is it safe?" asked Gov. Makun.', "Bill H.R. 5 funds it; S. 9 does not.", "See Fig. 3 and Sec. 9(a) for it.", "They left at 3 p.m.", 'One witness said: "No comment."'],
+    "de": ["Das Urteil (Az. 748/3) betrifft Abs. 5 Nr. 7.", "Die Mittel, d. h. rund 9.000 Euro, gehen an die Rux GmbH.", "37 Kranke kamen!", "Laut Dr. Alb: Am 3. Mai 2021 sprach er u. a. über z. B. alte Akten."],
+    "fr": ["La cour cite l’art. 8, al. 5, du code.", "« C’est sûr. Nous le publierons », a dit le Dr Laklu.", "Quelle surprise à Rux !", "L’affaire n° 8 oppose A à B et Cie."],
+    "es": ["¿Por qué espera el tribunal?", "En EE. UU. 855 enfermeras llegaron a las 2 p. m. del lunes.", "La firma Ru S.A. vendió 392.000 unidades.", "«Es firme. Lo publicaremos», dijo Ru."],
+    "ru": ["См. рис. 5 и табл. 9.", "Цена выросла до 4,74 руб. за час.", "В 2024 г. компания «рул» продала 411 тыс. единиц, в т. ч. на ул. Новой."],
+    "zh": ["平均剂量为21.38毫克（见图4.9）。", "“谁来付钱？”医院问道。", "没有回应……"],
+    "ja": ["「結果は確かです。近く公表します。」と病院は述べた。", "誰も予想していなかった！", "平均の量は19.52mgだった。"],
+    "ko": ["2016. 5. 7. 법원은 기각했다.", '"결과는 분명하다. 곧 발표하겠다"고 말했다.', "왜 기다리는가?"],
+    "hi": ['डॉ. शर्वन ने कहा, "नतीजा साफ़ है। हम इसे छापेंगे।"', "औसत खुराक 73.79 मि.ग्रा. थी।", "मामला सं. 786 बंद किया।"],
+    "th": ["ศาลยังไม่ตอบคำถามนี้", "ขนาดยาเฉลี่ยคือ10.74มก.ต่อวัน", "ในปี2005ศาลยกคำร้องที่910"],
+}
+
+
+@pytest.mark.parametrize("lang", POOL)
+def test_recall_on_planted_sentences(lang):
+    import random
+
+    rng, right, total = random.Random(5), 0, 0
+    for _ in range(300):
+        sentences = [rng.choice(POOL[lang]) for _ in range(rng.randint(1, 8))]
+        got = units(("" if lang in ("zh", "ja") else " ").join(sentences))
+        right, total = right + (got == sentences), total + 1
+    assert right / total >= 0.99
