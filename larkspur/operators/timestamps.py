@@ -4,16 +4,21 @@ A text is split into an optional weekday, a date, and an optional time of day
 with an optional zone. Every date layout that yields a possible date is one
 *parse* of the text. Slashed dates may have two parses (month first or day
 first); which one holds is decided per source by expectation-maximisation over
-the mixture of layouts: each text contributes its likelihood under each valid
-parse, and the posterior chooses. The EM sees only counts of parse signatures
-per source (a table bounded by sources x signatures), never the rows.
+a mixture of layouts and of unreadable noise: each date contributes its
+likelihood under each valid parse, weighed by the prior that is declared for the
+field, and the posterior chooses. The EM sees only counts of parse signatures
+per source, taken from the distinct slashed dates, never the rows.
+
+A wall-clock time that daylight saving repeats has two parses of equal weight
+(the earlier is given), one that it skips has none (the time is moved on by the
+gap): both are marked ``ambiguous``, as is every choice with a posterior below ``sure``.
 
 Parsing runs in Arrow batches: the same rules as built-in expressions make a
 plan of some ten thousand nodes, which took 24 s to build and ten times as long to run.
 
 Defined results: null, empty, placeholder and impossible texts give
-``normal_form`` null; no layout is longer than ``MAX_TEXT`` characters, so a
-longer text is unreadable; equal rows give equal results; an
+``normal_form`` null; white space of any length counts as one blank, and texts
+of any length are read; equal rows give equal results; an
 empty table gives an empty table; extra columns are kept untouched unless they
 carry one of the four output names, which are replaced.
 """
@@ -29,13 +34,17 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.session import cut, small_side
 
 OUTPUT = ("normal_form", "layout", "posterior", "ambiguous")
-MAX_TEXT = 80
+#: likelihood of a date as noise, and prior of the order that a field is declared not to use
+NOISE, UNDECLARED = 1e-4, 1e-6
+#: longer texts are read as well, but not remembered
+REMEMBERED = 80
 
 # Month names by language (lower case, without accents).
 MONTHS = {
@@ -92,18 +101,19 @@ _PATTERNS = {k: re.compile(v) for k, v in LAYOUTS.items()}
 _ZEROS = str.maketrans("123456789", "000000000")
 
 
-@lru_cache(maxsize=65_536)
 def _layouts_of(shape: str) -> tuple[str, ...]:
     """The layouts of a text whose digits are all 0: no pattern tells one digit from another."""
     return tuple(k for k, p in _PATTERNS.items() if p.fullmatch(shape))
 
 
-@lru_cache(maxsize=65_536)
 def _clock_of(shape: str) -> re.Pattern | None:
     """The pattern of a time of day that such a text ends with, if any."""
     return next((p for p in (_COMPACT, _CLOCK) if p.match(shape)), None)
 
 
+_known_layouts, _known_clock = lru_cache(maxsize=65_536)(_layouts_of), lru_cache(maxsize=65_536)(_clock_of)
+
+
 def _month(text: str) -> int | None:
     return int(text) if text.isdigit() else _MONTH_OF.get("".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
 
@@ -128,13 +138,24 @@ def _clock(hit: re.Match) -> tuple[int | None, int | None]:
     return h * 3600 + m * 60 + s, (-1 if zone[0] == "-" else 1) * (int(digits[:2]) * 60 + int(digits[2:]))
 
 
-@lru_cache(maxsize=65_536)
-def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str], ...]:
-    """Every reading of a text as (layout, normal form)."""
-    if raw is None or len(raw) > MAX_TEXT:
+def _on_the_clock(t: datetime, zone: str) -> tuple[str, bool]:
+    """UTC of a wall-clock time, the earlier if it occurs twice, and whether it occurs exactly once."""
+    local = ZoneInfo(zone)
+    first, second = t.replace(tzinfo=local), t.replace(tzinfo=local, fold=1)
+    return _utc(first.astimezone(UTC)), first.utcoffset() == second.utcoffset()
+
+
+def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str, bool], ...]:
+    """Every reading of a text as (layout, normal form, whether its moment is certain)."""
+    if raw is None:
         return ()
+    return _known_parses(raw, zone) if len(raw) <= REMEMBERED else _parses(raw, zone)
+
+
+def _parses(raw: str, zone: str | None) -> tuple[tuple[str, str, bool], ...]:
     text = _WEEKDAY.sub("", " ".join(raw.lower().split()))
-    clock = _clock_of(text.translate(_ZEROS))
+    clock_of, layouts_of = (_known_clock, _known_layouts) if len(text) <= REMEMBERED else (_clock_of, _layouts_of)
+    clock = clock_of(text.translate(_ZEROS))
     timed = clock.match(text) if clock else None
     day, secs, east = text, None, None
     if timed:
@@ -143,7 +164,7 @@ def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str], .
         if secs is None:
             return ()
     found = []
-    for layout in _layouts_of(day.translate(_ZEROS)):
+    for layout in layouts_of(day.translate(_ZEROS)):
         part = _PATTERNS[layout].fullmatch(day).groupdict()
         try:
             if "y" not in part:
@@ -153,7 +174,7 @@ def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str], .
                     form = (date(1899, 12, 30) + timedelta(days=int(part["days"]))).isoformat()
                 else:
                     form = _utc(datetime(1970, 1, 1) + timedelta(seconds=int(part["secs"]) if "secs" in part else int(part["ms"]) // 1000))
-                found.append((layout, form))
+                found.append((layout, form, True))
                 continue
             y = int(part["y"]) + 2000 * (len(part["y"]) == 2)
             m, d, last = (_month(part["m"]) if "m" in part else None), (int(part["d"]) if "d" in part else None), (_month(part["l"]) if "l" in part else None)
@@ -163,29 +184,31 @@ def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str], .
                 t = datetime(y, m, d) + timedelta(seconds=secs)
                 if east is not None:
                     t -= timedelta(minutes=east)
-                elif zone:  # fold 0: of a time that occurs twice the earlier
-                    t = t.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC)
-                found.append((layout, _utc(t)))
+                form, certain = _on_the_clock(t, zone) if zone and east is None else (_utc(t), True)
+                found.append((layout, form, certain))
             elif last:
-                found.append((layout, f"{y:04d}-{m:02d}/{y:04d}-{last:02d}"))
+                found.append((layout, f"{y:04d}-{m:02d}/{y:04d}-{last:02d}", True))
             else:
-                found.append((layout, f"{y:04d}" + (f"-{m:02d}" if m else "") + (f"-{d:02d}" if d else "")))
+                found.append((layout, f"{y:04d}" + (f"-{m:02d}" if m else "") + (f"-{d:02d}" if d else ""), True))
         except (ValueError, OverflowError):
             continue
     return tuple(found)
 
 
-def mixture(counts: list[tuple[tuple[str, ...], int]], prior: dict[str, float], rounds: int = 50) -> dict[str, float]:
-    """Weights of the layouts of one source: EM over signatures (the layouts a
-    text can be read in) with their counts; ``prior`` adds pseudo-counts."""
+_known_parses = lru_cache(maxsize=65_536)(_parses)
+
+
+def mixture(counts: list[tuple[dict[str, float], int]], prior: dict[str, float], rounds: int = 200) -> dict[str, float]:
+    """Weights of the layouts of one source: EM over signatures (the likelihood
+    of a text under each layout that reads it) with their counts; ``prior`` adds pseudo-counts."""
     names = sorted({x for s, _ in counts for x in s})
     weight = {x: 1.0 / len(names) for x in names}
     for _ in range(rounds):
         mass = {x: prior.get(x, 0.0) + 1e-3 for x in names}
         for s, n in counts:
-            total = sum(weight[x] for x in s)
-            for x in s:
-                mass[x] += n * weight[x] / total
+            total = sum(weight[x] * like for x, like in s.items())
+            for x, like in s.items():
+                mass[x] += n * weight[x] * like / total
         total = sum(mass.values())
         new = {x: mass[x] / total for x in names}
         moved = max(abs(new[x] - weight[x]) for x in names)
@@ -195,59 +218,86 @@ def mixture(counts: list[tuple[tuple[str, ...], int]], prior: dict[str, float],
     return weight
 
 
-def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: str | None = None, month_first: bool = False, sure: float = 0.9) -> DataFrame:
+#: signature of a slashed date -> the layouts that read it; a date read alike by both (05/05/2020) says nothing
+_BOTH, _MONTH_ONLY, _DAY_ONLY, _NEITHER = "both", "slash_mdy", "slash_dmy", "none"
+
+
+def _signature(slashed: str) -> str:
+    forms = {layout: form for layout, form, _ in parses(slashed) if layout.startswith("slash")}
+    if len(forms) == 2:
+        return _BOTH if len(set(forms.values())) == 2 else ""
+    return next(iter(forms), _NEITHER)
+
+
+def slashed_orders(counts: dict[str, int], prior: dict[str, float]) -> tuple[float, float]:
+    """Posteriors that a date readable in both orders is month first, and that
+    one readable day first only is a date at all, from one source's counts of signatures."""
+    likes = {name: {**{k: prior[k] for k in ((_MONTH_ONLY, _DAY_ONLY) if name == _BOTH else (name,)) if k in prior}, _NEITHER: NOISE} for name in (_BOTH, _MONTH_ONLY, _DAY_ONLY, _NEITHER)}
+    # with no evidence at all, month first is somewhat likelier
+    weight = mixture([(likes[name], n) for name, n in [*counts.items(), (_BOTH, 0)] if name in likes], {_MONTH_ONLY: 0.05})
+    month, day, noise = (weight.get(k, 0.0) * p for k, p in ((_MONTH_ONLY, prior[_MONTH_ONLY]), (_DAY_ONLY, prior[_DAY_ONLY]), (_NEITHER, NOISE)))
+    return month / (month + day), day / (day + noise)
+
+
+def _read(text: str | None, zone: str | None, month: float, day_only: float, sure: float) -> tuple[str | None, str | None, float | None, bool | None]:
+    """(normal form, layout, posterior, ambiguous) of a text, given the orders of its source."""
+    found = parses(text, zone)
+    slashed = [p for p in found if p[0].startswith("slash")]
+    if len(slashed) == 2 and slashed[0][1] != slashed[1][1]:
+        pick = slashed[0 if month >= 0.5 else 1]
+        posterior = max(month, 1.0 - month)
+    elif slashed and slashed[0][0] == _DAY_ONLY:
+        if day_only < 0.5:
+            return None, None, None, None
+        pick, posterior = slashed[0], day_only
+    elif found:
+        pick, posterior = found[0], 1.0
+    else:
+        return None, None, None, None
+    if not pick[2]:
+        posterior *= 0.5
+    return pick[1], pick[0], posterior, posterior < sure
+
+
+def _column(value: object) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: str | Column | None = None, month_first: bool | Column = False, sure: float = 0.9) -> DataFrame:
     """Adds ``normal_form``, ``layout``, ``posterior`` and ``ambiguous`` for the text in ``col``.
 
     ``source``: column that says where a row comes from; each source has its own
     mixture of layouts. ``zone``: zone of times written without one (UTC if
-    None). ``month_first``: slashed dates of every source are month first, so
-    the day-first layout is not in the mixture. ``ambiguous`` is true where the
-    best posterior is below ``sure``."""
+    None). ``month_first``: the field is declared to write slashed dates month
+    first, which is the prior of the mixture. Both may be columns, where fields
+    are united. ``ambiguous`` is true where the posterior is below ``sure``, as
+    it is for a time that the zone's clock shows twice or skips."""
     keep = [F.col(f"`{c}`") for c in df.columns if c not in OUTPUT]
-    df = df.select(*keep, F.col(f"`{col}`").cast("string").alias("__text"), (F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit("")).alias("__source"))
-
-    @F.pandas_udf("struct<form: string, layout: string>")
-    def read_first(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows = [next(((form, layout) for layout, form in parses(t, zone) if layout != "slash_dmy"), (None, None)) for t in batch]
-            yield pd.DataFrame(rows, columns=["form", "layout"], dtype=object)
-
-    if month_first:  # no layouts compete: the first reading stands
-        df = df.withColumn("__p", read_first("__text"))
-        found = F.col("__p.form").isNotNull()
-        return df.select(*keep, F.col("__p.form").alias("normal_form"), F.col("__p.layout").alias("layout"), F.when(found, F.lit(1.0)).alias("posterior"), F.when(found, F.lit(False)).alias("ambiguous"))
-
-    @F.pandas_udf("struct<layouts: array<string>, forms: array<string>, sig: string>")
-    def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows = []
-            for text in batch:
-                found = list(parses(text, zone))
-                if len({form for _, form in found}) == 1:  # 05/05/2020 says nothing about the order
-                    found = found[:1]
-                rows.append(([p[0] for p in found], [p[1] for p in found], "|".join(p[0] for p in found)))
-            yield pd.DataFrame(rows, columns=["layouts", "forms", "sig"])
-
-    df = df.withColumn("__p", read("__text"))
-    first, sure_one = F.try_element_at("__p.forms", F.lit(1)), F.try_element_at("__p.layouts", F.lit(1))
-    counts = df.select("__source", F.col("__p.sig").alias("__sig")).filter("__sig != ''").groupBy("__source", "__sig").agg(F.count(F.lit(1)).alias("n"))
+    df = df.select(*keep, F.col(f"`{col}`").cast("string").alias("__text"), (F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit("")).alias("__source"), _column(zone).cast("string").alias("__zone"), _column(month_first).alias("__declared"))
+
+    @F.pandas_udf("string")
+    def signature(slashed: pd.Series) -> pd.Series:
+        return slashed.map(_signature)
 
     def em(part: pd.DataFrame) -> pd.DataFrame:
-        seen = [(tuple(s.split("|")), int(n)) for s, n in zip(part["__sig"], part["n"])]
-        # a slashed text read one way only because the other is impossible decides the order; one that can be read both ways does not
-        weight = mixture(seen, {"slash_mdy": 0.05})
-        rows = []
-        for s, _ in seen:
-            best = max(s, key=lambda x: (weight[x], -s.index(x)))
-            rows.append(("|".join(s), best, weight[best] / sum(weight[x] for x in s)))
-        out = pd.DataFrame(rows, columns=["__sig", "__best", "__post"])
-        out.insert(0, "__source", part["__source"].iloc[0])
-        return out
-
-    # a group holds the few signatures of one source; only ambiguous ones need a look-up
-    chosen = counts.groupBy("__source").applyInPandas(em, "__source string, __sig string, __best string, __post double").filter(F.col("__sig").contains("|"))
-    df = df.withColumn("__sig", F.col("__p.sig")).join(small_side(cut(chosen)), ["__source", "__sig"], "left")
-    at = F.when(F.col("__best").isNull(), F.lit(1)).otherwise(F.array_position("__p.layouts", F.col("__best")).cast("int"))
-    found = first.isNotNull()
-    post = F.coalesce("__post", F.lit(1.0))
-    return df.select(*keep, F.try_element_at("__p.forms", at).alias("normal_form"), F.coalesce("__best", sure_one).alias("layout"), F.when(found, post).alias("posterior"), F.when(found, post < sure).alias("ambiguous"))
+        declared = bool(part["__declared"].iloc[0])
+        month, day_only = slashed_orders(dict(zip(part["sig"], part["n"].astype(int))), {_MONTH_ONLY: 1.0, _DAY_ONLY: UNDECLARED if declared else 1.0})
+        return pd.DataFrame({"__source": [part["__source"].iloc[0]], "__declared": [declared], "__month": [month], "__day_only": [day_only]})
+
+    # distinct slashed dates only: the calendar bounds them, whatever the rows
+    by = ["__source", "__declared"]
+    dates = df.select(*by, F.regexp_extract("__text", r"(?i)^\s*(?:[a-z]+,?\s+)?(\d{1,2}/\d{1,2}/(?:\d{4}|\d{2}))(?![\d/])", 1).alias("slashed")).filter("slashed != ''").groupBy(*by, "slashed").agg(F.count(F.lit(1)).alias("n"))
+    counts = dates.groupBy(*by, signature("slashed").alias("sig")).agg(F.sum("n").alias("n"))
+    orders = counts.groupBy(*by).applyInPandas(em, "__source string, __declared boolean, __month double, __day_only double")  # a group holds the few signatures of one source
+    # at most two rows if there is no source column; else counted before it is broadcast
+    orders = small_side(cut(orders)) if source else F.broadcast(orders)
+
+    @F.arrow_udf("struct<form: string, layout: string, posterior: double, ambiguous: boolean>")
+    def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        types = (pa.string(), pa.string(), pa.float64(), pa.bool_())
+        for batch in batches:
+            columns = list(zip(*(_read(t, z, m, d, sure) for t, z, m, d in zip(*(x.to_pylist() for x in batch))))) or [[]] * 4
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["form", "layout", "posterior", "ambiguous"])
+
+    joined = df.join(orders, by, "left").withColumn("__p", read("__text", "__zone", F.coalesce("__month", F.lit(1.0)), F.coalesce("__day_only", F.lit(1.0))))
+    return joined.select(*keep, *[F.col(f"__p.{a}").alias(b) for a, b in zip(("form", "layout", "posterior", "ambiguous"), OUTPUT)])

@@ -38,17 +38,22 @@ def p2_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def one(name: str, key: str, col: str, **how) -> DataFrame:
-        df = table(spark, sf_dir, name)
-        df = df.select(F.col(key).cast("string").alias("row_key"), F.col(col).alias("value"), *([F.col(how["source"]).alias("source")] if "source" in how else []))
-        return normalise_times(df, "value", **how).select(F.lit(f"{name}.{col}").alias("field"), "row_key", "normal_form", "layout", "posterior", "ambiguous")
-
-    return (
-        one("clinical_trials", "nct_id", "start_date", month_first=True)
-        .unionByName(one("pubmed_articles", "pmid", "pub_date", month_first=True))
+    """The four fields, united so that one mixture pass and one reading pass serve
+    them all. Each field is declared month first but legal_cases, whose sources
+    keep their own orders."""
+
+    def one(name: str, key: str, col: str, source: str | None = None, zone: str | None = None) -> DataFrame:
+        field = F.lit(f"{name}.{col}")
+        origin = F.concat_ws(" ", field, F.col(source)) if source else field
+        return table(spark, sf_dir, name).select(field.alias("field"), F.col(key).cast("string").alias("row_key"), F.col(col).alias("value"), origin.alias("origin"), F.lit(zone).cast("string").alias("zone"), F.lit(source is None).alias("month_first"))
+
+    rows = (
+        one("clinical_trials", "nct_id", "start_date")
+        .unionByName(one("pubmed_articles", "pmid", "pub_date"))
         .unionByName(one("legal_cases", "case_id", "date_filed", source="source"))
-        .unionByName(one("ercot_prices", "id", "timestamp", zone="America/Chicago", month_first=True))
+        .unionByName(one("ercot_prices", "id", "timestamp", zone="America/Chicago"))
     )
+    return normalise_times(rows, "value", source="origin", zone=F.col("zone"), month_first=F.col("month_first"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

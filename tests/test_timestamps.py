@@ -1,6 +1,6 @@
 import pytest
 
-from larkspur.operators.timestamps import MAX_TEXT, mixture, normalise_times, parses
+from larkspur.operators.timestamps import mixture, normalise_times, parses, slashed_orders
 
 CHICAGO = "America/Chicago"
 
@@ -50,10 +50,21 @@ def test_wall_clock():
 
 
 def test_mixture_prefers_the_order_that_explains_the_source():
-    w = mixture([(("slash_dmy",), 5), (("slash_mdy", "slash_dmy"), 40)], {"slash_mdy": 0.05})
+    w = mixture([({"slash_dmy": 1.0}, 5), ({"slash_mdy": 1.0, "slash_dmy": 1.0}, 40)], {"slash_mdy": 0.05})
     assert w["slash_dmy"] > 0.95
 
 
+def test_orders_of_one_source():
+    even = {"slash_mdy": 1.0, "slash_dmy": 1.0}
+    assert slashed_orders({"both": 40, "slash_dmy": 5}, even)[0] < 0.05
+    assert slashed_orders({"both": 40, "slash_mdy": 5, "none": 3}, even)[0] > 0.95
+    assert 0.1 < slashed_orders({"both": 4}, even)[0] < 0.9999  # nothing tells
+    declared = {"slash_mdy": 1.0, "slash_dmy": 1e-6}
+    month, day_only = slashed_orders({"both": 400, "slash_mdy": 300, "slash_dmy": 5}, declared)
+    assert month > 0.999 and day_only < 0.5  # a date that breaks the declared order is noise
+    assert slashed_orders({"both": 3}, declared)[0] > 0.999
+
+
 def test_orders_differ_by_source(spark):
     rows = [("us", "12/18/2021"), ("us", "03/04/2021"), ("eu", "18/12/2021"), ("eu", "03/04/2021"), ("new", "03/04/2021"), ("new", "05/05/2021"), (None, None)]
     got = {(r.source, r.value): r for r in normalise_times(spark.createDataFrame(rows, "source string, value string"), "value", source="source").collect()}
@@ -65,8 +76,25 @@ def test_orders_differ_by_source(spark):
 
 
 def test_shape(spark):
-    df = spark.createDataFrame([(1, "2020-01-01", "a", "x"), (1, "2020-01-01", "a", "x"), (2, "x" * (MAX_TEXT + 1), None, None)], "id int, value string, layout string, __sig string")
+    df = spark.createDataFrame([(1, "2020-01-01", "a", "x"), (1, "2020-01-01", "a", "x"), (2, "x" * 500, None, None)], "id int, value string, layout string, __sig string")
     out = normalise_times(df, "value", month_first=True)
     assert out.columns == ["id", "value", "__sig", "normal_form", "layout", "posterior", "ambiguous"]
     assert [r.normal_form for r in out.orderBy("id").collect()] == ["2020-01-01", "2020-01-01", None]
     assert normalise_times(df.limit(0), "value").count() == 0
+
+
+def test_texts_of_any_length():
+    assert parses(" " * 75 + "2024-05-06")[0][1] == "2024-05-06"
+    assert parses("\t" * 100_000 + "6   " + " " * 500 + " May 2024 \n")[0][1] == "2024-05-06"
+    assert parses("2024-05-06T10:00:00." + "3" * 5_000 + "Z")[0][1] == "2024-05-06T10:00:00Z"
+    assert parses("1/" * 200_000) == ()
+
+
+def test_times_that_the_clock_shows_twice_or_skips_are_marked(spark):
+    rows = [("2024-11-03 01:30",), ("2024-03-10 02:30",), ("2024-11-03 03:30",), ("2024-11-03 01:30 CST",), ("03/04/2021",), ("18/12/2021",)]
+    got = {r.value: r for r in normalise_times(spark.createDataFrame(rows, "value string"), "value", zone=CHICAGO, month_first=True).collect()}
+    assert got["2024-11-03 01:30"].normal_form == "2024-11-03T06:30:00Z" and got["2024-11-03 01:30"].ambiguous
+    assert got["2024-03-10 02:30"].normal_form == "2024-03-10T08:30:00Z" and got["2024-03-10 02:30"].ambiguous
+    assert not got["2024-11-03 03:30"].ambiguous and not got["2024-11-03 01:30 CST"].ambiguous
+    assert got["03/04/2021"].normal_form == "2021-03-04" and 0.99 < got["03/04/2021"].posterior < 1.0 and not got["03/04/2021"].ambiguous
+    assert got["18/12/2021"].normal_form is None
