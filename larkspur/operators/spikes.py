@@ -6,18 +6,22 @@ changes. A reading whose standardised innovation exceeds ``threshold`` is
 flagged and its update withheld, so that the level is not dragged along; the
 flag holds only if the series jumps back within ``max_steps`` steps, otherwise
 the level has moved and the filter restarts there. Readings outside
-``bounds`` never enter the filter. A vanishing innovation variance - the same
-value over ``stuck_steps`` consecutive steps or more - marks a stuck sensor.
+``bounds`` never enter the filter. A stuck sensor shows in the variance of the
+innovations, taken over a moving window of ``stuck_steps`` steps: where it
+vanishes against the series' scale, all readings of the window are marked.
 
-Scale: a series is cut into windows of time with overlapping margins, so one
-series that holds a third of all rows spreads over many tasks and no task sees
-an unbounded group. The filter forgets within a few steps, far less than a margin.
+Scale: a series is cut into windows of about ``window_steps`` readings with
+overlapping margins, sized by the series' own density in time, so one series
+that holds a third of all rows spreads over many tasks, and a series with a
+reading a second or a month is treated alike. The filter forgets within a few steps,
+far less than a margin.
 
 Defined results: a null value is never flagged and counts as a missing step; a
 row without time or series can only fail ``bounds`` (or be not finite); rows
 with the same series and time are one step (its value is that of the smallest
-id; a differing repeat is judged by ``bounds`` alone); an empty table gives an
-empty table.
+id; a differing repeat is judged by ``bounds`` alone); a series of one or two
+readings has no normal behaviour to leave, so nothing in it is flagged but by
+``bounds``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,19 +33,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAY = 86_400
+from larkspur.session import cut, small_side
+
+#: innovations smaller than this share of the series' scale are no movement
+STILL = 1e-6
 
 
 def robust_scale(values: np.ndarray, steps: np.ndarray) -> float:
-    """Spread of the changes over one step (MAD, as a standard deviation)."""
-    change = np.diff(values)[np.diff(steps) <= 1.5]
-    if len(change) < 3:
-        change = np.diff(values)
+    """Spread of the changes over one step (MAD, as a standard deviation); a
+    random walk spreads with the root of the steps between two readings."""
+    change = np.abs(np.diff(values)) / np.sqrt(np.maximum(np.diff(steps), 1.0))
     if not len(change):
         return 1.0
-    scale = 1.4826 * float(np.median(np.abs(change)))
+    scale = 1.4826 * float(np.median(change))
     if scale <= 0:  # more than half of the steps stand still
-        moving = np.abs(change[change != 0])
+        moving = change[change != 0]
         scale = 1.4826 * float(np.median(moving)) if len(moving) else 1e-9
     return scale
 
@@ -50,7 +56,7 @@ def kalman_excursions(values: np.ndarray, steps: np.ndarray, threshold: float, m
     """Marks readings that leave the forecast and come back. ``steps``: time in steps."""
     n = len(values)
     flagged = np.zeros(n, dtype=bool)
-    if n < 5:
+    if not n:
         return flagged
     scale = robust_scale(values, steps)
     q, r = 0.8 * scale * scale, 0.1 * scale * scale
@@ -90,15 +96,25 @@ def kalman_excursions(values: np.ndarray, steps: np.ndarray, threshold: float, m
 
 
 def vanished_variance(values: np.ndarray, steps: np.ndarray, stuck_steps: int) -> np.ndarray:
-    """Marks runs whose innovations have no variance over ``stuck_steps`` steps."""
+    """Marks the readings of every moving window of ``stuck_steps`` steps whose
+    innovations have no variance.
+
+    The innovations are those of the model's random walk alone (no noise), which
+    a stuck value brings to nothing at once and not only in the limit."""
     n = len(values)
     stuck = np.zeros(n, dtype=bool)
-    start = 0
-    for i in range(1, n + 1):
-        if i == n or values[i] != values[start]:
-            if i - start > 1 and steps[i - 1] - steps[start] + 1 >= stuck_steps - 0.25:
-                stuck[start:i] = True
-            start = i
+    if n < 2:
+        return stuck
+    square = np.concatenate(([0.0], np.diff(values) ** 2 / np.maximum(np.diff(steps), 1.0)))
+    least = (STILL * robust_scale(values, steps)) ** 2
+    moved = np.cumsum(square > (stuck_steps * least))  # a window with such a step cannot have a variance of ``least``
+    first = np.searchsorted(steps, steps - (stuck_steps - 0.75), side="left")
+    first = np.where(steps - steps[first] + 1 >= stuck_steps - 0.25, first, first - 1)  # the window spans all its steps
+    ends = np.flatnonzero((first >= 0) & (first < np.arange(n)) & (moved == moved[np.maximum(first, 0)]))
+    for j in ends:
+        i = int(first[j])
+        if steps[j] - steps[i] + 1 >= stuck_steps - 0.25 and square[i + 1 : j + 1].mean() <= least:
+            stuck[i : j + 1] = True
     return stuck
 
 
@@ -112,14 +128,13 @@ def implausible_readings(
     threshold: float = 4.5,
     max_steps: int = 3,
     stuck_steps: int = 6,
-    window_days: int = 28,
-    margin_days: int = 7,
+    window_steps: int = 2016,
+    margin_steps: int = 96,
 ) -> DataFrame:
     """Rows (``key``, ``reason``) of readings that do not fit their series.
 
     ``time``: seconds since 1970 (any number). reason is ``impossible``,
     ``spike`` or ``stuck``."""
-    size, margin = window_days * DAY, margin_days * DAY
     v = F.col(f"`{value}`").cast("double")
     rows = df.select(
         F.col(f"`{key}`").alias("id"),
@@ -129,10 +144,15 @@ def implausible_readings(
         (F.isnan(v) | (v < bounds[0]) | (v > bounds[1])).alias("bad"),
     ).filter("v is not null")
     impossible = rows.filter("bad").select("id", F.lit("impossible").alias("reason"))
-    at = F.floor(F.col("t") / size)
-    off = F.col("t") - at * size
-    windows = F.array_compact(F.array(at, F.when(off < margin, at - 1), F.when(off >= size - margin, at + 1)))
-    placed = rows.filter("not bad and t is not null and series is not null").select("id", "series", "t", "v", at.alias("home"), F.explode(windows).alias("w"))
+    timed = cut(rows.filter("not bad and t is not null and series is not null").select("id", "series", "t", "v"))
+    # the mean time between two readings of each series, one row a series
+    density = timed.groupBy("series").agg(F.min("t").alias("start"), ((F.max("t") - F.min("t")) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("gap"))
+    density = density.withColumn("gap", F.when(F.col("gap") > 0, F.col("gap")).otherwise(1.0))
+    place = (F.col("t") - F.col("start")) / F.col("gap")
+    at = F.floor(place / window_steps)
+    off = place - at * window_steps
+    windows = F.array_compact(F.array(at, F.when(off < margin_steps, at - 1), F.when(off >= window_steps - margin_steps, at + 1)))
+    placed = timed.join(small_side(cut(density)), "series").select("id", "series", "t", "v", at.alias("home"), F.explode(windows).alias("w"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def judge(part: pd.DataFrame) -> pd.DataFrame:

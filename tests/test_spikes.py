@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from larkspur.operators.spikes import implausible_readings, kalman_excursions, vanished_variance
 
@@ -40,6 +42,33 @@ def test_windows_do_not_change_the_verdict(spark):
     x = series(1500, 3)
     x[::97] += 40
     df = spark.createDataFrame([(i, "z", float(v), i * 3600) for i, v in enumerate(x)], "id long, zone string, price double, t long")
-    whole = {r.id for r in implausible_readings(df, ["zone"], "t", "price", "id", (-1e3, 1e3), window_days=4000, margin_days=7).collect()}
-    cut = {r.id for r in implausible_readings(df, ["zone"], "t", "price", "id", (-1e3, 1e3), window_days=14, margin_days=4).collect()}
+    whole = {r.id for r in implausible_readings(df, ["zone"], "t", "price", "id", (-1e3, 1e3), window_steps=100_000, margin_steps=96).collect()}
+    cut = {r.id for r in implausible_readings(df, ["zone"], "t", "price", "id", (-1e3, 1e3), window_steps=336, margin_steps=96).collect()}
     assert whole == cut and len(whole) >= 14
+
+
+def test_a_stuck_value_with_jitter_has_no_innovation_variance():
+    x = series(60)
+    x[10:18] = x[10] + np.array([0, 1, -1, 2, 0, 1, 0, -1]) * 1e-9
+    assert set(np.flatnonzero(vanished_variance(x, np.arange(60), 6))) == set(range(10, 18))
+    x[30:36] = x[30] + np.array([0, 1, -1, 1, 0, 1]) * 0.01  # small, but a movement
+    assert 30 not in np.flatnonzero(vanished_variance(x, np.arange(60), 6))
+
+
+@pytest.mark.parametrize("step", [1, 300, 14 * 86_400, 30 * 86_400])
+def test_series_of_any_step_are_judged_alike(spark, step):
+    x = series(200)
+    x[60] += 50
+    x[100:107] = x[100]
+    df = spark.createDataFrame([(i, "z", float(v), 1_500_000_000 + i * step) for i, v in enumerate(x)], "id long, zone string, price double, t long")
+    got = {(r.id, r.reason) for r in implausible_readings(df, ["zone"], "t", "price", "id", (-1e3, 1e3)).collect()}
+    assert got == {(60, "spike"), *((i, "stuck") for i in range(100, 107))}
+    twice = df.unionByName(df.withColumn("id", F.col("id") + 1000))
+    again = {(r.id % 1000, r.reason) for r in implausible_readings(twice, ["zone"], "t", "price", "id", (-1e3, 1e3)).collect()}
+    assert again == got
+
+
+def test_short_series():
+    assert list(kalman_excursions(np.array([5.0, 6.0, 500.0, 5.5, 6.5, 5.2]), np.arange(6.0), 4.5, 3)) == [False, False, True, False, False, False]
+    for n in range(4):
+        assert not kalman_excursions(np.arange(n, dtype=float), np.arange(n, dtype=float), 4.5, 3).any()
