@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.orphans import orphan_keys, salted_join
+from larkspur.operators.orphans import MATCHES, failed_references, hot_keys, orphan_keys
 from larkspur.operators.packed import split_packed
 from larkspur.operators.spikes import implausible_readings
 from larkspur.operators.timestamps import normalise_times
@@ -114,28 +114,24 @@ def _bill_key(c: str):
     return F.lower(F.regexp_replace(F.col(c), r"[\s.]+", ""))
 
 
+def _split_bill(df: DataFrame) -> DataFrame:
+    """A bill id as a composite key (bill, congress), empty where a part is not written."""
+    return df.withColumn("bill", F.regexp_extract("bill_id", r"^(.*?)(?:-(\d+))?$", 1)).withColumn("congress", F.regexp_extract("bill_id", r"^(.*?)(?:-(\d+))?$", 2))
+
+
 def _failed_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes whose bill fails, with the moment, period and kind of failure.
 
     A bill id is a composite key (bill, congress), null in both parts where the
     vote names no bill; such a reference is satisfied (match simple)."""
-    votes = table(spark, sf_dir, "congress_votes").select("vote_id", "bill_id", "date", "created_at")
-    votes = votes.filter("vote_id is not null").withColumn("bill_id", F.nullif(_bill_key("bill_id"), F.lit("")))
-    votes = votes.groupBy("vote_id").agg(F.min("created_at").alias("seen"), F.min(F.struct(F.col("created_at").isNull(), "created_at", "bill_id", "date")).alias("first"))
-    votes = votes.select("vote_id", "seen", "first.bill_id", F.substring("first.date", 1, 7).alias("period"))
-    bills = table(spark, sf_dir, "congress_bills").select("bill_id", "created_at").filter("bill_id is not null").withColumn("bill_id", _bill_key("bill_id")).groupBy("bill_id").agg(F.min("created_at").alias("stored"))
-    removals = table(spark, sf_dir, "bill_removals").filter("bill_id is not null").withColumn("bill_id", _bill_key("bill_id")).groupBy("bill_id").agg(F.min("removed_at").alias("removed"))
-
-    def split(df: DataFrame) -> DataFrame:
-        return df.withColumn("bill", F.regexp_extract("bill_id", r"^(.*?)(?:-(\d+))?$", 1)).withColumn("congress", F.regexp_extract("bill_id", r"^(.*?)(?:-(\d+))?$", 2))
-
+    votes = table(spark, sf_dir, "congress_votes").select("vote_id", F.nullif(_bill_key("bill_id"), F.lit("")).alias("bill_id"), "date", "created_at").filter("vote_id is not null")
+    first = votes.groupBy("vote_id").agg(F.min("created_at").alias("seen"), F.min(F.struct(F.col("created_at").isNull(), "created_at", "bill_id", "date")).alias("first"))
+    first = first.select("vote_id", "seen", "first.bill_id", F.substring("first.date", 1, 7).alias("period"))
+    bills = table(spark, sf_dir, "congress_bills").select(_bill_key("bill_id").alias("bill_id"), "created_at").filter("bill_id is not null")
+    removals = table(spark, sf_dir, "bill_removals").select(_bill_key("bill_id").alias("bill_id"), "removed_at").filter("bill_id is not null")
     on = ["bill", "congress"]
-    missing = orphan_keys(split(votes.select("bill_id")), split(bills.select("bill_id")), on, match="simple").select(F.concat("bill", F.when(F.col("congress") != "", F.concat(F.lit("-"), "congress")).otherwise("")).alias("bill_id"), F.lit(True).alias("missing"))
-    # one row for every bill that may fail; unique on bill_id
-    state = bills.join(removals, "bill_id", "full").join(missing, "bill_id", "full")
-    joined = salted_join(votes, state, ["bill_id"], by="vote_id")
-    kind = F.when(F.col("removed") <= F.col("seen"), "deleted").when(F.col("missing"), "missing").when(F.col("stored") > F.col("seen"), "late")
-    return joined.withColumn("kind", kind).filter("kind is not null")
+    hot = hot_keys(_split_bill(votes.filter("bill_id is not null")), on)
+    return failed_references(_split_bill(first), _split_bill(bills), _split_bill(removals), on, seen="seen", stored="created_at", removed="removed_at", by="vote_id", hot=hot)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +144,16 @@ def p7_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _failed_votes(spark, sf_dir).groupBy(F.lit("congress_votes.bill_id").alias("reference"), "period", "kind").agg(F.count(F.lit(1)).alias("n_votes"), F.countDistinct("bill_id").alias("n_bills"))
 
 
+def p7_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references (bill, congress of the vote) by null mask under the three match semantics.
+
+    A vote that names no bill still names its congress: a reference with a null part."""
+    votes = table(spark, sf_dir, "congress_votes").select(F.nullif(F.regexp_replace(_bill_key("bill_id"), r"-\d+$", ""), F.lit("")).alias("bill"), F.col("congress").cast("string").alias("congress"))
+    bills = _split_bill(table(spark, sf_dir, "congress_bills").select(_bill_key("bill_id").alias("bill_id"))).select("bill", F.nullif("congress", F.lit("")).alias("congress"))
+    parts = [orphan_keys(votes, bills, ["bill", "congress"], m).groupBy(F.lit(m).alias("match"), "null_mask").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_refs").cast("bigint").alias("n_refs")) for m in MATCHES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_dialects": p2_dialects,
@@ -158,6 +164,7 @@ QUERIES = {
     "p6_units": p6_units,
     "p7_found": p7_found,
     "p7_by_period": p7_by_period,
+    "p7_masks": p7_masks,
 }
 
 _FAILED = """
@@ -171,4 +178,14 @@ WITH v AS (SELECT vote_id, min(created_at) AS seen, min(lower(regexp_replace(bil
 SQL = {
     "p7_found": _FAILED + "SELECT vote_id, bill_id, period, kind FROM f WHERE kind IS NOT NULL",
     "p7_by_period": _FAILED + "SELECT 'congress_votes.bill_id' AS reference, period, kind, count(*) AS n_votes, count(DISTINCT bill_id) AS n_bills FROM f WHERE kind IS NOT NULL GROUP BY period, kind",
+    "p7_masks": """
+WITH v AS (SELECT nullif(regexp_replace(lower(regexp_replace(bill_id, '[\\s.]+', '', 'g')), '-[0-9]+$', ''), '') AS bill, CAST(congress AS VARCHAR) AS congress, count(*) AS n FROM congress_votes GROUP BY 1, 2),
+     k AS (SELECT DISTINCT regexp_extract(b, '^(.*?)(-([0-9]+))?$', 1) AS bill, nullif(regexp_extract(b, '^(.*?)(-([0-9]+))?$', 3), '') AS congress FROM (SELECT lower(regexp_replace(bill_id, '[\\s.]+', '', 'g')) AS b FROM congress_bills)),
+     c AS (SELECT v.*, CASE WHEN bill IS NULL THEN '1' ELSE '0' END || CASE WHEN congress IS NULL THEN '1' ELSE '0' END AS null_mask,
+                  EXISTS (SELECT 1 FROM k WHERE k.bill = v.bill AND k.congress = v.congress) AS whole,
+                  EXISTS (SELECT 1 FROM k WHERE (v.bill IS NULL OR k.bill = v.bill) AND (v.congress IS NULL OR k.congress = v.congress)) AS part FROM v),
+     f AS (SELECT 'simple' AS match, * FROM c WHERE null_mask = '00' AND NOT whole
+           UNION ALL SELECT 'partial', * FROM c WHERE null_mask <> '11' AND NOT part
+           UNION ALL SELECT 'full', * FROM c WHERE null_mask IN ('01', '10') OR (null_mask = '00' AND NOT whole))
+SELECT match, null_mask, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_refs FROM f GROUP BY match, null_mask""",
 }
