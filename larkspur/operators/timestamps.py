@@ -106,12 +106,11 @@ def _layouts_of(shape: str) -> tuple[str, ...]:
     return tuple(k for k, p in _PATTERNS.items() if p.fullmatch(shape))
 
 
-def _clock_of(shape: str) -> re.Pattern | None:
-    """The pattern of a time of day that such a text ends with, if any."""
-    return next((p for p in (_COMPACT, _CLOCK) if p.match(shape)), None)
-
-
-_known_layouts, _known_clock = lru_cache(maxsize=65_536)(_layouts_of), lru_cache(maxsize=65_536)(_clock_of)
+def _clock_of(shape: str) -> tuple[tuple[int, int], ...] | None:
+    """Where the parts of a time of day stand in such a text, if it ends with one:
+    the spans of date, hour, minute, second, half of the day and zone."""
+    hit = next((m for m in (p.match(shape) for p in (_COMPACT, _CLOCK)) if m), None)
+    return tuple(hit.span(g) for g in ("date", "h", "m", "s", "half", "zone")) if hit else None
 
 
 def _month(text: str) -> int | None:
@@ -119,23 +118,30 @@ def _month(text: str) -> int | None:
 
 
 def _utc(t: datetime) -> str:
-    return f"{t.year:04d}-{t:%m-%dT%H:%M:%S}Z"
+    return f"{t.year:04d}-{t.month:02d}-{t.day:02d}T{t.hour:02d}:{t.minute:02d}:{t.second:02d}Z"
 
 
-def _clock(hit: re.Match) -> tuple[int | None, int | None]:
+def _seconds(h: str, m: str, s: str, half: str, zone: str) -> tuple[int | None, int | None]:
     """Seconds of the day and minutes east of UTC; None: impossible, not given."""
-    h, m, s, half = int(hit["h"]), int(hit["m"]), int(hit["s"] or 0), (hit["half"] or "")[:1]
-    if m > 59 or s > 59 or h > 24 or (h == 24 and (m or s)) or (half and not 1 <= h <= 12):
+    hour, minute, second, half = int(h), int(m), int(s or 0), half[:1]
+    if minute > 59 or second > 59 or hour > 24 or (hour == 24 and (minute or second)) or (half and not 1 <= hour <= 12):
         return None, None
     if half:
-        h = h % 12 + 12 * (half == "p")
-    zone = hit["zone"]
+        hour = hour % 12 + 12 * (half == "p")
+    secs = hour * 3600 + minute * 60 + second
     if not zone:
-        return h * 3600 + m * 60 + s, None
+        return secs, None
     if zone in ZONES:
-        return h * 3600 + m * 60 + s, ZONES[zone]
+        return secs, ZONES[zone]
     digits = re.sub(r"\D", "", zone).ljust(4, "0")
-    return h * 3600 + m * 60 + s, (-1 if zone[0] == "-" else 1) * (int(digits[:2]) * 60 + int(digits[2:]))
+    return secs, (-1 if zone[0] == "-" else 1) * (int(digits[:2]) * 60 + int(digits[2:]))
+
+
+def _day_offset(zone: str, y: int, m: int, d: int) -> timedelta | None:
+    """What a zone's clock is ahead of UTC all through a day; None if that changes on it."""
+    local, day = ZoneInfo(zone), datetime(y, m, d)
+    offsets = {(day + timedelta(hours=h)).replace(tzinfo=local, fold=f).utcoffset() for h in (-1, 0, 12, 24, 25) for f in (0, 1)}
+    return offsets.pop() if len(offsets) == 1 else None
 
 
 def _on_the_clock(t: datetime, zone: str) -> tuple[str, bool]:
@@ -145,57 +151,67 @@ def _on_the_clock(t: datetime, zone: str) -> tuple[str, bool]:
     return _utc(first.astimezone(UTC)), first.utcoffset() == second.utcoffset()
 
 
-def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str, bool], ...]:
-    """Every reading of a text as (layout, normal form, whether its moment is certain)."""
-    if raw is None:
-        return ()
-    return _known_parses(raw, zone) if len(raw) <= REMEMBERED else _parses(raw, zone)
-
-
-def _parses(raw: str, zone: str | None) -> tuple[tuple[str, str, bool], ...]:
-    text = _WEEKDAY.sub("", " ".join(raw.lower().split()))
-    clock_of, layouts_of = (_known_clock, _known_layouts) if len(text) <= REMEMBERED else (_clock_of, _layouts_of)
-    clock = clock_of(text.translate(_ZEROS))
-    timed = clock.match(text) if clock else None
-    day, secs, east = text, None, None
-    if timed:
-        day = timed["date"].rstrip(", ")
-        secs, east = _clock(timed)
-        if secs is None:
-            return ()
+def _dates(day: str) -> tuple[tuple[str, int, int, int, str], ...]:
+    """Every reading of a date as (layout, year, month, day, normal form); day 0 where it takes no time of day."""
     found = []
-    for layout in layouts_of(day.translate(_ZEROS)):
+    for layout in (_known_layouts if len(day) <= REMEMBERED else _layouts_of)(day.translate(_ZEROS)):
         part = _PATTERNS[layout].fullmatch(day).groupdict()
         try:
+            if "days" in part:
+                found.append((layout, 0, 0, 0, (date(1899, 12, 30) + timedelta(days=int(part["days"]))).isoformat()))
+                continue
             if "y" not in part:
-                if timed:
-                    continue
-                if "days" in part:
-                    form = (date(1899, 12, 30) + timedelta(days=int(part["days"]))).isoformat()
-                else:
-                    form = _utc(datetime(1970, 1, 1) + timedelta(seconds=int(part["secs"]) if "secs" in part else int(part["ms"]) // 1000))
-                found.append((layout, form, True))
+                found.append((layout, 0, 0, 0, _utc(datetime(1970, 1, 1) + timedelta(seconds=int(part["secs"]) if "secs" in part else int(part["ms"]) // 1000))))
                 continue
             y = int(part["y"]) + 2000 * (len(part["y"]) == 2)
             m, d, last = (_month(part["m"]) if "m" in part else None), (int(part["d"]) if "d" in part else None), (_month(part["l"]) if "l" in part else None)
-            if y < 1000 or ("m" in part and not (m and 1 <= m <= 12)) or ("d" in part and not 1 <= d <= monthrange(y, m)[1]) or ("l" in part and not (last and last > m)) or (timed and not d):
+            if y < 1000 or ("m" in part and not (m and 1 <= m <= 12)) or ("d" in part and not 1 <= d <= monthrange(y, m)[1]) or ("l" in part and not (last and last > m)):
                 continue
-            if timed:
-                t = datetime(y, m, d) + timedelta(seconds=secs)
-                if east is not None:
-                    t -= timedelta(minutes=east)
-                form, certain = _on_the_clock(t, zone) if zone and east is None else (_utc(t), True)
-                found.append((layout, form, certain))
-            elif last:
-                found.append((layout, f"{y:04d}-{m:02d}/{y:04d}-{last:02d}", True))
-            else:
-                found.append((layout, f"{y:04d}" + (f"-{m:02d}" if m else "") + (f"-{d:02d}" if d else ""), True))
+            form = f"{y:04d}-{m:02d}/{y:04d}-{last:02d}" if last else f"{y:04d}" + (f"-{m:02d}" if m else "") + (f"-{d:02d}" if d else "")
+            found.append((layout, y, m or 0, d or 0, form))
         except (ValueError, OverflowError):
             continue
     return tuple(found)
 
 
-_known_parses = lru_cache(maxsize=65_536)(_parses)
+# Dates, times of day and shapes repeat where whole texts do not.
+_known_layouts, _known_clock, _known_seconds, _known_offset, _known_dates = (lru_cache(maxsize=65_536)(f) for f in (_layouts_of, _clock_of, _seconds, _day_offset, _dates))
+
+
+def parses(raw: str | None, zone: str | None = None) -> tuple[tuple[str, str, bool], ...]:
+    """Every reading of a text as (layout, normal form, whether its moment is certain).
+
+    ``zone``: of a time written without one (UTC if None)."""
+    if raw is None:
+        return ()
+    text = " ".join(raw.lower().split())
+    if text and text[0].isalpha():
+        text = _WEEKDAY.sub("", text)
+    short = len(text) <= REMEMBERED
+    spans = (_known_clock if short else _clock_of)(text.translate(_ZEROS))
+    if spans is None:
+        return tuple((layout, form, True) for layout, _, _, _, form in (_known_dates if short else _dates)(text))
+    (_, end), *parts = spans
+    secs, east = (_known_seconds if short else _seconds)(*(text[a:b] if a >= 0 else "" for a, b in parts))
+    if secs is None:
+        return ()
+    found = []
+    for layout, y, m, d, _ in (_known_dates if short else _dates)(text[:end].rstrip(", ")):
+        if not d:
+            continue
+        try:
+            t = datetime(y, m, d) + timedelta(seconds=secs)
+            if east is not None:
+                found.append((layout, _utc(t - timedelta(minutes=east)), True))
+            elif not zone:
+                found.append((layout, _utc(t), True))
+            elif (offset := _known_offset(zone, y, m, d)) is not None:
+                found.append((layout, _utc(t - offset), True))
+            else:
+                found.append((layout, *_on_the_clock(t, zone)))
+        except (ValueError, OverflowError):
+            continue
+    return tuple(found)
 
 
 def mixture(counts: list[tuple[dict[str, float], int]], prior: dict[str, float], rounds: int = 200) -> dict[str, float]:
@@ -289,8 +305,12 @@ def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: st
     dates = df.select(*by, F.regexp_extract("__text", r"(?i)^\s*(?:[a-z]+,?\s+)?(\d{1,2}/\d{1,2}/(?:\d{4}|\d{2}))(?![\d/])", 1).alias("slashed")).filter("slashed != ''").groupBy(*by, "slashed").agg(F.count(F.lit(1)).alias("n"))
     counts = dates.groupBy(*by, signature("slashed").alias("sig")).agg(F.sum("n").alias("n"))
     orders = counts.groupBy(*by).applyInPandas(em, "__source string, __declared boolean, __month double, __day_only double")  # a group holds the few signatures of one source
-    # at most two rows if there is no source column; else counted before it is broadcast
-    orders = small_side(cut(orders)) if source else F.broadcast(orders)
+    if source:
+        joined = df.join(small_side(cut(orders)), by, "left")
+    else:  # one mixture, so one row (two if the declaration is a column), which needs no join
+        found = {r["__declared"]: r for r in orders.collect()}
+        pick = lambda c: F.when(F.col("__declared"), F.lit(found[True][c] if True in found else 1.0)).otherwise(F.lit(found[False][c] if False in found else 1.0))
+        joined = df.withColumn("__month", pick("__month")).withColumn("__day_only", pick("__day_only"))
 
     @F.arrow_udf("struct<form: string, layout: string, posterior: double, ambiguous: boolean>")
     def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -299,5 +319,5 @@ def normalise_times(df: DataFrame, col: str, source: str | None = None, zone: st
             columns = list(zip(*(_read(t, z, m, d, sure) for t, z, m, d in zip(*(x.to_pylist() for x in batch))))) or [[]] * 4
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["form", "layout", "posterior", "ambiguous"])
 
-    joined = df.join(orders, by, "left").withColumn("__p", read("__text", "__zone", F.coalesce("__month", F.lit(1.0)), F.coalesce("__day_only", F.lit(1.0))))
+    joined = joined.withColumn("__p", read("__text", "__zone", F.coalesce("__month", F.lit(1.0)), F.coalesce("__day_only", F.lit(1.0))))
     return joined.select(*keep, *[F.col(f"__p.{a}").alias(b) for a, b in zip(("form", "layout", "posterior", "ambiguous"), OUTPUT)])

@@ -6,6 +6,9 @@ on n-grams), a weighted edit distance verifies them, and the alias dictionary
 that results is joined to all rows. In the edit distance, changing a scale mark
 (M, MM, k, milli, digits, currency signs) is never cheap, whereas letter
 case within words, plurals, spaces and hyphens are: ``Mcf`` and ``MMcf`` must not meet.
+Words are first led to the catalogue's words they misspell (``milion`` is
+``million``), so that a typing error in a word of scale does not change the
+scale; a word as near to two of them (``nillion``) is left as it is and matches nothing.
 
 Defined results: a row without value gives null; a row whose unit is nowhere
 stated or matches nothing is kept with null factor; equal spellings give equal
@@ -15,6 +18,7 @@ results; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,14 +83,43 @@ CATALOGUE = {
 _SAYS_NOTHING = r"^\s*(see (name|title|description|notes?)|n/?a|unknown|none|-|\?)?\s*$"
 
 
+def _edits(a: str, b: str) -> int:
+    """Edit distance with adjacent swaps."""
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            new.append(d)
+        before, row = row, new
+    return row[-1]
+
+
+#: the catalogue's words long enough to be told from their misspellings
+_WORDS = sorted({w for units in CATALOGUE.values() for _, names in units for name in names for w in re.findall(r"[a-z]{5,}", name.lower())} | {"kilowatthours", "gigajoule", "megajoule"})
+
+
+@lru_cache(maxsize=65_536)
+def corrected(word: str) -> str:
+    """The catalogue's word that a word misspells by one edit, or two from nine letters on; itself if that is none or several."""
+    if len(word) < 5 or not word.isalpha() or word in _WORDS:
+        return word
+    near = sorted((d, w) for w in _WORDS if abs(len(w) - len(word)) <= 2 and (d := _edits(word, w)) <= (1 if len(word) < 9 else 2))
+    if not near or (len(near) > 1 and near[0][0] == near[1][0] and _marks(near[0][1]) != _marks(near[1][1])):
+        return word
+    return near[0][1]
+
+
 def plain_unit(text: str) -> str:
-    """A unit spelling without what never tells units apart. Case is kept only
-    in short marks, where m and M may differ."""
+    """A unit spelling without what never tells units apart, its words corrected.
+    Case is kept only in short marks, where m and M may differ."""
     t = " ".join(text.replace("³", "3").replace("US$", "$").split()).strip()
     while len(t) > 2 and t[0] in "([" and t[-1] in ")]" and t.count("(") + t.count("[") == 1:
         t = t[1:-1].strip()
     t = re.sub(r"\bU\.?S\.?\s+(?=gal|cent|dollar)", "", t)
-    return " ".join(w if len(w) <= 3 else w.lower() for w in t.split())
+    return " ".join(w if len(w) <= 3 else re.sub(r"[a-z]{5,}", lambda m: corrected(m[0]), w.lower()) for w in t.split())
 
 
 _SCALES = re.compile(r"10\^\d+|\d{3,}|thousand|million|billion|mega|giga|tera|kilo|peta|mn|[$¢]|usd|dollars?|cents?|\bc/|\bper\b|/|\bk\b")

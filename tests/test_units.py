@@ -35,3 +35,19 @@ def test_loads(spark):
     got = {r.id: r.common_value for r in load_in_megawatts(df, "area", "t", "load", "fc").collect()}
     assert got == {1: 100.0, 2: 100.0, 3: 100.0, 4: 100.0, 5: None, 6: None, 7: None, 8: None}
     assert load_in_megawatts(df, "area", "t", "load", "fc").count() == 9
+
+
+@pytest.mark.parametrize(
+    ("typed", "known"),
+    [("thousnd barrels", "thousand barrels"), ("Milion Cubic Feet", "million cubic feet"), ("bilion cubic feet", "billion cubic feet"), ("megwatthours", "megawatthours"), ("dollers per barel", "dollars per barrel"), ("cents per millionn Btu", "cents per million Btu"), ("thosuand galons", "thousand gallons")],
+)
+def test_misspelt_words_keep_their_scale(typed, known):
+    assert unit_distance(typed, known) < 0.1
+
+
+def test_a_word_between_two_scales_matches_neither(spark):
+    assert unit_distance("nillion cubic feet", "million cubic feet") == unit_distance("nillion cubic feet", "billion cubic feet") == 1.0
+    rows = [(1, "NG.PROD", "milion cubic feet", 3.0), (2, "NG.PROD", "nillion cubic feet", 3.0), (3, "PET.STK", "thousnd barels", 5.0), (4, "PET.STK", "thousend galons", 42.0)]
+    df = spark.createDataFrame(rows, "id int, grp string, units string, value double")
+    got = {r.id: r.common_value for r in convert_units(df, "grp", "units", "value", []).collect()}
+    assert got == {1: 3.0, 2: None, 3: 5.0, 4: pytest.approx(1.0)}
