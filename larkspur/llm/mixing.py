@@ -9,9 +9,10 @@
    the fraction, decided by a hash of its key and a seed - the same on every run.
 
 Scale: one pass to size the documents, one aggregate of one row a source, one
-pass to emit. The rates are joined from a table with one row for each target.
+pass to emit, which reads the texts again and holds no token counts. The rates
+are one row for each target; they are counted before they are broadcast.
 
-Defined results: null and empty texts have no tokens and are never emitted; a
+Defined results: null, empty and blank texts are never emitted and not counted; a
 source without target is not used; a target whose source does not exist, is
 empty or may not be repeated reports its whole share as shortfall; shares that are
 null or not positive want nothing; a document key that occurs twice is emitted for each row.
@@ -26,9 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import cut
+from larkspur.session import cut, small_side
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 _loaded: dict[str, object] = {}
 
 
@@ -60,7 +60,7 @@ def _encoding(path: str):
     return _loaded[path]
 
 
-def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
+def token_count(text: Column, tokenizer: str) -> Column:
     """Number of tokens of a text (0 if null)."""
 
     @F.pandas_udf("int")
@@ -86,19 +86,29 @@ def source_rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | Non
     return rows.withColumn("rate", F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), most)).otherwise(0.0))
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, total_tokens: float | None = None, seed: int = 20_240_901, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def copies_of(key: Column, rate: Column, seed: int) -> Column:
+    """floor(rate) copies, and one more with the probability of the rest, drawn from a hash of the key."""
+    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
+def mix_sources(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, tokenizer: str, total_tokens: float | None = None, seed: int = 20_240_901) -> tuple[DataFrame, DataFrame]:
     """(emitted, report).
 
-    emitted: (key, source, tokens, copies) of the documents with at least one copy.
-    report: one row for each target with its actual tokens and share, and shortfall."""
-    sized = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), token_count(F.col(text), tokenizer).alias("tokens")).filter("tokens > 0")
-    sized = cut(sized)
+    emitted: (key, copy, source, text), one row for each copy of each document, copies numbered from 1.
+    report: one row for each target with its actual tokens and share, and shortfall.
+    ``tokenizer``: path of the vocabulary file, readable by every executor."""
+    rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.col("text").rlike(r"\S"))
+    sized = cut(rows.select("key", "source", token_count(F.col("text"), tokenizer).alias("tokens")).filter("tokens > 0"))
     rates = cut(source_rates(sized, targets, total_tokens))
-    draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    # the rates are as many as the targets, a small given table; AQE broadcasts them by their measured size
-    emitted = sized.join(rates.select("source", "rate", "max_repeats"), "source")
-    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    emitted = emitted.withColumn("copies", copies.cast("int")).filter("copies > 0").select("key", "source", "tokens", "copies")
+    rate_of = small_side(rates.select("source", "rate"))
+
+    def copied(df: DataFrame) -> DataFrame:
+        return df.join(rate_of, "source").withColumn("copies", copies_of(F.col("key"), F.col("rate"), seed)).filter("copies > 0").drop("rate")
+
+    # a text that is not blank has a token at least
+    texts = copied(rows).select("key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "source", "text")
+    emitted = copied(sized)
     actual = emitted.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).cast("bigint").alias("actual_tokens"), F.count(F.lit(1)).alias("n_used"), F.max("copies").alias("most_copies"))
     report = rates.join(actual, "source", "left").na.fill({"actual_tokens": 0, "n_used": 0, "most_copies": 0})
     report = cut(report)
@@ -108,4 +118,4 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str, text: str, s
         F.round(F.col("actual_tokens") / F.lit(mixed or 1.0), 6).alias("actual_share"),
         F.greatest(F.round(F.col("wanted") - F.col("rate") * F.col("available"), 0), F.lit(0.0)).cast("bigint").alias("shortfall_tokens"),
     )
-    return emitted, report
+    return texts, report

@@ -65,7 +65,8 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")
+    tokenizer = spark.conf.get("spark.larkspur.tokenizer", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", tokenizer)
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the mixture with their number of copies."""
+    """The mixture itself: one row for each copy of each document, with its text."""
     return _mix(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
 
 
