@@ -2,76 +2,101 @@
 
 1. Texts become words: compatibility-normalised, freed of markup and invisible
    characters, lower case.
-2. Rare n-grams of the items (in few items) are seeds; a document is compared
+2. Seeds are n-grams of three words, adjacent or with one word left out between
+   them, so that a copy of which every third word is replaced still has some.
+   Rare ones - in few *classes* of items, where near-equal items are one class -
+   are joined with the n-grams of the documents; a document is compared
    with an item only where several distinct seeds of the item stand close together.
 3. A Smith-Waterman alignment of the words around those seeds, in which rare
    words weigh more, scores exact, partial and edited copies alike; where it
    bridges foreign text, its dense parts and unbroken runs are judged alone.
 
-Scale: the items are a stated query set. They are scanned against all documents
-in blocks of bounded size (a block is broadcast, its size is a parameter);
-documents are never exploded, shuffled or compared with each other.
+Scale: the documents are read once, however many items there are. Python turns
+them to n-gram hashes and passes on those few documents of which several hashes
+stand in a bitmap of fixed size (2 ** 27 bits, the only thing that is broadcast
+unmeasured); the seed join, the counts of seeds and words over all items and the
+classes are ordinary joins and aggregations. Items are aligned in overlapping
+passages of at most ``PASSAGE`` words, so an alignment needs bounded memory.
 
 Defined results: null, empty and wordless texts leak nothing and are leaked
 into nothing; long texts are read whole and aligned only around seeds; an item
-or document that occurs twice is reported for each of its ids; empty tables
+or document that occurs twice is reported for each of its ids (and once for
+each pair of ids); rows without a key are reported under null; empty tables
 give an empty table.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED_WORDS = 3
+from larkspur.operators.orphans import salted_join
+from larkspur.session import cut, small_side
+
+#: places of a seed's three words
+MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+SEED_WORDS, SEED_SPAN = 3, 4
+PASSAGE = 512
+BITMAP_WORDS = 1 << 21
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _MARK = re.compile(r"[*_`~#]+")
 _WORD = re.compile(r"[^\W_]+")
+# The format characters of Unicode (category Cf).
+_FORMAT = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u0890-\u0891\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb\U000110bd\U000110cd\U00013430-\U0001343f\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0001\U000e0020-\U000e007f]")
 
 
 def words_of(text: str | None) -> list[str]:
     """The comparable words of a text."""
     if not text:
         return []
-    t = unicodedata.normalize("NFKC", html.unescape(text))
-    t = "".join(c for c in t if unicodedata.category(c) != "Cf")
-    return _WORD.findall(_MARK.sub("", _TAG.sub(" ", t)).lower())
-
-
-class ItemIndex:
-    """Seeds and word weights of one block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], max_items: int = 3):
-        self.words = {i: w for i, t in items if len(w := words_of(t)) >= SEED_WORDS}
-        seen: dict[tuple, set[int]] = defaultdict(set)
-        df: Counter = Counter()
-        for i, w in self.words.items():
-            df.update(set(w))
-            for k in range(len(w) - SEED_WORDS + 1):
-                seen[tuple(w[k : k + SEED_WORDS])].add(i)
-        # the same text under several ids counts once
-        same = {i: hash(tuple(w)) for i, w in self.words.items()}
-        self.seeds = {g: tuple(ids) for g, ids in seen.items() if len({same[i] for i in ids}) <= max_items}
-        top = math.log(1 + len(self.words))
-        self.weight = {w: max(0.1, math.log((1 + len(self.words)) / n) / top) if top else 1.0 for w, n in df.items()}
-
-    def hits(self, words: list[str]) -> dict[int, list[int]]:
-        """item -> positions in ``words`` where a seed of it stands."""
-        out: dict[int, list[int]] = defaultdict(list)
-        for k in range(len(words) - SEED_WORDS + 1):
-            for i in self.seeds.get(tuple(words[k : k + SEED_WORDS]), ()):
-                out[i].append(k)
-        return out
+    t = html.unescape(text) if "&" in text else text
+    if not t.isascii():
+        t = _FORMAT.sub("", unicodedata.normalize("NFKC", t))
+    return _WORD.findall(_MARK.sub("", _TAG.sub(" ", t) if "<" in t else t).lower())
+
+
+class _WordHashes(dict):
+    """64 bits for each word, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _WordHashes()
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def seeds_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of all seeds of a text, those of one mask after those of another."""
+    ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    places, hashes = [], []
+    for no, mask in enumerate(MASKS):
+        n = len(ids) - mask[-1]
+        if n > 0:
+            h = sum(ids[o : o + n] * f for o, f in zip(mask, _FACTORS)) + np.uint64(no * 0x27D4EB2F165667C5)
+            h = (h ^ (h >> np.uint64(31))) * _FACTORS[1]
+            places.append(np.arange(n, dtype=np.int32))
+            hashes.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    if not places:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    h = hashes.view(np.uint64)
+    return (bitmap[(h >> np.uint64(6)) & np.uint64(BITMAP_WORDS - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _path(doc: list[str], item: list[str], weight: dict[str, float], gap: float = 0.25, mismatch: float = 0.3) -> tuple[np.ndarray, float, int, int, int, int]:
@@ -147,7 +172,7 @@ def dense_part(pairs: np.ndarray, least_words: int, identity: float) -> tuple[in
     return best
 
 
-def _judge(words: list[str], low: int, high: int, seeds: list[int], target: list[str], weight: dict[str, float], least_seeds: int, least_words: int, identity: float) -> tuple[int, float] | None:
+def _judge(words: list[str], low: int, high: int, seeds: list[tuple[int, int]], target: list[str], weight: dict[str, float], least_seeds: int, least_words: int, identity: float) -> tuple[int, float] | None:
     """(matched words, identity) of the item's passage in words[low:high].
 
     The best alignment may bridge foreign words between two excerpts. If it does
@@ -171,71 +196,140 @@ def _judge(words: list[str], low: int, high: int, seeds: list[int], target: list
             found.append((run, 1.0))
         for x, y in ((a, a + c), (a + end_c, b)):
             # shorter than [a, b): the alignment of a stretch with seeds is not empty
-            if y - x >= least_words and len({tuple(words[p : p + SEED_WORDS]) for p in seeds if x <= p <= y - SEED_WORDS}) >= least_seeds:
+            if y - x >= least_words and len({h for p, h in seeds if x <= p <= y - SEED_SPAN}) >= least_seeds:
                 stretches.append((x, y))
     return max(found, default=None)
 
 
-def leaks_in(words: list[str], index: ItemIndex, least_seeds: int, least_words: int, identity: float) -> list[tuple[int, int, float, int]]:
-    """(item, matched words, identity, first word) for each item leaked into a text."""
-    out = []
-    for item, positions in index.hits(words).items():
-        target = index.words[item]
-        reach = len(target) + SEED_WORDS
-        best = None
-        start = 0
-        for k in range(1, len(positions) + 1):  # seeds further apart than the item is long are separate passages
-            if k < len(positions) and positions[k] - positions[k - 1] <= 2 * reach:
-                continue
-            near = positions[start:k]
-            start = k
-            # a long run of seeds is aligned in overlapping windows of bounded size
-            for first in range(near[0], near[-1] + 1, 6 * reach):
-                seeds = [p for p in near if first <= p < first + 8 * reach] if near[-1] - near[0] > 8 * reach else near
-                if len({tuple(words[p : p + SEED_WORDS]) for p in seeds}) < least_seeds:
-                    continue
-                low, high = max(0, seeds[0] - reach), seeds[-1] + reach
-                held = _judge(words, low, high, seeds, target, index.weight, least_seeds, least_words, identity)
-                if held and (best is None or held[0] > best[1]):
-                    best = (item, *held, low)
-                if seeds is near:
-                    break
-        if best:
-            out.append(best)
-    return out
-
-
-def find_leaks(
-    documents: DataFrame,
-    items: DataFrame,
-    doc_key: str,
-    item_key: str,
-    text: str = "text",
-    least_words: int = 16,
-    identity: float = 0.65,
-    least_seeds: int = 3,
-    block_items: int = 20_000,
-) -> DataFrame:
+def leaked(words: list[str], seeds: list[tuple[int, int]], target: list[str], weight: dict[str, float], least_seeds: int, least_words: int, identity: float) -> tuple[int, float] | None:
+    """(matched words, identity) of the best leak of one item into a text; ``seeds``: (place, hash) of the item's seeds there."""
+    reach = len(target) + SEED_SPAN
+    positions = sorted(seeds)
+    best = None
+    start = 0
+    for k in range(1, len(positions) + 1):  # seeds further apart than the item is long are separate passages
+        if k < len(positions) and positions[k][0] - positions[k - 1][0] <= 2 * reach:
+            continue
+        near = positions[start:k]
+        start = k
+        # a long run of seeds is aligned in overlapping windows of bounded size
+        whole = near[-1][0] - near[0][0] <= 8 * reach
+        at = 0
+        for first in range(near[0][0], near[-1][0] + 1, 6 * reach):
+            while at < len(near) and near[at][0] < first:
+                at += 1
+            seen = near if whole else near[at : bisect_left(near, (first + 8 * reach,))]
+            if len({h for _, h in seen}) >= least_seeds:
+                held = _judge(words, max(0, seen[0][0] - reach), seen[-1][0] + reach, seen, target, weight, least_seeds, least_words, identity)
+                best = max(filter(None, (best, held)), default=None)
+            if whole:
+                break
+    return best
+
+
+def _passages(words: list[str]) -> list[list[str]]:
+    """A text in overlapping passages of at most PASSAGE words."""
+    return [words[i : i + PASSAGE] for i in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2)]
+
+
+def item_classes(seeds: DataFrame, alike: float = 0.5) -> DataFrame:
+    """(item, class): items that share at least ``alike`` of their seeds with an earlier one are of its class.
+
+    ``seeds``: (item, h), distinct. Each seed links its items to the first of
+    them, not to one another; links are followed to their ends."""
+    first = seeds.groupBy("h").agg(F.min("item").alias("rep"))
+    sizes = seeds.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    shared = seeds.join(first, "h").filter("rep < item").groupBy("item", "rep").agg(F.count(F.lit(1)).alias("shared"))
+    close = shared.join(sizes, "item").join(sizes.select(F.col("item").alias("rep"), F.col("n").alias("rep_n")), "rep").filter(F.col("shared") >= alike * F.least("n", "rep_n"))
+    links = cut(close.groupBy("item").agg(F.min(F.struct(-F.col("shared"), "rep"))["rep"].alias("rep")))
+    classes = sizes.select("item").join(links, "item", "left").select("item", F.coalesce("rep", "item").alias("class"))
+    if links.isEmpty():
+        return classes
+    step = links.select(F.col("item").alias("class"), "rep")
+    while True:
+        new = cut(classes.join(step, "class", "left").select("item", F.coalesce("rep", "class").alias("class"), F.col("rep").isNotNull().alias("moved")))
+        classes = new.select("item", "class")
+        if new.filter("moved").isEmpty():
+            return classes
+
+
+def rare_seeds(parts: DataFrame, max_classes: int = 3) -> DataFrame:
+    """(h, item, part) of the seeds that stand in at most ``max_classes`` classes of items; ``parts``: (item, part, hs)."""
+    exploded = parts.select("item", "part", F.explode(F.array_distinct("hs")).alias("h"))
+    seeds = cut(exploded.select("item", "h").distinct())
+    classes = item_classes(seeds)
+    rare = seeds.join(classes, "item").groupBy("h").agg(F.countDistinct("class").alias("df")).filter(F.col("df") <= max_classes)
+    return exploded.join(rare.select("h"), "h").select("h", "item", "part")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The seeds' hashes as bits: at most BITMAP_WORDS rows come to the driver, however many seeds there are."""
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    rows = seeds.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63L as int))")).alias("bits")).toPandas()
+    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
+    bitmap[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", least_words: int = 16, identity: float = 0.65, least_seeds: int = 6) -> DataFrame:
     """(doc, item, matched words, identity) for each item leaked into a document.
 
     ``least_words`` words of the item must stand aligned in running order, with
-    at least the share ``identity`` of the aligned stretch matching. Items are
-    processed in blocks of at most about ``block_items``, each against all documents."""
+    at least the share ``identity`` of the aligned stretch matching. Of an item
+    of more than ``PASSAGE`` words the best passage counts."""
     spark = documents.sparkSession
     doc_type, item_type = documents.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    docs = documents.select(F.col(doc_key).alias("doc"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    queries = items.select(F.col(item_key).alias("item"), F.col(text).cast("string").alias("text")).dropna()
-    blocks = max(1, math.ceil(queries.count() / block_items))
-    parts = []
-    for b in range(blocks):
-        block = [(r["item"], r["text"]) for r in queries.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast(ItemIndex(block))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(d, i, m, a) for d, t in zip(batch["doc"], batch["text"]) for i, m, a, _ in leaks_in(words_of(t), shared.value, least_seeds, least_words, identity)]
-                yield pd.DataFrame(rows, columns=["doc", "item", "matched_words", "identity"])
-
-        parts.append(docs.mapInPandas(scan, f"doc {doc_type}, item {item_type}, matched_words int, identity double"))
-    found = reduce(DataFrame.unionByName, parts)
-    return found.withColumnRenamed("doc", doc_key).withColumnRenamed("item", item_key)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(key, [{"part": n, "words": p, "hs": seeds_of(p)[1]} for n, p in enumerate(_passages(words_of(t))) if len(p) >= SEED_WORDS]) for key, t in zip(batch["key"], batch["text"])]
+            yield pd.DataFrame(rows, columns=["key", "passages"])
+
+    # rows are numbered once and written, so that a number stays with its row
+    given = items.select(F.col(f"`{item_key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
+    given = cut(given.mapInPandas(split, f"key {item_type}, passages array<struct<part: int, words: array<string>, hs: array<bigint>>>").withColumn("item", F.monotonically_increasing_id()))
+    parts = given.select("key", "item", F.explode("passages").alias("p")).select("key", "item", "p.part", "p.words", "p.hs")
+    seeds = cut(rare_seeds(parts))
+    bitmap = spark.sparkContext.broadcast(_bitmap(seeds))  # fixed size
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, t in zip(batch["key"], batch["text"]):
+                words = words_of(t)
+                places, hashes = seeds_of(words)
+                hit = np.flatnonzero(_in_bitmap(bitmap.value, hashes))
+                if len(np.unique(hashes[hit])) >= least_seeds:
+                    rows.append((key, words, [{"place": p, "h": h} for p, h in zip(places[hit].tolist(), hashes[hit].tolist())]))
+            yield pd.DataFrame(rows, columns=["key", "words", "hits"])
+
+    docs = documents.select(F.col(f"`{doc_key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
+    met = cut(docs.mapInPandas(scan, f"key {doc_type}, words array<string>, hits array<struct<place: int, h: bigint>>").withColumn("doc", F.monotonically_increasing_id()))
+    hits = met.select("doc", F.explode("hits").alias("x")).select("doc", "x.h", "x.place")
+    joined = hits.join(small_side(seeds, 500_000), "h").groupBy("doc", "item", "part").agg(F.collect_list(F.struct("place", "h")).alias("seeds"), F.countDistinct("h").alias("n"))
+    pairs = cut(joined.filter(F.col("n") >= least_seeds).drop("n"))
+
+    # weights of words: rare ones, by items, weigh more
+    total = max(1, parts.select("item").distinct().count())
+    spoken = parts.select("item", F.explode("words").alias("word")).distinct()
+    weights = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", F.greatest(F.lit(0.1), F.log((1 + F.lit(total)) / F.col("df")) / F.log(F.lit(1.0 + total))).alias("weight"))
+    per_item = spoken.join(weights, "word").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
+    targets = parts.select(F.col("key").alias("item_key"), "item", "part", F.col("words").alias("target")).join(per_item, "item")
+
+    def align_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, item, words, found, target, weight in zip(batch["key"], batch["item_key"], batch["words"], batch["seeds"], batch["target"], batch["weights"]):
+                held = leaked(list(words), [(x["place"], x["h"]) for x in found], list(target), dict(weight), least_seeds, least_words, identity)
+                if held:
+                    rows.append((key, item, *held))
+            yield pd.DataFrame(rows, columns=["key", "item_key", "matched_words", "identity"])
+
+    # an item that leaked into very many documents is a hot key
+    with_target = salted_join(pairs, targets, ["item", "part"], by="doc", how="inner")
+    placed = with_target.join(met.select("doc", "key", "words"), "doc").select("key", "item_key", "words", "seeds", "target", "weights")
+    # alignment is work, not bytes: tasks by the number of pairs, which adaptive coalescing would not see
+    tasks = max(spark.sparkContext.defaultParallelism, pairs.count() // 2_000)
+    judged = placed.repartition(tasks).mapInPandas(align_all, f"key {doc_type}, item_key {item_type}, matched_words int, identity double")
+    best = judged.groupBy("key", "item_key").agg(F.max(F.struct("matched_words", "identity")).alias("best"))
+    return best.select(F.col("key").alias(doc_key), F.col("item_key").alias(item_key), "best.matched_words", "best.identity")

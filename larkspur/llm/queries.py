@@ -54,7 +54,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the evaluation items leaked into them."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf_dir).filter("doc_id is not null and item_id is not null").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
