@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm.language import fit_languages, known_words, label_of, language_segments, pieces_of
+from larkspur.llm.language import LANGUAGES, LanguageModel, calibrate, corpus_counts, distinct_texts, fit_languages, known_words, label_of, language_segments, pieces_of
 
 
 @pytest.mark.parametrize(("label", "want"), [("en-US", "en"), ("English", "en"), ("eng", "en"), ("pt_BR", "pt"), ("Deutsch", "de"), ("zh-CN", "zh"), ("n/a", None), ("", None), (None, None), ("und", None), ("français", "fr")])
@@ -22,7 +22,8 @@ def feeds(spark, data):
 
 @pytest.fixture(scope="module")
 def model(feeds):
-    return fit_languages(feeds, "title", "language")
+    votes = distinct_texts(feeds, "title", "language")
+    return fit_languages(votes, corpus_counts(votes))
 
 
 def test_held_out_accuracy(model):
@@ -54,4 +55,52 @@ def test_segments(spark, feeds, model):
 def test_empty(spark):
     df = spark.createDataFrame([], "id int, title string, language string")
     assert language_segments(df, "id", "title", "language").count() == 0
-    assert known_words(df, "title") == frozenset()
+    assert "the" in known_words(corpus_counts(distinct_texts(df, "title", "language")))
+
+
+def test_no_held_out_row_leaves_the_temperature_at_one_and_one_row_moves_it_little():
+    import numpy as np
+
+    model = LanguageModel(np.ones(1 << 16))
+    calibrate(model, [], [])
+    assert abs(model.temperature - 1.0) < 0.03
+    model.bias[0] = 3.0
+    model.weights[:] = 0.01
+    calibrate(model, ["the news of the day"], [1])
+    assert 0.2 < model.temperature < 5
+
+
+def test_repeated_rows_and_rare_languages(spark):
+    rows = [(f"Notes on the market and prices {i}", "en") for i in range(300)] + [(f"Tin tức về thị trường điện {'abcdefgh'[i]}", "vi") for i in range(8)]
+    df = spark.createDataFrame(rows, "title string, language string")
+    once = known_words(corpus_counts(distinct_texts(df, "title", "language")))
+    assert once == known_words(corpus_counts(distinct_texts(df.unionByName(df).unionByName(df), "title", "language")))
+    assert {"market", "prices", "trường", "điện"} <= once  # eight texts of 308 are measured by their own language
+    wide = df.unionByName(spark.range(20_000).selectExpr("concat('Report number ', id, ' on the grid') as title", "'en' as language"))
+    assert {"trường", "điện"} <= known_words(corpus_counts(distinct_texts(wide, "title", "language")))
+
+
+def test_planted_titles_are_found(spark):
+    """Wrong labels and mixed titles among many right ones."""
+    import random
+
+    rng = random.Random(3)
+    parts = {
+        "en": ["Daily notes on the electricity market and its prices", "What experts think about medical trials and their results"], "de": ["Tägliche Notizen über den Strommarkt und seine Preise", "Was Fachleute über klinische Studien und ihre Ergebnisse denken"],
+        "fr": ["Notes du jour sur le marché de l'électricité et ses prix", "Ce que pensent les experts des essais et de leurs résultats"], "ru": ["Ежедневные заметки о рынке электричества и ценах", "Что думают эксперты про испытания и их итоги"],
+        "ja": ["毎日お届けする電力市場の記録とその価格", "専門家が語る治験とその結果"], "es": ["Notas del día sobre el mercado eléctrico y sus precios", "Lo que piensan los expertos de los ensayos y sus resultados"],
+    }
+    rows, want = [], set()
+    for i in range(900):
+        a, b = rng.sample(sorted(parts), 2)
+        if i % 10 == 0:
+            rows.append((i, f"{rng.choice(parts[a])} | {rng.choice(parts[b])}", a))
+            want |= {(i, 1, a), (i, 2, b)}
+        elif i % 10 == 1:
+            rows.append((i, rng.choice(parts[a]), b))
+            want.add((i, 1, a))
+        else:
+            rows.append((i, f"{rng.choice(parts[a])}{rng.choice(['', ' – Zorvax', ' – Belmor'])}", a))
+    out = language_segments(spark.createDataFrame(rows, "id int, title string, language string"), "id", "title", "language")
+    got = {(r.id, r.segment, r.language) for r in out.filter("n_segments > 1 or language != stated").collect()}
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
