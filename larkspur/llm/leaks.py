@@ -300,12 +300,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, item_key: s
                 places, hashes = seeds_of(words)
                 hit = np.flatnonzero(_in_bitmap(bitmap.value, hashes))
                 if len(np.unique(hashes[hit])) >= least_seeds:
-                    rows.append((key, words, [{"place": p, "h": h} for p, h in zip(places[hit].tolist(), hashes[hit].tolist())]))
-            yield pd.DataFrame(rows, columns=["key", "words", "hits"])
+                    rows.append((key, t, places[hit], hashes[hit]))
+            yield pd.DataFrame(rows, columns=["key", "text", "places", "hs"])
 
     docs = documents.select(F.col(f"`{doc_key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
-    met = cut(docs.mapInPandas(scan, f"key {doc_type}, words array<string>, hits array<struct<place: int, h: bigint>>").withColumn("doc", F.monotonically_increasing_id()))
-    hits = met.select("doc", F.explode("hits").alias("x")).select("doc", "x.h", "x.place")
+    met = cut(docs.mapInPandas(scan, f"key {doc_type}, text string, places array<int>, hs array<bigint>").withColumn("doc", F.monotonically_increasing_id()))
+    hits = met.select("doc", F.explode(F.arrays_zip("places", "hs")).alias("x")).select("doc", F.col("x.hs").alias("h"), F.col("x.places").alias("place"))
     joined = hits.join(small_side(seeds, 500_000), "h").groupBy("doc", "item", "part").agg(F.collect_list(F.struct("place", "h")).alias("seeds"), F.countDistinct("h").alias("n"))
     pairs = cut(joined.filter(F.col("n") >= least_seeds).drop("n"))
 
@@ -313,21 +313,22 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, item_key: s
     total = max(1, parts.select("item").distinct().count())
     spoken = parts.select("item", F.explode("words").alias("word")).distinct()
     weights = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", F.greatest(F.lit(0.1), F.log((1 + F.lit(total)) / F.col("df")) / F.log(F.lit(1.0 + total))).alias("weight"))
-    per_item = spoken.join(weights, "word").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
-    targets = parts.select(F.col("key").alias("item_key"), "item", "part", F.col("words").alias("target")).join(per_item, "item")
+    placed_words = parts.select("item", "part", F.posexplode("words").alias("at", "word")).join(weights, "word").groupBy("item", "part").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("weights"))
+    targets = parts.select(F.col("key").alias("item_key"), "item", "part", F.array_join("words", " ").alias("target")).join(placed_words.select("item", "part", F.col("weights.weight").alias("weights")), ["item", "part"])
 
     def align_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, item, words, found, target, weight in zip(batch["key"], batch["item_key"], batch["words"], batch["seeds"], batch["target"], batch["weights"]):
-                held = leaked(list(words), [(x["place"], x["h"]) for x in found], list(target), dict(weight), least_seeds, least_words, identity)
+            for key, item, t, found, target, weight in zip(batch["key"], batch["item_key"], batch["text"], batch["seeds"], batch["target"], batch["weights"]):
+                target = target.split(" ")
+                held = leaked(words_of(t), [(x["place"], x["h"]) for x in found], target, dict(zip(target, weight)), least_seeds, least_words, identity)
                 if held:
                     rows.append((key, item, *held))
             yield pd.DataFrame(rows, columns=["key", "item_key", "matched_words", "identity"])
 
     # an item that leaked into very many documents is a hot key
     with_target = salted_join(pairs, targets, ["item", "part"], by="doc", how="inner")
-    placed = with_target.join(met.select("doc", "key", "words"), "doc").select("key", "item_key", "words", "seeds", "target", "weights")
+    placed = with_target.join(met.select("doc", "key", "text"), "doc").select("key", "item_key", "text", "seeds", "target", "weights")
     # alignment is work, not bytes: tasks by the number of pairs, which adaptive coalescing would not see
     tasks = max(spark.sparkContext.defaultParallelism, pairs.count() // 2_000)
     judged = placed.repartition(tasks).mapInPandas(align_all, f"key {doc_type}, item_key {item_type}, matched_words int, identity double")
