@@ -1,34 +1,46 @@
 """Splitting fields that pack several values into one text.
 
-The delimiters and quotes differ from text to text. Every text is parsed under
-each dialect that could apply (a set of delimiters and a quoting style); the
-dialect of least description length is taken. A value costs its code length
-under the distribution of values over all texts of the field - counted by a
-distributed aggregation, the text itself left out - or, if it is new, the
-length of its letters, in which a delimiter or quote is dear. A dialect pays
-for itself, for each stronger delimiter it leaves unsplit outside quotes, and
-for each well-formed pair of quotes it ignores. The distribution is that of the
-parses which are shortest by letters alone, so that the fragments of wrong
-parses do not vouch for one another.
-
-Scale: texts are made distinct before counting; values are counted with partial
-aggregation; the codes of hot values, of which there can be but few, are
-broadcast, the others joined by shuffle; hot texts are salted. Texts with a
-single possible parse are never scored.
+The delimiters and quotes differ from text to text. Every text is parsed once,
+under each dialect that could apply (a set of delimiters and a quoting style),
+and the dialect of least description length is taken. All costs are learned
+from the field itself:
+
+* a dialect costs its code length under the shares of the dialects;
+* a value costs its code length under the distribution of values over the
+  distinct texts of the field (the text itself left out) or, if it is new, the
+  code lengths of its letters under the field's letters. A delimiter or quote that a
+  dialect leaves inside a value is such a letter, and a rare one;
+* a parse that breaks the declared precedence - it leaves a delimiter or a pair
+  of quotes unused that it could have used - has a prior of 2 ** -``DECLARED_BITS``,
+  once, however many it leaves. The other costs can outweigh it.
+
+Letters and dialects are first counted over the texts that have one parse only;
+they choose a parse for every text; from these values, letters and dialects are
+counted, and decide.
+
+Scale: texts are made distinct before parsing and known by 128 bits of hash;
+only hashes and parses are shuffled, and only values of texts with several
+parses are looked up; the codes of hot values, of which there can be but few, are
+broadcast, the others joined by shuffle; rows meet their text's parse by hash,
+hot texts alone being salted.
 
 Defined results: null, empty and blank texts have no values; empty slots do not
 count; positions run from 1; rows repeated under one key with one text give one
-set of values; texts of any length are parsed whole; an unclosed quote is an
-ordinary character; an empty table gives an empty table.
+set of values, and texts of one key that give the same values do too; texts of any length are parsed whole; an unclosed quote is an
+ordinary character; the noncharacter U+10FFFF is no text and is dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,27 +52,18 @@ STRONG = {"semicolon": r"[;；]", "pipe": r"\|+", "bullet": r"[•·]", "tab": r
 COMMA, AMPERSAND = r"[,，]", r"(?<=\s)&(?=\s)"
 QUOTED = re.compile(r'\s*(?:\(?\d{1,3}[.)]\s+)?"((?:[^"\\]|""|\\.)*)"\s*')
 NUMBER = re.compile(r"^\(?\d{1,3}(?:\)|\.(?=\s))\s*")
-DIALECT_BITS, LEFT_OVER_BITS, END_BITS = 3.0, 40.0, 6.0
+#: prior of a parse that leaves unused what it could have used
+DECLARED_BITS = 14.0
 HOT_BITS = 10.0
+#: stands between the values of a stored parse, and for the end of a value among the letters
+BETWEEN = "\U0010ffff"
+#: dialects that one field may be written in, for the shares of those not seen
+KINDS = 24
 
 
-class _LetterBits(dict):
-    """Code length of each character, worked out once."""
-
-    def __missing__(self, c: str) -> float:
-        self[c] = bits = 4.5 if c.isalpha() else 3.0 if c == " " else 5.0 if c.isdigit() else 12.0
-        return bits
-
-
-_BITS = _LetterBits()
 _ANY = re.compile("|".join(["\"", r"^\s*\[", *STRONG.values(), COMMA, AMPERSAND]))
 
 
-def text_bits(value: str) -> float:
-    """Code length of a new value, letter by letter."""
-    return END_BITS + sum(map(_BITS.__getitem__, value))
-
-
 def clean_item(item: str) -> str:
     """Trimmed and freed of list numbering."""
     item = " ".join(item.split()) if "\n" in item or "\t" in item else item.strip()
@@ -106,51 +109,103 @@ def _bracketed(text: str) -> list[str] | None:
     return [x for x in (str(v).strip() for v in values if v is not None) if x]
 
 
-def _dialects(text: str, ampersand: bool) -> list[tuple[str, float, str | None, bool]]:
-    """(name, bits, delimiters, quotes) of every dialect that could apply to a text."""
+def _dialects(text: str, ampersand: bool) -> list[tuple[str, bool, str | None, bool]]:
+    """(name, whether it leaves anything unused, delimiters, quotes) of every dialect that could apply to a text."""
     bare, n_quoted = outside_quotes(text)
     n_strong = {k: n for k, p in STRONG.items() if (n := len(re.findall(p, bare)))}
     weak = [p for p in ([COMMA] + [AMPERSAND] * ampersand) if re.search(p, bare)]
-    total = sum(n_strong.values())
-    patterns: dict[str, tuple[str | None, int]] = {}
+    patterns: dict[str, tuple[str | None, bool]] = {}
     if n_strong:
-        patterns["strong"] = ("|".join(STRONG[k] for k in n_strong), 0)
+        patterns["strong"] = ("|".join(STRONG[k] for k in n_strong), False)
         if len(n_strong) > 1:
-            patterns |= {k: (STRONG[k], total - n) for k, n in n_strong.items()}
+            patterns |= {k: (STRONG[k], True) for k in n_strong}
     if weak:
-        patterns["comma"] = ("|".join(weak), total)
-    patterns["whole"] = (None, total or sum(len(re.findall(p, bare)) for p in weak))
-    kinds = ((True, "", 0), (False, "_unquoted", n_quoted)) if '"' in text else ((True, "", 0),)
-    return [(name + mark, DIALECT_BITS + LEFT_OVER_BITS * (left + ignored), pattern, quotes) for quotes, mark, ignored in kinds for name, (pattern, left) in patterns.items()]
+        patterns["comma"] = ("|".join(weak), bool(n_strong))
+    patterns["whole"] = (None, bool(n_strong or weak))
+    kinds = ((True, "", False), (False, "_unquoted", n_quoted > 0)) if '"' in text else ((True, "", False),)
+    return [(name + mark, left or ignored, pattern, quotes) for quotes, mark, ignored in kinds for name, (pattern, left) in patterns.items()]
 
 
-def candidate_parses(text: str | None, ampersand: bool = False) -> list[tuple[str, float, list[str]]]:
-    """(dialect, bits of the dialect, values) for every parse that differs, the shortest by letters first."""
+def candidate_parses(text: str | None, ampersand: bool = False) -> list[tuple[str, bool, int, list[str]]]:
+    """(dialect, whether it leaves anything unused, line breaks and tabs left, values) for every parse that differs."""
     if text is None or not text.strip():
         return []
     if not _ANY.search(text):
         item = clean_item(text)
-        return [("whole", DIALECT_BITS, [item] if item else [])]
+        return [("whole", False, 0, [item] if item else [])]
     listed = _bracketed(text)
     if listed is not None:
-        return [("bracketed", DIALECT_BITS, listed)]
+        return [("bracketed", False, 0, listed)]
     out, seen = [], set()
-    for name, bits, pattern, quotes in _dialects(text, ampersand):
+    blanks = len(re.findall(r"\r\n|[\r\n\t]", text.strip()))
+    for name, unused, pattern, quotes in _dialects(text, ampersand):
         items = split_text(text, re.compile(pattern) if pattern else None, quotes)
         if tuple(items) not in seen:
             seen.add(tuple(items))
-            out.append((name, bits, items))
-    return sorted(out, key=lambda p: p[1] + sum(map(text_bits, p[2]))) if len(out) > 1 else out
+            used = len(re.findall(r"\r\n|[\r\n\t]", "".join(m[0] for m in re.finditer(pattern, text.strip())))) if pattern and blanks else 0
+            out.append((name, unused, blanks - used, items))
+    return out
+
+
+class LetterBits(dict):
+    """Code lengths of values, letter by letter, under the letters' counts; no counts make all letters cost the same."""
+
+    def __init__(self, counts: dict[str, int]):
+        super().__init__()
+        self.counts, total, kinds = counts, sum(counts.values()), len(counts) + 64
+        self.unseen = math.log2(total + kinds)
+        self.bits = defaultdict(lambda: self.unseen, {c: math.log2((total + kinds) / (n + 1)) for c, n in counts.items()})
+
+    def __missing__(self, value: str) -> float:
+        bits = self.bits[BETWEEN] + sum(map(self.bits.__getitem__, value))
+        if len(value) < 100:  # values repeat; long ones are not remembered
+            if len(self) > 200_000:
+                self.clear()
+            self[value] = bits
+        return bits
+
+    def __reduce__(self):
+        return (LetterBits, (self.counts,))
+
 
+class Model:
+    """The letters and dialects of each field."""
 
-def parse_as(text: str | None, dialect: str | None, ampersand: bool = False) -> tuple[str, list[str]] | None:
-    """The parse under a dialect, or the only one there is if none is named."""
-    if dialect and text:
-        for name, _, pattern, quotes in _dialects(text, ampersand):
-            if name == dialect:
-                return name, split_text(text, re.compile(pattern) if pattern else None, quotes)
-    found = candidate_parses(text, ampersand)
-    return (found[0][0], found[0][2]) if found else None
+    def __init__(self, letters: dict[str, dict[str, int]], dialects: dict[str, dict[str, int]]):
+        self.letters, self.dialects = {f: LetterBits(c) for f, c in letters.items()}, dialects
+
+    def costs(self, field: str, dialect: str, unused: bool, blanks: int, values: list[str]) -> tuple[float, list[float]]:
+        """(bits of the parse without its values, bits of each value as new)."""
+        seen = self.dialects.get(field, {})
+        letters = self.letters.setdefault(field, LetterBits({}))
+        own = math.log2((sum(seen.values()) + KINDS) / (seen.get(dialect, 0) + 1)) + DECLARED_BITS * unused + letters.unseen * blanks + len(values)
+        return own, [letters[v] for v in values]
+
+
+def _counted(parses: DataFrame) -> Model:
+    """The model of (field, dialect, packed): a count for each letter and dialect of a field comes to the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for field, part in batch.groupby("field"):
+                codes = np.frombuffer((BETWEEN.join(part["packed"]) + BETWEEN).encode("utf-32-le", "surrogatepass"), np.uint32)
+                rows += [(field, False, chr(c), int(n)) for c, n in zip(*np.unique(codes, return_counts=True)) if not 0xD800 <= c < 0xE000]
+                rows += [(field, True, d, int(n)) for d, n in part["dialect"].value_counts().items()]
+            yield pd.DataFrame(rows, columns=["field", "is_dialect", "name", "n"])
+
+    rows = parses.mapInPandas(count, "field string, is_dialect boolean, name string, n bigint").groupBy("field", "is_dialect", "name").agg(F.sum("n").alias("n")).collect()
+    letters: dict[str, dict[str, int]] = defaultdict(dict)
+    dialects: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in rows:
+        (dialects if r["is_dialect"] else letters)[r["field"]][r["name"]] = r["n"]
+    return Model(letters, dict(dialects))
+
+
+def pick_by_letters(model: Model, field: str, parses: list[tuple[str, bool, int, list[str]]]) -> int:
+    """The place of the shortest parse if every value is new."""
+    lengths = [own + sum(new) for own, new in (model.costs(field, *p) for p in parses)]
+    return lengths.index(min(lengths))
 
 
 def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_fields: tuple[str, ...] = ()) -> DataFrame:
@@ -160,41 +215,69 @@ def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_field
     an ampersand separates like a comma."""
     rows = df.select(F.col(field).alias("field"), F.col(key).cast("string").alias("row_key"), F.col(text).cast("string").alias("text")).dropna().filter(F.trim("text") != "")
 
-    @F.pandas_udf("array<struct<dialect: string, bits: double, items: array<string>>>")
-    def candidates(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for fields, texts in parts:
-            yield pd.Series([[{"dialect": d, "bits": b, "items": i} for d, b, i in candidate_parses(t, f in ampersand_fields)] for f, t in zip(fields, texts)])
-
-    @F.pandas_udf("struct<dialect: string, items: array<string>>")
-    def parsed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for fields, texts, dialects in parts:
-            rows = [parse_as(t, d, f in ampersand_fields) or (None, None) for f, t, d in zip(fields, texts, dialects)]
-            yield pd.DataFrame(rows, columns=["dialect", "items"])
+    names = pa.list_(pa.struct([("dialect", pa.string()), ("unused", pa.bool_()), ("blanks", pa.int32()), ("packed", pa.string())]))
+    costs = pa.list_(pa.struct([("no", pa.int32()), ("own", pa.float64()), ("item", pa.string()), ("new", pa.float64())]))
 
-    @F.pandas_udf("double")
-    def letters(values: pd.Series) -> pd.Series:
-        return values.map(text_bits)
+    @F.arrow_udf("array<struct<dialect: string, unused: boolean, blanks: int, packed: string>>")
+    def parsed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for fields, texts in batches:
+            rows = [candidate_parses(t.replace(BETWEEN, ""), f in ampersand_fields) for f, t in zip(fields.to_pylist(), texts.to_pylist())]
+            yield pa.array([[{"dialect": d, "unused": u, "blanks": b, "packed": BETWEEN.join(i)} for d, u, b, i in r] for r in rows], names)
 
-    # parsed once for all that follows but the last step; a text is known by 128 bits of hash
+    spark = df.sparkSession
     ids = [F.xxhash64("field", "text").alias("id1"), F.xxhash64("text", F.lit(1), "field").alias("id2")]
-    texts = cut(rows.select("field", "text").distinct().select("field", *ids, candidates("field", "text").alias("parses")))
-    # in how many distinct texts a value stands, each in its shortest parse by letters
-    values = texts.select("field", F.explode(F.array_distinct(F.try_element_at("parses", F.lit(1))["items"])).alias("item"))
-    counts = values.groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
+    keyed = rows.select("field", "row_key", *ids)
+    texts = cut(rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).select("field", *ids, "n", parsed("field", "text").alias("parses")))
+    single, open_ = texts.filter(F.size("parses") == 1), texts.filter(F.size("parses") > 1)
+    first = spark.sparkContext.broadcast(_counted(single.select("field", F.col("parses")[0]["dialect"].alias("dialect"), F.col("parses")[0]["packed"].alias("packed"))))
+
+    @F.arrow_udf("int")
+    def shortest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for fields, parses in batches:
+            yield pa.array([pick_by_letters(first.value, f, [(p["dialect"], p["unused"], p["blanks"], p["packed"].split(BETWEEN)) for p in ps]) for f, ps in zip(fields.to_pylist(), parses.to_pylist())], pa.int32())
+
+    chosen = open_.select("field", F.get("parses", shortest("field", "parses")).alias("p")).unionByName(single.select("field", F.col("parses")[0].alias("p")))
+    chosen = cut(chosen.select("field", "p.dialect", "p.packed").filter("packed != ''"))
+    model = spark.sparkContext.broadcast(_counted(chosen))
+    # in how many distinct texts a value stands, each in its parse so far
+    counts = chosen.select("field", F.explode(F.array_distinct(F.split("packed", BETWEEN))).alias("item")).groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))  # one row a field
     codes = cut(counts.filter("n > 1").join(F.broadcast(totals), "field").select("field", "item", F.log2(F.col("total") / (F.col("n") - 1)).alias("known")))
     # a value with less than HOT_BITS stands for more than 2 ** -HOT_BITS of all values: there are at most that many, and they are broadcast
     hot, cold = codes.filter(F.col("known") < HOT_BITS), codes.filter(F.col("known") >= HOT_BITS)
 
-    open_ = texts.filter(F.size("parses") > 1).select("field", "id1", "id2", F.posexplode("parses").alias("no", "p"))
-    placed = open_.select("field", "id1", "id2", "no", "p.bits", "p.dialect", F.explode_outer("p.items").alias("item"))
+    @F.arrow_udf("array<struct<no: int, own: double, item: string, new: double>>")
+    def priced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for fields, parses in batches:
+            rows = []
+            for f, ps in zip(fields.to_pylist(), parses.to_pylist()):
+                row = []
+                for no, p in enumerate(ps):
+                    items = p["packed"].split(BETWEEN)
+                    own, new = model.value.costs(f, p["dialect"], p["unused"], p["blanks"], items)
+                    row += [{"no": no, "own": own if k == 0 else 0.0, "item": i, "new": n} for k, (i, n) in enumerate(zip(items, new))]
+                rows.append(row)
+            yield pa.array(rows, costs)
+
+    placed = open_.select("field", "id1", "id2", F.explode(priced("field", "parses")).alias("x")).select("field", "id1", "id2", "x.*")
     seen = placed.join(F.broadcast(hot), ["field", "item"], "left")
-    met = seen.filter("known IS NOT NULL").select("id1", "id2", "no", "bits", "dialect", F.least("known", letters("item")).alias("own"))
-    rest = seen.filter("known IS NULL").drop("known").join(cold, ["field", "item"], "left")
-    rest = rest.select("id1", "id2", "no", "bits", "dialect", F.least("known", letters(F.coalesce("item", F.lit("")))).alias("own"))
-    lengths = met.unionByName(rest).groupBy("id1", "id2", "no").agg((F.first("bits") + F.sum("own")).alias("length"), F.first("dialect").alias("dialect"))
-    cheapest = lengths.groupBy("id1", "id2").agg(F.min(F.struct("length", "no", "dialect"))["dialect"].alias("dialect"))
-
-    picked = salted_join(rows.distinct().select("*", *ids), cheapest, ["id1", "id2"], by="row_key", how="left", salts=8)
-    chosen = picked.select("field", "row_key", parsed("field", "text", "dialect").alias("p"))
-    return chosen.select("field", "row_key", F.col("p.dialect").alias("dialect"), F.posexplode("p.items").alias("pos", "item")).select("field", "row_key", (F.col("pos") + 1).alias("pos"), "item", "dialect")
+    met = seen.filter("known IS NOT NULL").select("id1", "id2", "no", "own", F.least("known", "new").alias("bits"))
+    rest = seen.filter("known IS NULL").drop("known").join(cold, ["field", "item"], "left").select("id1", "id2", "no", "own", F.least("known", "new").alias("bits"))
+    lengths = met.unionByName(rest).groupBy("id1", "id2", "no").agg(F.sum(F.col("own") + F.col("bits")).alias("length"))
+    cheapest = lengths.groupBy("id1", "id2").agg(F.min(F.struct("length", "no"))["no"].alias("no"))
+    decided = texts.join(cheapest, ["id1", "id2"], "left").select("id1", "id2", "n", F.get("parses", F.coalesce("no", F.lit(0))).alias("p"))
+    decided = cut(decided.select("id1", "id2", "n", "p.dialect", "p.packed").filter("packed != ''"))
+
+    # one row for each key and text; a text that holds over a 64th of all rows is salted
+    most = texts.agg(F.sum("n")).first()[0] or 0  # one number
+    hot_texts = decided.filter(F.col("n") > most / 64).select("id1", "id2")
+    by_key = keyed.groupBy("field", "row_key").agg(F.collect_set(F.struct("id1", "id2")).alias("ids"))  # the texts stored under one key
+    one = by_key.filter(F.size("ids") == 1).select("field", "row_key", F.col("ids")[0]["id1"].alias("id1"), F.col("ids")[0]["id2"].alias("id2"))
+    several = by_key.filter(F.size("ids") > 1).select("field", "row_key", F.explode("ids").alias("i")).select("field", "row_key", "i.*")
+
+    def values(of: DataFrame) -> DataFrame:
+        found = salted_join(of, decided.drop("n"), ["id1", "id2"], by="row_key", how="inner", salts=8, hot=hot_texts)
+        return found.select("field", "row_key", "dialect", F.posexplode(F.split("packed", BETWEEN)).alias("pos", "item")).select("field", "row_key", (F.col("pos") + 1).alias("pos"), "item", "dialect")
+
+    same = values(several).groupBy("field", "row_key", "pos", "item").agg(F.min("dialect").alias("dialect"))
+    return values(one).unionByName(same)

@@ -29,7 +29,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the packed fields with its position."""
-    return _packed(spark, sf_dir).select("field", "row_key", "pos", "item").distinct()
+    return _packed(spark, sf_dir).select("field", "row_key", "pos", "item")
 
 
 def p2_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
