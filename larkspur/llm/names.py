@@ -5,27 +5,31 @@ Names become profiles: *anchor* tokens that are rare and tell entities apart
 *qualifiers* that tell apart entities sharing an anchor (the kind of an
 organisation; given name and middle initial of a person).
 
-1. Anchor tokens are compared by a prefix-filtered set-similarity join on their
-   q-grams: two tokens within ``max_edits`` edits share one of the rarest
-   q-grams of each, so only those prefixes are joined.
-2. Joined tokens are verified by edit distance; each token points to its most
-   frequent close neighbour, and pointers are followed to a root.
-3. Within a root, qualifiers decide; a name without qualifier, or with initials
-   only, goes to the entity that fits it best. The fit is a soft weighted token
-   similarity in which rare tokens (by distinct names) count more.
+1. Tokens are compared by a prefix-filtered set-similarity join on their
+   q-grams: two tokens within k edits share one of the 4k + 1 rarest q-grams of
+   each, at places at most k apart, so only those prefixes are joined.
+2. Joined tokens are verified by their similarity (edits by length, see
+   ``ALIKE``); each token points to its most frequent close neighbour, and
+   pointers are followed to a root. Given names that are on no list are led to
+   one another in the same way, among the people of one family name.
+3. Names with the same roots are verified by a soft weighted similarity of all
+   their tokens, in which rare tokens (by distinct names) count more: a name goes
+   to the entity it fits best; a token that contradicts makes it another entity.
 
 Scale: rows are reduced to distinct names, names to distinct profiles and
-tokens before any join; no group holds rows, only distinct qualifiers of a root.
+tokens before any join; counts are of distinct names, so repeated rows change
+nothing; a group holds the distinct qualifiers of one root that begin with one letter.
 
 Defined results: null, blank and letterless names are never linked; names equal
-after trimming are still different strings and are linked; ties go to the
-alphabetically first; an empty table gives an empty table.
+after trimming are still different strings and are linked; tokens of any length
+are compared; ties go to the alphabetically first; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from functools import lru_cache
 
 import pandas as pd
@@ -80,7 +84,12 @@ GIVEN = {
     "steven": "steve stephen", "david": "dave", "samuel": "sam sammy", "benjamin": "ben", "jennifer": "jen jenny", "rebecca": "becky", "barbara": "barb",
     "victoria": "vicky tori", "christopher": "chris", "nicholas": "nick", "timothy": "tim", "kenneth": "ken", "ronald": "ron", "lawrence": "larry",
 }
-LONGEST = 100
+#: least similarity of two spellings of one token: an edit needs four letters, two need eight
+ALIKE = 0.75
+#: the same for given names, which differ by less
+GIVEN_ALIKE = 0.8
+#: a token in no more distinct names is rare: two edits link only two rare tokens
+RARE_NAMES = 1
 _KIND = {w: k for k, ws in KIND_WORDS.items() for w in ws.split()}
 _GIVEN = {w: g for g, ws in GIVEN.items() for w in [g, *ws.split()]}
 
@@ -91,21 +100,27 @@ def fold(text: str) -> str:
 
 
 def edits(a: str, b: str, most: int = 3) -> int:
-    """Edit distance with adjacent swaps; anything over ``most`` is ``most + 1``."""
+    """Edit distance with adjacent swaps, in a band of ``most`` around the diagonal; anything over ``most`` is ``most + 1``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    far = most + 1
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
-            return most + 1
+        new: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if not j:
+                new[j] = i
+                continue
+            y = b[j - 1]
+            d = min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before.get(j - 2, far) + 1)
+            new[j] = d
+        if min(new.values()) > most:
+            return far
         before, row = row, new
-    return min(row[-1], most + 1)
+    return min(row[len(b)], far)
 
 
 def _letters(text: str) -> int:
@@ -201,7 +216,7 @@ def _profile(kinds: pd.Series, names: pd.Series) -> pd.DataFrame:
 
 
 def _grams(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: sorted({f"^^{t}$$"[i : i + 3] for i in range(len(t) + 2)}))
+    return tokens.map(lambda t: [{"gram": f"^^{t}$$"[i : i + 3], "at": i} for i in range(len(t) + 2)])
 
 
 def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -209,32 +224,36 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(x, y, 2) if (bits[x] ^ bits[y]).bit_count() <= 4 else 3 for x, y in zip(a, b)], dtype="int32")
 
 
-def close_tokens(tokens: DataFrame, max_edits: int = 2) -> DataFrame:
+def close_tokens(tokens: DataFrame, alike: float = ALIKE, max_edits: int = 2) -> DataFrame:
     """(field, token, n) -> (field, token, hub): the most frequent token that
-    ``token`` misspells. Tokens one edit apart are linked; two edits apart only
+    ``token`` misspells, among those at least ``alike``. Tokens one edit apart are linked; two edits apart only
     if both are rare (two misspellings of a form that does not occur).
 
-    An edit touches at most four of a token's trigrams, so two tokens within k
-    edits share one of the 4k + 1 rarest trigrams of each: only these prefixes
-    are joined, and every pair within ``max_edits`` is found. Tokens of more than
-    ``LONGEST`` characters are no names; they are only ever equal."""
-    grams = tokens.filter(F.length("token") <= LONGEST).withColumn("gram", F.explode(F.pandas_udf(_grams, "array<string>")("token")))
+    An edit touches at most four of a token's trigrams and moves the others by
+    one place at most, so two tokens within k edits share one of the 4k + 1 rarest
+    trigrams of each, at places k apart at most: only these prefixes are joined,
+    and every pair within ``max_edits`` is found. ``n`` counts distinct names."""
+    grams = tokens.withColumn("g", F.explode(F.pandas_udf(_grams, "array<struct<gram: string, at: int>>")("token"))).select("field", "token", "n", "g.gram", "g.at")
     df = grams.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(df, ["field", "gram"]).withColumn("rank", F.row_number().over(W.partitionBy("field", "token").orderBy("df", "gram")))
-    prefix = ranked.filter(F.col("rank") <= 4 * max_edits + 1).select("field", "gram", "token", "n")
+    ranked = grams.join(df, ["field", "gram"]).withColumn("rank", F.row_number().over(W.partitionBy("field", "token").orderBy("df", "gram", "at")))
+    # edits that a token of this length and one longer by as many can be apart and still be alike
+    room = F.least(F.lit(max_edits), F.floor((F.length("token") + max_edits) * (1 - alike)))
+    prefix = ranked.filter(F.col("rank") <= 4 * room + 1).select("field", "gram", "at", "token", "n")
     a, b = prefix.alias("a"), prefix.alias("b")
     more = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.token") < F.col("a.token")))
-    pairs = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.gram") == F.col("b.gram")) & more & (F.abs(F.length("a.token") - F.length("b.token")) <= max_edits))
+    close = (F.abs(F.length("a.token") - F.length("b.token")) <= max_edits) & (F.abs(F.col("a.at") - F.col("b.at")) <= max_edits)
+    pairs = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.gram") == F.col("b.gram")) & more & close)
     pairs = pairs.select(F.col("a.field").alias("field"), F.col("a.token").alias("token"), F.col("a.n").alias("n"), F.col("b.token").alias("hub"), F.col("b.n").alias("hub_n")).distinct()
-    near = pairs.withColumn("d", F.pandas_udf(_edits, "int")("token", "hub")).filter((F.length("token") > 3) & ((F.col("d") == 1) | ((F.col("d") == 2) & (F.col("hub_n") <= 2) & (F.length("token") > 7))))
+    near = pairs.withColumn("d", F.pandas_udf(_edits, "int")("token", "hub")).filter(F.col("d") <= F.greatest(F.length("token"), F.length("hub")) * (1 - alike))
+    near = near.filter((F.col("d") == 1) | ((F.col("d") <= max_edits) & (F.col("hub_n") <= RARE_NAMES)))
     best = near.groupBy("field", "token").agg(F.min(F.struct("d", -F.col("hub_n"), "hub")).alias("best"))
     return best.select("field", "token", F.col("best.hub").alias("hub"))
 
 
-def token_roots(tokens: DataFrame) -> DataFrame:
+def token_roots(tokens: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(field, token, root): pointers to hubs, followed to their ends."""
-    hubs = cut(close_tokens(tokens))
-    roots = cut(tokens.select("field", "token").join(hubs, ["field", "token"], "left").select("field", "token", F.coalesce("hub", "token").alias("root")))
+    hubs = cut(close_tokens(tokens, alike))
+    roots = tokens.select("field", "token").join(hubs, ["field", "token"], "left").select("field", "token", F.coalesce("hub", "token").alias("root"))
     step = hubs.select("field", F.col("token").alias("root"), "hub")
     while True:
         moved = roots.join(step, ["field", "root"], "left")
@@ -244,43 +263,56 @@ def token_roots(tokens: DataFrame) -> DataFrame:
             return roots
 
 
-def soft_fit(a: tuple[str, str], b: tuple[str, str], weights: dict[str, float]) -> float:
-    """Soft weighted similarity of two qualifiers (q1, q2) in 0..1: equal tokens
-    and initials count with their weight, a missing one is neutral; tokens that
-    contradict each other make the names different (0)."""
-    total = got = 0.0
+def token_similarity(x: str, y: str) -> float:
+    """1 for equal tokens, less for an initial or a misspelling, 0 for tokens that contradict each other."""
+    if x == y:
+        return 1.0
+    if (len(x) == 1 or len(y) == 1) and x[0] == y[0]:
+        return 0.8
+    alike = 1 - edits(x, y, 2) / max(len(x), len(y))
+    return alike if alike >= GIVEN_ALIKE else 0.0
+
+
+def soft_similarity(a: tuple[str, str], b: tuple[str, str], weights: dict[str, float]) -> float:
+    """Soft weighted similarity of the tokens of two names of one root, in 0..1.
+
+    The roots are equal, and count as one token; a token that one of the names
+    lacks is neutral; tokens of one place (given name or kind, middle initial) that contradict each other
+    make the names different (0)."""
+    total = got = 1.0
     for x, y in zip(a, b):
         if not x or not y:
             continue
-        w = max(weights.get(x, 1.0), weights.get(y, 1.0))
-        total += w
-        if x == y:
-            got += w
-        elif (len(x) == 1 or len(y) == 1) and x[0] == y[0]:
-            got += 0.8 * w
-        else:
+        alike = token_similarity(x, y)
+        if not alike:
             return 0.0
-    return 0.5 if not total else 0.5 + 0.5 * got / total
+        w = max(weights.get(x, 1.0), weights.get(y, 1.0))
+        total, got = total + w, got + w * alike
+    return got / total
 
 
 def _resolve(quals: list[tuple[str, str, int, float]]) -> list[str]:
-    """The entity of each of a root's distinct qualifiers (q1, q2, rows, weight), in their order."""
-    order = sorted(range(len(quals)), key=lambda i: (-quals[i][2], quals[i][0], quals[i][1]))
-    weights = {quals[i][0]: quals[i][3] for i in order}
-    rows = {quals[i][:2]: quals[i][2] for i in order}
-    full = [q for q in rows if len(q[0]) > 1]
+    """The entity of each of the distinct qualifiers (q1, q2, names, weight) of a root that begin alike, in their order."""
+    weights = {q[0]: q[3] for q in quals}
+    names = {q[:2]: q[2] for q in quals}
+    ranked = sorted(names, key=lambda q: (-names[q], q))
+    full = [q for q in ranked if len(q[0]) > 1]
+    with_second = {q[0] for q in full if q[1]}
     # entities: each q1 with each of its q2; a q1 that never has one stands alone
-    entities = [e for e in full if e[1] or not any(f[0] == e[0] and f[1] for f in full)]
-    if not entities:
-        entities = [e for e in rows if e[0]]
-    own = set(entities)
+    entities = [q for q in full if q[1] or q[0] not in with_second] or [q for q in ranked if q[0]]
+    own, first, second = set(entities), defaultdict(list), defaultdict(list)
+    for e in entities:
+        first[e[0]].append(e)
+        second[e[1]].append(e)
     out = []
-    for q1, q2, _, _ in quals:
-        best = (q1, q2)
-        if best not in own:
-            fits = [(soft_fit(best, e, weights), rows[e], e) for e in entities]
+    for q in (x[:2] for x in quals):
+        best = q
+        if q not in own:
+            # a whole q1 meets its own entities; an initial meets those with its middle initial and those with none
+            pool = first[q[0]] if len(q[0]) > 1 else [*second[q[1]], *second[""]] if q[1] else entities
+            fits = [(soft_similarity(q, e, weights), names[e], e) for e in pool]
             fits = [f for f in fits if f[0] > 0]
-            best = max(fits, key=lambda f: (f[0], f[1]))[2] if fits else best
+            best = max(fits, key=lambda f: (f[0], f[1]))[2] if fits else q
         out.append("|".join(best))
     return out
 
@@ -289,25 +321,44 @@ def _entities(groups: pd.Series) -> pd.Series:
     return groups.map(lambda g: _resolve([(x["q1"], x["q2"], x["n"], x["w"]) for x in g]))
 
 
+def _given_roots(rooted: DataFrame) -> DataFrame:
+    """(field, root, q1, given): given names that are on no list and rare, led to the name they misspell among those of their family."""
+    people = rooted.filter((F.col("kind") == "person") & (F.length("q1") > 1))
+    families = people.groupBy("field", "q1").agg(F.countDistinct("root").alias("families"))
+    group = F.to_json(F.struct("field", "root"))
+    tokens = people.groupBy("field", "root", "q1").agg(F.count(F.lit(1)).alias("n"))
+    close = close_tokens(tokens.select(group.alias("field"), F.col("q1").alias("token"), "n"), GIVEN_ALIKE)
+    rare = tokens.join(families, ["field", "q1"]).filter((F.col("families") <= RARE_NAMES) & ~F.col("q1").isin(*GIVEN))
+    return rare.withColumn("group", group).join(close.select(F.col("field").alias("group"), F.col("token").alias("q1"), F.col("hub").alias("given")), ["group", "q1"]).select("field", "root", "q1", "given")
+
+
 def link_names(df: DataFrame, field: str, kind: str, name: str) -> DataFrame:
     """(field, name, n_rows, entity) for every distinct name.
 
     ``kind`` is a column of ``organisation`` or ``person``."""
-    names = df.select(F.col(field).alias("field"), F.col(kind).alias("kind"), F.col(name).cast("string").alias("name")).filter("name is not null").groupBy("field", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
-    profiles = cut(names.withColumn("p", F.pandas_udf(_profile, "struct<anchors: array<string>, q1: string, q2: string>")("kind", "name")).select("field", "name", "n", "p.*").filter(F.size("anchors") > 0))
-    anchors = profiles.select("field", "name", "n", "q1", "q2", F.explode("anchors").alias("token"))
-    roots = token_roots(anchors.groupBy("field", "token").agg(F.sum("n").alias("n")))
-    rooted = anchors.join(roots, ["field", "token"]).groupBy("field", "name").agg(F.array_join(F.array_sort(F.collect_set("root")), " ").alias("root"), F.first("q1").alias("q1"), F.first("q2").alias("q2"), F.first("n").alias("n"))
+    names = df.select(F.col(f"`{field}`").alias("field"), F.col(f"`{kind}`").alias("kind"), F.col(f"`{name}`").cast("string").alias("name")).filter("name is not null").groupBy("field", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    profiles = cut(names.withColumn("p", F.pandas_udf(_profile, "struct<anchors: array<string>, q1: string, q2: string>")("kind", "name")).select("field", "kind", "name", "n", "p.*").filter(F.size("anchors") > 0))
+    anchors = profiles.select("field", "kind", "name", "n", "q1", "q2", F.explode("anchors").alias("token"))
+    roots = token_roots(anchors.groupBy("field", "token").agg(F.count(F.lit(1)).alias("n")))
+    rooted = anchors.join(roots, ["field", "token"]).groupBy("field", "kind", "name").agg(F.array_join(F.array_sort(F.collect_set("root")), " ").alias("root"), F.first("q1").alias("q1"), F.first("q2").alias("q2"), F.first("n").alias("n_rows"))
+    rooted = cut(rooted)
+    given = _given_roots(rooted)
+    rooted = rooted.join(given, ["field", "root", "q1"], "left").withColumn("q1", F.coalesce("given", "q1")).drop("given", "kind")
     rooted = cut(rooted)
     rare = rooted.groupBy("field", "q1").agg(F.count(F.lit(1)).alias("df"))
     total = rooted.groupBy("field").agg(F.count(F.lit(1)).alias("names"))  # one row a field
     weights = rare.join(F.broadcast(total), "field").select("field", "q1", F.log1p(F.col("names") / F.col("df")).alias("w"))
-    distinct = rooted.groupBy("field", "root", "q1", "q2").agg(F.sum("n").alias("n")).join(weights, ["field", "q1"])
-    # one row a root with its few qualifiers, resolved in Arrow batches of many roots
-    grouped = distinct.groupBy("field", "root").agg(F.sort_array(F.collect_list(F.struct("q1", "q2", "n", "w"))).alias("quals"))
-    entities = grouped.select("field", "root", F.explode(F.arrays_zip("quals", F.pandas_udf(_entities, "array<string>")("quals").alias("entity"))).alias("x"))
-    entities = entities.select("field", "root", "x.quals.q1", "x.quals.q2", "x.entity")
-    return rooted.join(entities, ["field", "root", "q1", "q2"]).select("field", "name", F.col("n").alias("n_rows"), F.concat_ws("|", "root", "entity").alias("entity"))
+    distinct = rooted.groupBy("field", "root", "q1", "q2").agg(F.count(F.lit(1)).alias("n")).join(weights, ["field", "q1"])
+    # one row a root and first letter with its distinct qualifiers, resolved in Arrow batches of many roots
+    letter = F.substring("q1", 1, 1)
+    grouped = distinct.filter("q1 != ''").groupBy("field", "root", letter.alias("letter")).agg(F.sort_array(F.collect_list(F.struct("q1", "q2", "n", "w"))).alias("quals"))
+    resolved = grouped.select("field", "root", F.explode(F.arrays_zip("quals", F.pandas_udf(_entities, "array<string>")("quals").alias("entity"))).alias("x"))
+    resolved = cut(resolved.select("field", "root", "x.quals.q1", "x.quals.q2", "x.quals.n", "x.entity"))
+    # a name of the root alone goes to its entity of most names, if there is any
+    most = resolved.groupBy("field", "root", "entity").agg(F.sum("n").alias("n"), F.max(F.when(F.length("q1") > 1, 1).otherwise(0)).alias("full")).groupBy("field", "root").agg(F.min(F.struct(-F.col("full"), -F.col("n"), "entity"))["entity"].alias("entity"))
+    bare = distinct.filter("q1 = ''").join(most, ["field", "root"], "left").select("field", "root", "q1", "q2", F.coalesce("entity", F.concat(F.lit("|"), "q2")).alias("entity"))
+    entities = resolved.drop("n").unionByName(bare)
+    return rooted.join(entities, ["field", "root", "q1", "q2"]).select("field", "name", "n_rows", F.concat_ws("|", "root", "entity").alias("entity"))
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:
