@@ -27,7 +27,7 @@ hot texts alone being salted.
 Defined results: null, empty and blank texts have no values; empty slots do not
 count; positions run from 1; rows repeated under one key with one text give one
 set of values, and texts of one key that give the same values do too; texts of any length are parsed whole; an unclosed quote is an
-ordinary character; the noncharacter U+10FFFF is no text and is dropped; an empty table gives an empty table.
+ordinary character; the noncharacters U+FDD0 and U+FDD1 are no text and are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.orphans import salted_join
@@ -55,8 +55,9 @@ NUMBER = re.compile(r"^\(?\d{1,3}(?:\)|\.(?=\s))\s*")
 #: prior of a parse that leaves unused what it could have used
 DECLARED_BITS = 14.0
 HOT_BITS = 10.0
-#: stands between the values of a stored parse, and for the end of a value among the letters
-BETWEEN = "\U0010ffff"
+#: noncharacters: between the values of a stored parse (and for the end of a value among the letters), and between its parts
+BETWEEN, PARTS = "\ufdd0", "\ufdd1"
+_NO_TEXT = str.maketrans("", "", BETWEEN + PARTS)
 #: dialects that one field may be written in, for the shares of those not seen
 KINDS = 24
 
@@ -215,29 +216,39 @@ def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_field
     an ampersand separates like a comma."""
     rows = df.select(F.col(field).alias("field"), F.col(key).cast("string").alias("row_key"), F.col(text).cast("string").alias("text")).dropna().filter(F.trim("text") != "")
 
-    names = pa.list_(pa.struct([("dialect", pa.string()), ("unused", pa.bool_()), ("blanks", pa.int32()), ("packed", pa.string())]))
-    costs = pa.list_(pa.struct([("no", pa.int32()), ("own", pa.float64()), ("item", pa.string()), ("new", pa.float64())]))
+    def stored(dialect: str, unused: bool, blanks: int, values: list[str]) -> str:
+        return PARTS.join((dialect, str(int(unused)), str(blanks), BETWEEN.join(values)))
 
-    @F.arrow_udf("array<struct<dialect: string, unused: boolean, blanks: int, packed: string>>")
+    def restored(parse: str) -> tuple[str, bool, int, list[str]]:
+        dialect, unused, blanks, values = parse.split(PARTS)
+        return dialect, unused == "1", int(blanks), values.split(BETWEEN)
+
+    # parses are plain strings, which cross to Python and back several times faster than structures
+    @F.arrow_udf("array<string>")
     def parsed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for fields, texts in batches:
-            rows = [candidate_parses(t.replace(BETWEEN, ""), f in ampersand_fields) for f, t in zip(fields.to_pylist(), texts.to_pylist())]
-            yield pa.array([[{"dialect": d, "unused": u, "blanks": b, "packed": BETWEEN.join(i)} for d, u, b, i in r] for r in rows], names)
+            yield pa.array([[stored(*p) for p in candidate_parses(t.translate(_NO_TEXT), f in ampersand_fields)] for f, t in zip(fields.to_pylist(), texts.to_pylist())], pa.list_(pa.string()))
+
+    def dialect_of(parse: Column) -> Column:
+        return F.substring_index(parse, PARTS, 1)
+
+    def packed_of(parse: Column) -> Column:
+        return F.substring_index(parse, PARTS, -1)
 
     spark = df.sparkSession
     ids = [F.xxhash64("field", "text").alias("id1"), F.xxhash64("text", F.lit(1), "field").alias("id2")]
     keyed = rows.select("field", "row_key", *ids)
     texts = cut(rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).select("field", *ids, "n", parsed("field", "text").alias("parses")))
     single, open_ = texts.filter(F.size("parses") == 1), texts.filter(F.size("parses") > 1)
-    first = spark.sparkContext.broadcast(_counted(single.select("field", F.col("parses")[0]["dialect"].alias("dialect"), F.col("parses")[0]["packed"].alias("packed"))))
+    first = spark.sparkContext.broadcast(_counted(single.select("field", dialect_of(F.col("parses")[0]).alias("dialect"), packed_of(F.col("parses")[0]).alias("packed"))))
 
     @F.arrow_udf("int")
     def shortest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for fields, parses in batches:
-            yield pa.array([pick_by_letters(first.value, f, [(p["dialect"], p["unused"], p["blanks"], p["packed"].split(BETWEEN)) for p in ps]) for f, ps in zip(fields.to_pylist(), parses.to_pylist())], pa.int32())
+            yield pa.array([pick_by_letters(first.value, f, [restored(p) for p in ps]) for f, ps in zip(fields.to_pylist(), parses.to_pylist())], pa.int32())
 
     chosen = open_.select("field", F.get("parses", shortest("field", "parses")).alias("p")).unionByName(single.select("field", F.col("parses")[0].alias("p")))
-    chosen = cut(chosen.select("field", "p.dialect", "p.packed").filter("packed != ''"))
+    chosen = cut(chosen.select("field", dialect_of(F.col("p")).alias("dialect"), packed_of(F.col("p")).alias("packed")).filter("packed != ''"))
     model = spark.sparkContext.broadcast(_counted(chosen))
     # in how many distinct texts a value stands, each in its parse so far
     counts = chosen.select("field", F.explode(F.array_distinct(F.split("packed", BETWEEN))).alias("item")).groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
@@ -249,15 +260,18 @@ def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_field
     @F.arrow_udf("array<struct<no: int, own: double, item: string, new: double>>")
     def priced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for fields, parses in batches:
-            rows = []
+            ends, nos, owns, items, bits = [0], [], [], [], []
             for f, ps in zip(fields.to_pylist(), parses.to_pylist()):
-                row = []
                 for no, p in enumerate(ps):
-                    items = p["packed"].split(BETWEEN)
-                    own, new = model.value.costs(f, p["dialect"], p["unused"], p["blanks"], items)
-                    row += [{"no": no, "own": own if k == 0 else 0.0, "item": i, "new": n} for k, (i, n) in enumerate(zip(items, new))]
-                rows.append(row)
-            yield pa.array(rows, costs)
+                    dialect, unused, blanks, values = restored(p)
+                    own, new = model.value.costs(f, dialect, unused, blanks, values)
+                    nos += [no] * len(values)
+                    owns += [own] + [0.0] * (len(values) - 1)
+                    items += values
+                    bits += new
+                ends.append(len(items))
+            columns = [pa.array(nos, pa.int32()), pa.array(owns, pa.float64()), pa.array(items, pa.string()), pa.array(bits, pa.float64())]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["no", "own", "item", "new"]))
 
     placed = open_.select("field", "id1", "id2", F.explode(priced("field", "parses")).alias("x")).select("field", "id1", "id2", "x.*")
     seen = placed.join(F.broadcast(hot), ["field", "item"], "left")
@@ -266,7 +280,7 @@ def split_packed(df: DataFrame, field: str, key: str, text: str, ampersand_field
     lengths = met.unionByName(rest).groupBy("id1", "id2", "no").agg(F.sum(F.col("own") + F.col("bits")).alias("length"))
     cheapest = lengths.groupBy("id1", "id2").agg(F.min(F.struct("length", "no"))["no"].alias("no"))
     decided = texts.join(cheapest, ["id1", "id2"], "left").select("id1", "id2", "n", F.get("parses", F.coalesce("no", F.lit(0))).alias("p"))
-    decided = cut(decided.select("id1", "id2", "n", "p.dialect", "p.packed").filter("packed != ''"))
+    decided = cut(decided.select("id1", "id2", "n", dialect_of(F.col("p")).alias("dialect"), packed_of(F.col("p")).alias("packed")).filter("packed != ''"))
 
     # one row for each key and text; a text that holds over a 64th of all rows is salted
     most = texts.agg(F.sum("n")).first()[0] or 0  # one number
