@@ -143,8 +143,8 @@ class Engine:
 
     def detect_language(self) -> DataFrame:
         t = F.col("text")
-        script = lang.script_language(t)
-        return self.documents().select("doc_id", F.when(script == "latin", lang.latin_language(t)).otherwise(script).alias("language"), lang.dominant_script(t).alias("script"), lang.languages_by_share(t).alias("shares"))
+        r = self.documents().select("doc_id", lang.language_result(t).alias("r"), lang.languages_by_share(t).alias("shares"))
+        return r.select("doc_id", F.when(F.col("r.confidence") < lang.LEAST_SURE, "unknown").otherwise(F.col("r.language")).alias("language"), "r.script", "r.confidence", "shares")
 
     def validate_feeds(self, bodies: DataFrame, body: str = "body") -> DataFrame:
         b = F.col(body)
@@ -152,9 +152,8 @@ class Engine:
 
     def validate_sources(self, least: float = 0.5) -> DataFrame:
         """Feeds with their trust and tier, best first."""
-        f = self._table("feeds").withColumn("kind", F.when(F.col("feed_type") == "youtube", "blog").otherwise("news"))
-        f = f.withColumn("trust", scores.trust(F.col("kind"), F.lit(0), F.lit(True), F.lit(2)))
-        return f.withColumn("tier", scores.tier(F.col("kind"), F.col("trust"))).filter(F.col("trust") >= least).orderBy(F.desc("trust"), "id")
+        f = self._table("feeds").withColumn("trust", scores.trust(F.col("source"), F.lit(0), F.lit(True), F.lit(2)))
+        return f.withColumn("tier", scores.tier(F.col("source"), F.col("trust"), F.col("domain"), F.col("feed_type"))).filter(F.col("trust") >= least).orderBy(F.desc("trust"), "id")
 
     def discover(self, pages: DataFrame, key: str, page: str = "page") -> DataFrame:
         """Feeds that pages announce, one row each."""

@@ -135,9 +135,9 @@ def strip_html(text: Column) -> Column:
 
 def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</mark>") -> Column:
     """Each hit of a query word, whatever its case, between marks."""
-    for w in query.split():
-        text = F.regexp_replace(text, f"(?i)({re.escape(w)})", f"{before}$1{after}")
-    return text
+    words = sorted({w.lower() for w in query.split()}, key=lambda w: (-len(w), w))
+    # one alternation: a mark that is set cannot be hit again
+    return F.regexp_replace(text, "(?i)(" + "|".join(map(re.escape, words)) + ")", f"{before}$1{after}") if words else text
 
 
 def query_terms(query: str) -> list[str]:
@@ -146,7 +146,7 @@ def query_terms(query: str) -> list[str]:
 
 
 #: Phrases of unwanted posts.
-SPAM = ("click here", "buy now", "free money", "act now", "limited offer", "winner", "casino", "lottery", "viagra", "make money fast")
+SPAM = ("click here", "buy now", "free money", "limited time", "act now", "call now", "100% free", "no obligation", "work from home", "$$")
 
 
 def spam_hits(text: Column) -> Column:

@@ -14,23 +14,28 @@ def keep_first(df: DataFrame, by: Column, *order: Column | str) -> DataFrame:
 
 def tier_quota(df: DataFrame, key: str, most: int, least: int) -> DataFrame:
     """At most ``most`` rows by tier then trust: a third of tier 1, half of tier
-    2, a quarter of tier 3; filled up to ``least`` from the rest.
-
-    Ranks within a tier are cut to the quota before the global order is taken,
-    so the single ordered partition holds at most ``most`` rows for each tier."""
-    quota = F.when(F.col("tier") == 1, most // 3).when(F.col("tier") == 2, most // 2).otherwise(most // 4)
-    ranked = df.withColumn("in_tier", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("trust"), key)))
-    kept = ranked.filter(F.col("in_tier") <= quota).orderBy("tier", F.desc("trust"), key).limit(most)
+    2 (which any other tier counts as), a quarter of tier 3; filled up to ``least`` from the rest.
+
+    Each tier's best are taken by a limit of their own, which keeps no more than
+    the quota in any task; the one ordered partition holds at most ``most`` rows of each tier."""
+    of = F.when(F.col("tier").isin(1, 3), F.col("tier")).otherwise(2)
+    order = ["tier", F.desc("trust"), key]
+    parts = [df.filter(of == t).orderBy(F.desc("trust"), key).limit(quota) for t, quota in ((1, most // 3), (2, most // 2), (3, most // 4))]
+    kept = parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy(*order).limit(most)
     lacking = max(0, least - kept.count())
     if lacking:
-        rest = ranked.filter(F.col("in_tier") > quota).orderBy("tier", F.desc("trust"), key).limit(lacking)
+        # the kept rows are fewer than ``least`` here
+        rest = df.join(F.broadcast(kept.select(key)), key, "left_anti").select(*df.columns).orderBy(*order).limit(lacking)
         kept = kept.unionByName(rest)
-    return kept.drop("in_tier")
+    return kept
 
 
 def round_robin(df: DataFrame, stratum: str, order: str, target: int) -> DataFrame:
-    """``target`` rows, taken in turn from each stratum in alphabetical order."""
-    return df.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(order)).cast("bigint")).orderBy("turn", stratum, order).limit(target)
+    """``target`` rows, taken in turn from each stratum in alphabetical order.
+
+    No stratum gives more than ``target``, so each task keeps but that many before the shuffle."""
+    turns = df.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(order)).cast("bigint")).filter(F.col("turn") <= target)
+    return turns.orderBy("turn", stratum, order).limit(target)
 
 
 def tier_histogram(df: DataFrame) -> DataFrame:

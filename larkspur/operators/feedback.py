@@ -33,23 +33,25 @@ class Expander:
         self.scores |= {t: 1 - 0.05 * i for i, t in enumerate(self.seeds)}
         self.query = self.query or self.seeds[:3]
 
-    def best(self, n: int) -> list[str]:
-        """The best unused terms with a positive score."""
-        rows = sorted((-s, t) for t, s in self.scores.items() if s > 0 and t not in self.used and t not in self.query)
+    def best(self, n: int, unused: bool = True) -> list[str]:
+        """The best terms with a positive score, those not used so far alone if ``unused``."""
+        rows = sorted((-s, t) for t, s in self.scores.items() if s > 0 and not (unused and t in self.used))
         return [t for _, t in rows[:n]]
 
     def adjust(self, precision: float) -> None:
-        """Reweights the query's terms, then grows it on low and shrinks it on high precision; keeps a seed in front."""
+        """Reweights the query's terms; then the next query: the best terms of all, one more on low
+        and one less on high precision, the last place for the best unused one; without one
+        of the first two seeds, the first seed takes the first place."""
         self.precisions.append(precision)
         for t in self.query:
             self.scores[t] = self.scores.get(t, 0.0) * precision
             self.used.add(t)
         size = len(self.query)
-        size = min(5, size + 1) if precision < 0.5 else max(2, size - 1) if precision > 0.8 else size
-        known = sorted(self.query, key=lambda t: (-self.scores[t], t))
-        query = (known[: size - 1] + self.best(1) or known)[:size]
-        if not set(query[:2]) & set(self.seeds) and self.seeds:
-            query = [self.seeds[0], *query]
+        size = (size + 1 if size < 5 else size) if precision < 0.5 else size - 1 if precision > 0.8 and size > 2 else size
+        query = self.best(size - 1, unused=False)
+        query += [t for t in self.best(1) if t not in query]
+        if query and self.seeds and not set(query) & set(self.seeds[:2]):
+            query[0] = self.seeds[0]
         self.query = query[:size]
 
     def goes_on(self) -> bool:
@@ -73,8 +75,10 @@ def learn(expander: Expander, pages: DataFrame, key: str, text: str, relevant: C
     asked = list(expander.query)
     held = sorted({*asked, *expander.used, *expander.seeds})
     unused = totals.filter((F.col("total") > 0) & ~F.col("term").isin(sorted({*asked, *expander.used})))
-    best = unused.orderBy(F.desc("total"), "term").limit(5)  # the longest query
-    expander.scores = {r["term"]: r["total"] for r in totals.filter(F.col("term").isin(held)).unionByName(best).collect()}
+    # the longest query has five terms, so no more than that of the best and of the best unused ones can matter to it, the asked ones aside
+    top = lambda df: df.orderBy(F.desc("total"), "term").limit(5 + len(asked))
+    best = top(unused).unionByName(top(totals.filter("total > 0"))).distinct()
+    expander.scores = {r["term"]: r["total"] for r in totals.filter(F.col("term").isin(held)).unionByName(best).distinct().collect()}
     expander.adjust(precision)
     expander.totals = totals.withColumn("total", F.when(F.col("term").isin(asked), F.col("total") * precision).otherwise(F.col("total")))
     return precision

@@ -71,7 +71,7 @@ def bootstrap(sources: DataFrame, topic: Topic, key: str, words: str, most: int
     unique = curate.keep_first(scored.withColumn("norm", urls.normal_url(F.col("url"))), F.col("norm"), F.desc("relevance"), key)
     strong = unique.filter(F.col("relevance") > 0.6).orderBy(F.desc("relevance"), key).limit(10)
     ranked = unique.join(smoothed_rank(unique.select(key, words), strong.select(key, words), key, words), key)
-    trusted = ranked.withColumn("trust", F.round(scores.clamp(0.5 * F.col("relevance") + 0.5 * F.col("score")), 6))
+    trusted = ranked.withColumn("trust", F.round(scores.clamp(0.6 * F.col("relevance") + 0.4 * F.col("score")), 6))
     return curate.tier_quota(trusted.withColumn("tier", scores.tier(F.col("kind"), F.col("trust"))), key, most, least)
 
 

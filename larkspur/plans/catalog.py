@@ -41,10 +41,17 @@ def url01_host(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "feeds").select("id", urls.host(F.col("url")).alias("host"))
 
 
-@query("SELECT country, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(domain, '\\.(co|or)\\.kr$|\\.kr$') THEN 'kr' ELSE 'global' END AS country FROM feeds) GROUP BY country")
+#: endings given to the feed domains in turn, with country and language as a plain list
+_ENDINGS = [("co.kr", "kr", "ko"), ("or.jp", "jp", "ja"), ("com.br", "br", "pt"), ("pl", "pl", "pl"), ("se", "se", "sv"), ("ch", "ch", "de"), ("com.sg", "sg", "en"), ("com.tr", "tr", "tr"), ("co.za", "za", "en"), ("ua", "ua", "uk"), ("org", "global", "en"), ("io", "global", "en"), ("example", "unknown", "unknown"), ("com.co", "co", "es"), ("co.il", "il", "he"), ("CO.UK", "uk", "en")]
+
+
+@query("SELECT id, e[1 + id % 16].c AS country, e[1 + id % 16].l AS language FROM feeds, (SELECT [" + ", ".join(f"{{'c': '{c}', 'l': '{x}'}}" for _, c, x in _ENDINGS) + "] AS e)")
 def url02_country(s: SparkSession, d: str) -> DataFrame:
-    """Countries of feed domains (all end with a generic label in the test data)."""
-    return table(s, d, "feeds").groupBy(urls.country(F.col("domain")).alias("country")).agg(F.count(F.lit(1)).alias("n"))
+    """Country and language of domains with endings of many kinds."""
+    ending = F.get(F.array(*[F.lit(e) for e, _, _ in _ENDINGS]), (F.col("id") % len(_ENDINGS)).cast("int"))
+    host = F.concat(F.regexp_extract("domain", r"^([^.]+)", 1), F.lit("."), ending)
+    c = urls.country(host)
+    return table(s, d, "feeds").select("id", c.alias("country"), urls.country_language(c).alias("language"))
 
 
 @query("SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(url), '/$', ''), '^https?://', ''), '^www\\.', '') AS norm FROM feeds")
@@ -52,15 +59,23 @@ def url04_normalise(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "feeds").select("id", urls.normal_url(F.col("url")).alias("norm"))
 
 
-_CAT = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(domain), '{w}')''' for w in urls.CATEGORY_WORDS[k])} THEN '{k}'" for k in sorted(urls.CATEGORY_WORDS)) + " ELSE 'general' END"
-
-
-@query(f"SELECT category, count(*) AS n FROM (SELECT {_CAT} AS category FROM feeds) GROUP BY category")
+@query("""SELECT category, count(*) AS n FROM (SELECT CASE
+  WHEN regexp_matches(x, 'news|noticias|nachrichten|actualite|nyheter|nyhet|nieuws|wiadomosci|zpravy|noviny|novosti|뉴스|ニュース|新闻') THEN 'news'
+  WHEN regexp_matches(x, 'tech|digital|cyber|software|hardware|gadget|geek|nerd|coding|developer|programming|ai|ml|cloud|startup|テック|科技|테크|tecnologia') THEN 'tech'
+  WHEN regexp_matches(x, 'finance|finanz|financial|money|invest|stock|market|economy|economic|business|bank|trading|crypto|bitcoin|経済|财经|금융|경제') THEN 'finance'
+  WHEN regexp_matches(x, 'sport|football|soccer|basketball|baseball|tennis|golf|nfl|nba|mlb|espn|スポーツ|体育|스포츠') THEN 'sports'
+  WHEN regexp_matches(x, 'entertainment|movie|film|music|celebrity|tv|television|drama|anime|manga|game|gaming|エンタメ|娱乐|연예') THEN 'entertainment'
+  WHEN regexp_matches(x, 'science|research|scientific|nature|biology|physics|chemistry|space|nasa|科学|과학') THEN 'science'
+  WHEN regexp_matches(x, 'health|medical|medicine|doctor|hospital|wellness|fitness|diet|nutrition|健康|건강') THEN 'health'
+  WHEN regexp_matches(x, 'politic|government|election|vote|congress|parliament|minister|president|政治|정치') THEN 'politics'
+  WHEN regexp_matches(x, 'blog|wordpress|medium|substack|tumblr|tistory|note\\.com') THEN 'blog' WHEN regexp_matches(x, 'youtube\\.com|youtu\\.be') THEN 'youtube' ELSE 'other' END AS category
+FROM (SELECT lower(url || ' ' || coalesce(title, '')) AS x FROM feeds)) GROUP BY category""")
 def url07_category(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "feeds").groupBy(urls.category(F.col("domain")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """Categories by the words of addresses and titles."""
+    return table(s, d, "feeds").groupBy(urls.category(F.concat_ws(" ", "url", "title")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id, CASE WHEN domain = 'grid.example' OR domain LIKE '%.grid.example' THEN 'premium' WHEN contains(domain, 'blogspot.com') OR contains(domain, 'wordpress.com') OR contains(domain, 'medium.com') OR contains(domain, 'substack.com') OR contains(domain, 'tumblr.com') THEN 'blog' ELSE 'standard' END AS quality FROM feeds")
+@query("SELECT id, CASE WHEN domain = 'grid.example' OR domain LIKE '%.grid.example' THEN 'premium' WHEN contains(domain, 'blogspot.com') OR contains(domain, 'wordpress.com') OR contains(domain, 'medium.com') OR contains(domain, 'substack.com') OR contains(domain, 'tumblr.com') OR contains(domain, 'blogger.com') OR contains(domain, 'tistory.com') OR contains(domain, 'note.com') THEN 'blog' ELSE 'standard' END AS quality FROM feeds")
 def url08_quality(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "feeds").select("id", urls.domain_quality(F.col("domain"), ("grid.example",)).alias("quality"))
 
@@ -80,17 +95,35 @@ def lng02_language(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).groupBy("lang", lang.script_language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: the rules of the Latin-script languages as SQL; letters and weights are stated here once more, on purpose
+_LETTERS_SQL = "CASE WHEN length(regexp_replace(low, '[^ăâđêôơưảạấầẩẫậắằẳẵặảẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữự]', '', 'g')) >= 2 THEN 'vi' WHEN length(regexp_replace(low, '[^ğışçöüİ]', '', 'g')) >= 2 THEN 'tr' WHEN length(regexp_replace(low, '[^ąćęłńśźż]', '', 'g')) >= 2 THEN 'pl' WHEN length(regexp_replace(low, '[^åäö]', '', 'g')) >= 2 THEN 'sv' END"
+_TRIPLES_SQL = {
+    "en": "the 15 ing 10 ght 8 tha 7 nth 6 thi 6 ith 6 fth 5 his 5 whi 5 whe 5 hin 5 hat 5 ome 4 ble 4 eve 4 nce 4 ake 4",
+    "de": "sch 15 ich 12 ein 10 und 10 der 9 die 9 ung 8 cht 8 den 7 ber 7 eit 7 auf 6 aus 6 mit 6 das 6 ist 6 gen 5 nen 5 ern 5 ach 5",
+    "fr": "ait 12 eux 10 ais 9 ous 9 oir 8 eau 8 lle 7 que 7 tre 7 our 6 eur 6 aux 6 ent 6 pas 6 ien 5 eme 5 omm 5 est 5 sse 5 rai 5",
+    "es": "ado 12 ión 10 los 9 las 9 nte 8 aci 8 que 7 ndo 7 sta 6 ent 6 tra 6 una 5 ara 5 era 5 ido 5",
+    "pt": "ção 15 ões 12 ndo 8 ado 8 nte 7 que 7 uma 6 ara 6 dos 6 das 6 por 5 com 5 ser 5 ais 5 ica 5",
+    "it": "zio 15 gli 12 tti 10 ell 9 lla 8 ato 8 che 7 one 7 ita 6 ere 6 nti 6 ess 5 per 5 ono 5 ano 5",
+    "nl": "aar 12 oor 10 een 9 het 9 van 8 ijn 8 erd 7 aan 7 wor 6 cht 6 eer 6 ond 5 gel 5 ste 5 oel 5",
+}
+_WORDS_SQL = {
+    "en": "the and of to in is that for with was", "de": "der die und das ist nicht mit von für den", "fr": "le la les des et est une dans pour que", "es": "el los las una del en por que con para",
+    "it": "il che di non per della sono gli una con", "pt": "os não uma com para dos que mais por em", "nl": "het een van niet voor dat met zijn op aan",
+}
+
+
 def _latin_sql() -> str:
-    cols = []
-    for k in sorted(lang.COMMON, key=lambda k: (k != "en", k)):
-        words = ", ".join(f"'{w}'" for w in lang.COMMON[k])
-        grams = " + ".join(f"len(regexp_extract_all(low, '{g}'))" for g in lang.TRIGRAMS[k])
-        cols.append(f"3 * len(list_intersect(found, [{words}])) + {grams} AS s_{k}")
-    keys = sorted(lang.COMMON, key=lambda k: (k != "en", k))
-    most = "greatest(" + ", ".join(f"s_{k}" for k in keys) + ")"
-    dia = " ".join(f"WHEN length(regexp_replace(low, '[^{c}]', '', 'g')) >= 2 THEN '{k}'" for k, c in lang.DIACRITICS.items())
-    pick = " ".join(f"WHEN s_{k} = {most} AND {most} > 0 THEN '{k}'" for k in keys)
-    return f"WITH {_D}, l AS (SELECT lang, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+')) AS found FROM d), c AS (SELECT *, {', '.join(cols)} FROM l) SELECT lang, latin, count(*) AS n FROM (SELECT lang, CASE {dia} {pick} ELSE 'unknown' END AS latin FROM c) GROUP BY ALL"
+    triples = ", ".join(f"('{k}', '{g}', {w})" for k, v in _TRIPLES_SQL.items() for g, w in zip(v.split()[::2], v.split()[1::2]))
+    words = ", ".join(f"('{k}', '{w}')" for k, v in _WORDS_SQL.items() for w in v.split())
+    order = ", ".join(f"('{k}', {i})" for i, k in enumerate(_TRIPLES_SQL))
+    return f"""WITH {_D}, l AS (SELECT doc_id, lang, lower(text) AS low FROM d), g(k, g, w) AS (VALUES {triples}), v(k, word) AS (VALUES {words}), o(k, i) AS (VALUES {order}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(low, '\\p{{L}}{{3,}}')) AS run FROM l),
+t AS (SELECT doc_id, substr(run, i, 3) AS tri, count(*) AS n FROM (SELECT doc_id, run, unnest(generate_series(1, length(run) - 2)) AS i FROM runs) GROUP BY ALL),
+ts AS (SELECT doc_id, k, sum(n * w) AS s FROM t JOIN g ON g = tri GROUP BY ALL),
+ws AS (SELECT doc_id, k, 3 * count(*) AS s FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(low, '\\p{{L}}+')) AS word FROM l) JOIN v USING (word) GROUP BY ALL),
+sc AS (SELECT doc_id, k, i, coalesce(ts.s, 0) + coalesce(ws.s, 0) AS s FROM l CROSS JOIN o LEFT JOIN ts USING (doc_id, k) LEFT JOIN ws USING (doc_id, k)),
+b AS (SELECT doc_id, arg_max(k, s * 100 - i) AS best, max(s) AS most FROM sc GROUP BY doc_id)
+SELECT lang, coalesce({_LETTERS_SQL}, best) AS latin, count(*) AS n FROM l JOIN b USING (doc_id) GROUP BY ALL"""
 
 
 @query(_latin_sql())
@@ -98,7 +131,19 @@ def lng03_latin(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).groupBy("lang", lang.latin_language(F.col("text")).alias("latin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {_D}, {_S} SELECT doc_id, {_DOM} AS script, round(CAST(n_hangul AS DOUBLE) / ({_TOTAL}), 6) AS confidence, CASE WHEN CAST(n_hangul AS DOUBLE) / ({_TOTAL}) < 0.3 THEN 'unknown' ELSE 'ko' END AS detected
+FROM (SELECT *, {_DOM} AS dom FROM s) WHERE dom = 'hangul'""")
+def lng02_confidence(s: SparkSession, d: str) -> DataFrame:
+    """Certainty of the texts that are mostly Hangul, and what is left of them under the least certainty."""
+    t = F.col("text")
+    r = documents(s, d).select("doc_id", lang.language_result(t).alias("r"), lang.detect(t).alias("detected")).filter("r.script = 'hangul'")
+    return r.select("doc_id", "r.script", F.round("r.confidence", 6).alias("confidence"), "detected")
+
+
+_SHARES = "list_filter([" + ", ".join(f"{{'p': -floor(n_{k} * 100 / greatest({_TOTAL}, 1)), 'k': '{k}'}}" for k in _RANGES) + "], lambda x: x.p <= -5)"
+
+
+@query(f"WITH {_D}, {_S} SELECT doc_id, array_to_string(list_transform(list_sort({_SHARES})[1:5], lambda x: x.k || ':' || (-x.p)::BIGINT), ',') AS shares FROM s")
 def lng04_shares(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).select("doc_id", lang.languages_by_share(F.col("text")).alias("shares"))
 
@@ -124,7 +169,7 @@ def str20_highlight(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).select("doc_id", text.highlight(F.col("title"), "trial note").alias("marked"))
 
 
-_SPAM = "(" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in text.SPAM) + ")"
+_SPAM = "(" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in ("click here", "buy now", "free money", "limited time", "act now", "call now", "100% free", "no obligation", "work from home", "$$")) + ")"
 
 
 @query(f"WITH {_D} SELECT source, count(*) FILTER (WHERE strlen(text) < 20 OR {_SPAM} >= 3) AS n_spam, round(avg(greatest(1.0 - CASE WHEN strlen(text) < 50 THEN 0.3 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 AND length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 0.2 ELSE 0 END - CASE WHEN strlen(text) < 20 OR {_SPAM} >= 3 THEN 0.4 ELSE 0 END, 0)), 6) AS quality FROM d GROUP BY source")
@@ -140,18 +185,19 @@ def set04_keywords(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---- scores ----
-_KIND = "CASE WHEN domain LIKE '%lab%' THEN 'academic' WHEN feed_type = 'youtube' THEN 'blog' ELSE 'news' END"
-_ITEMS = "(id % 30)"
-_TRUST = f"least(greatest(0.5 + CASE WHEN kind IN ('academic', 'government') THEN 0.3 WHEN kind = 'news' THEN 0.15 WHEN kind = 'blog' THEN 0.05 ELSE 0 END + CASE WHEN items >= 20 THEN 0.1 WHEN items >= 5 THEN 0.05 ELSE 0 END + CASE WHEN coalesce(country = 'us', false) THEN 0.05 ELSE 0 END, 0), 1)"
-_F = f"f AS (SELECT *, {_KIND} AS kind, {_ITEMS} AS items FROM feeds), t AS (SELECT *, round(({_TRUST})::DOUBLE, 6) AS trust FROM f), r AS (SELECT *, CASE WHEN kind IN ('academic', 'government') OR trust >= 0.8 THEN 1 WHEN trust < 0.5 THEN 3 ELSE 2 END AS tier FROM t)"
+_FOUND = "CASE id % 5 WHEN 0 THEN 'gov_search' WHEN 1 THEN 'site_discovery' WHEN 2 THEN 'path_discovery' WHEN 3 THEN 'feedspot' END"
+_PROVENANCE = "CASE id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'pattern' WHEN 2 THEN 'sitemap' END"
+_F = f"""f AS (SELECT *, {_FOUND} AS found_by, {_PROVENANCE} AS provenance, id % 13 AS items, 1 + id % 3 AS given FROM feeds),
+t AS (SELECT *, round(CAST(least(greatest(0.5 + CASE WHEN found_by IN ('feedspot', 'gov_search') THEN 0.2 WHEN found_by IN ('site_discovery', 'path_discovery') THEN 0.1 ELSE 0 END
+  + CASE WHEN items >= 10 THEN 0.1 WHEN items >= 5 THEN 0.05 ELSE 0 END + CASE WHEN country = 'us' THEN 0.1 ELSE 0 END + CASE given WHEN 1 THEN 0.15 WHEN 3 THEN -0.1 ELSE 0 END, 0), 1) AS DOUBLE), 6) AS trust FROM f),
+r AS (SELECT *, CASE WHEN found_by = 'gov_search' OR trust >= 0.8 OR feed_type = 'api' OR contains(lower(domain), 'lab') THEN 1 WHEN trust < 0.5 OR (found_by = 'path_discovery' AND trust < 0.6) THEN 3 ELSE 2 END AS tier FROM t)"""
 
 
 def _tiered(s: SparkSession, d: str) -> DataFrame:
-    f = table(s, d, "feeds")
-    f = f.withColumn("kind", F.when(F.col("domain").like("%lab%"), "academic").when(F.col("feed_type") == "youtube", "blog").otherwise("news")).withColumn("items", F.col("id") % 30)
+    f = table(s, d, "feeds").selectExpr("*", f"{_FOUND} AS found_by", f"{_PROVENANCE} AS provenance", "id % 13 AS items", "1 + id % 3 AS given")
     ok = F.coalesce(F.col("country") == "us", F.lit(False))
-    f = f.withColumn("trust", F.round(scores.trust(F.col("kind"), F.col("items"), ok, F.lit(2)), 6))
-    return f.withColumn("tier", scores.tier(F.col("kind"), F.col("trust")))
+    f = f.withColumn("trust", F.round(scores.trust(F.col("found_by"), F.col("items"), ok, F.col("given")), 6))
+    return f.withColumn("tier", scores.tier(F.col("found_by"), F.col("trust"), F.col("domain"), F.col("feed_type"), ("lab",)))
 
 
 @query(f"WITH {_F} SELECT id, trust, tier::INT AS tier FROM r")
@@ -159,9 +205,16 @@ def scr01_trust(s: SparkSession, d: str) -> DataFrame:
     return _tiered(s, d).select("id", "trust", "tier")
 
 
-@query(f"WITH {_F} SELECT id, (least(items, 20) * 2 + CASE WHEN coalesce(title, '') <> '' THEN 10 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(url, '(?i)comment') THEN 20 ELSE 0 END)::BIGINT AS score FROM r")
+@query(f"WITH {_F} SELECT tier::INT AS tier, found_by, count(*) AS n FROM r GROUP BY ALL")
+def scr03_tiers(s: SparkSession, d: str) -> DataFrame:
+    return _tiered(s, d).groupBy("tier", "found_by").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_F} SELECT id, round(CAST(CASE WHEN items >= 10 THEN 0.3 WHEN items >= 5 THEN 0.2 WHEN items >= 1 THEN 0.1 ELSE 0 END + CASE WHEN coalesce(title, '') <> '' THEN 0.2 ELSE 0 END
+  + CASE WHEN starts_with(url, 'https://') THEN 0.1 ELSE 0 END + CASE provenance WHEN 'html' THEN 0.2 WHEN 'pattern' THEN 0.15 WHEN 'sitemap' THEN 0.1 ELSE 0 END
+  + CASE WHEN lower(url) LIKE '%/feed' OR lower(url) LIKE '%/rss' OR lower(url) LIKE '%/feed.xml' OR lower(url) LIKE '%/rss.xml' THEN 0.15 ELSE 0 END AS DOUBLE), 6) AS score FROM r""")
 def scr02_feed_score(s: SparkSession, d: str) -> DataFrame:
-    return _tiered(s, d).select("id", scores.feed_score(F.col("items"), F.col("title"), F.col("url")).cast("bigint").alias("score"))
+    return _tiered(s, d).select("id", F.round(scores.feed_score(F.col("items"), F.col("title"), F.col("url"), F.col("provenance")), 6).alias("score"))
 
 
 @query(f"WITH {_F} SELECT tier::INT AS tier, count(*) AS n, round(avg(CASE WHEN quality_score IS NOT NULL THEN least(greatest(quality_score / 100 + CASE tier WHEN 1 THEN 0.2 WHEN 3 THEN -0.1 ELSE 0 END, 0), 1) END), 6) AS adjusted FROM r GROUP BY tier")

@@ -89,10 +89,16 @@ def src48_rss(s: SparkSession, d: str) -> DataFrame:
     return feeds.feed_items(_rss(s, d), "doc_id", "body").select("doc_id", "title", "link")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE true) AS n_feeds, 1::BIGINT AS most_items FROM documents")
+@query(f"""WITH {_D} SELECT doc_id % 4 AS form, doc_id % 4 < 3 AS is_feed, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS n_items, count(*) AS n FROM d GROUP BY ALL""")
 def flt16_feed_marks(s: SparkSession, d: str) -> DataFrame:
-    x = _rss(s, d).select(feeds.looks_like_feed(F.col("body")).alias("f"), feeds.item_count(F.col("body")).alias("i"))
-    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if("f").alias("n_feeds"), F.max("i").cast("bigint").alias("most_items"))
+    """Texts in three feed formats and as pages, told apart by their marks, with their items."""
+    t = F.regexp_replace(F.regexp_replace("title", "&", "&amp;"), "<", "&lt;")
+    rss = F.concat(F.lit("<?xml version='1.0'?><RSS><channel><item><title>"), t, F.lit("</title></item><item><title>b</title></item></channel></RSS>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), t, F.lit("</title></entry></feed>"))
+    rdf = F.concat(F.lit("<rdf:RDF><channel/><item><title>"), t, F.lit("</title></item></rdf:RDF>"))
+    page = F.concat(F.lit("<html><body><p>"), t, F.lit("</p></body></html>"))
+    x = documents(s, d).select((F.col("doc_id") % 4).alias("form"), F.get(F.array(rss, atom, rdf, page), (F.col("doc_id") % 4).cast("int")).alias("body"))
+    return x.groupBy("form", feeds.looks_like_feed(F.col("body")).alias("is_feed"), feeds.item_count(F.col("body")).cast("bigint").alias("n_items")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -114,16 +120,16 @@ def htm02_content(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---- filters, joins and sets ----
-@query(f"WITH {_D} SELECT doc_id FROM d WHERE contains(lower(text), 'trial') OR contains(lower(text), 'grid') OR contains(lower(text), 'court')")
+@query(f"WITH {_D} SELECT doc_id FROM d WHERE contains(lower(text), 'trial') OR contains(lower(text), 'grid') OR contains(lower(text), 'reservoir')")
 def flt07_any_keyword(s: SparkSession, d: str) -> DataFrame:
     low = F.lower("text")
-    return documents(s, d).filter(F.exists(F.array(*[F.lit(w) for w in ("trial", "grid", "court")]), lambda w: F.contains(low, w))).select("doc_id")
+    return documents(s, d).filter(F.exists(F.array(*[F.lit(w) for w in ("trial", "grid", "reservoir")]), lambda w: F.contains(low, w))).select("doc_id")
 
 
-@query("WITH t(topic, kw) AS (VALUES ('health', 'trial'), ('health', 'dose'), ('energy', 'grid'), ('law', 'court')), h AS (SELECT DISTINCT topic, d.doc_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS kw FROM documents) d JOIN t USING (kw)) SELECT topic, count(*) AS n FROM h GROUP BY topic")
+@query("WITH t(topic, kw) AS (VALUES ('health', 'trial'), ('health', 'dose'), ('energy', 'grid'), ('law', 'reservoir')), h AS (SELECT DISTINCT topic, d.doc_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS kw FROM documents) d JOIN t USING (kw)) SELECT topic, count(*) AS n FROM h GROUP BY topic")
 def flt12_topic_match(s: SparkSession, d: str) -> DataFrame:
     """Documents of each topic: an equi-join of their distinct words with the topics' words."""
-    topics = s.createDataFrame([("health", "trial"), ("health", "dose"), ("energy", "grid"), ("law", "court")], "topic string, kw string")
+    topics = s.createDataFrame([("health", "trial"), ("health", "dose"), ("energy", "grid"), ("law", "reservoir")], "topic string, kw string")
     words = documents(s, d).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("kw"))
     return words.join(F.broadcast(topics), "kw").select("topic", "doc_id").distinct().groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -174,7 +180,7 @@ def agg20_quick_check(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).groupBy("source").agg(F.round(F.avg(hits / 3.0), 6).alias("fit"))
 
 
-@query(f"WITH {_D} SELECT doc_id, round(length(text) / 400.0 * 60, 6) AS seconds FROM d")
+@query(f"WITH {_D} SELECT doc_id, round(length(text) / 150.0 * 60, 6) AS seconds FROM d")
 def dat04_reading_time(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).select("doc_id", F.round(scores.reading_seconds(F.col("text")), 6).alias("seconds"))
 
@@ -185,9 +191,24 @@ def dsc02_candidates(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "feeds").select("id", F.explode(html.feed_candidates(F.col("domain"))).alias("candidate"))
 
 
-@query("SELECT id, regexp_replace(url, '/$', '') || '/feed' AS guess FROM feeds")
+@query("""SELECT id, CASE id % 8 WHEN 0 THEN 'https://a' || id || '.blogspot.com/feeds/posts/default' WHEN 1 THEN 'https://medium.com/feed/a' || id WHEN 2 THEN 'https://a' || id || '.substack.com/feed' WHEN 3 THEN 'https://a' || id || '.wordpress.com/feed/'
+  WHEN 4 THEN 'https://a' || id || '.tistory.com/rss' WHEN 5 THEN 'https://rss.blog.naver.com/a' || id || '.xml' WHEN 6 THEN 'https://a' || id || '.ghost.io/rss/' ELSE regexp_replace(url, '/$', '') || '/feed' END AS guess FROM feeds""")
 def url09_guess(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "feeds").select("id", urls.guess_rss(F.col("url")).alias("guess"))
+    """Feed addresses of sites on seven platforms and on their own."""
+    name = F.concat(F.lit("a"), F.col("id").cast("string"))
+    sites = ["https://%s.blogspot.com/2024/post.html", "https://medium.com/%s/", "https://%s.substack.com/p/one", "https://%s.wordpress.com/", "https://%s.tistory.com/17", "https://blog.naver.com/%s/22?x=1", "https://%s.ghost.io"]
+    site = F.get(F.array(*[F.replace(F.lit(x), F.lit("%s"), name) for x in sites], F.col("url")), (F.col("id") % 8).cast("int"))
+    return table(s, d, "feeds").select("id", urls.guess_rss(site).alias("guess"))
+
+
+@query("""SELECT id, CASE id % 7 WHEN 0 THEN 'channel' WHEN 1 THEN 'user' WHEN 2 THEN 'handle' WHEN 3 THEN 'playlist' WHEN 4 THEN 'video' WHEN 5 THEN 'custom' END AS kind,
+  CASE id % 7 WHEN 0 THEN 'UC' || lpad(id::VARCHAR, 22, 'x') WHEN 1 THEN 'u' || id WHEN 2 THEN 'h' || id WHEN 3 THEN 'PL' || id WHEN 4 THEN lpad(id::VARCHAR, 11, 'v') WHEN 5 THEN 'c' || id END AS ident FROM feeds""")
+def url10_video_kind(s: SparkSession, d: str) -> DataFrame:
+    """Kinds and ids of video links, read back from links built of the ids."""
+    n = F.col("id").cast("string")
+    links = [F.concat(F.lit("https://www.youtube.com/channel/UC"), F.lpad(n, 22, "x")), F.concat(F.lit("https://youtube.com/user/u"), n), F.concat(F.lit("https://www.youtube.com/@h"), n), F.concat(F.lit("https://www.youtube.com/playlist?list=PL"), n), F.concat(F.lit("https://youtu.be/"), F.lpad(n, 11, "v")), F.concat(F.lit("https://www.youtube.com/c/c"), n), F.lit("https://example.org/watch")]
+    kind = F.split(urls.video_kind(F.get(F.array(*links), (F.col("id") % 7).cast("int"))), ":")
+    return table(s, d, "feeds").select("id", F.get(kind, F.lit(0)).alias("kind"), F.get(kind, F.lit(1)).alias("ident"))
 
 
 @query("SELECT source, count(*) AS n FROM (SELECT coalesce(source, 'Unknown') AS source FROM documents) GROUP BY source ORDER BY n DESC, source LIMIT 10")
@@ -196,11 +217,14 @@ def brf01_summary(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).groupBy(F.coalesce("source", F.lit("Unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
 
-@query()
+@query(f"""WITH {_D}, w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[\\s\\p{{Zs}}]+', ' ', 'g')), ' ') AS w FROM d),
+p AS (SELECT doc_id, w, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), 'reservoir') AS pos FROM w), q AS (SELECT *, greatest(pos - 20, 1) AS start FROM p WHERE pos > 0)
+SELECT doc_id, CASE WHEN start > 1 THEN '...' ELSE '' END || regexp_replace(array_to_string(w[start:start + 63], ' '), '(?i)(reservoir)', '<mark>\\1</mark>', 'g') || CASE WHEN len(w) >= start + 64 THEN '...' ELSE '' END AS snippet FROM q""")
 def fts06_snippet(s: SparkSession, d: str) -> DataFrame:
     """Up to 64 words around the first hit of a query word, hits marked."""
     words = F.split(text.squeeze(F.col("text")), " ")
-    hits = search.match_any(documents(s, d), ["court"], "text").withColumn("w", words)
-    first = F.array_position(F.transform("w", lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))), F.lit("court")).cast("int")
-    start = F.greatest(first - 20, F.lit(1))
-    return hits.select("doc_id", text.highlight(F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(F.slice("w", start, 64), " "), F.when(F.size("w") >= start + 64, "...").otherwise("")), "court").alias("snippet"))
+    hits = documents(s, d).filter(F.contains(F.lower("text"), F.lit("reservoir"))).withColumn("w", words)
+    at = F.array_position(F.transform("w", lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")), F.lit("reservoir")).cast("int")
+    start = F.greatest(F.col("at") - 20, F.lit(1))
+    whole = F.concat(F.when(start > 1, "...").otherwise(""), text.highlight(F.array_join(F.slice("w", start, 64), " "), "reservoir"), F.when(F.size("w") >= start + 64, "...").otherwise(""))
+    return hits.withColumn("at", at).filter("at > 0").select("doc_id", whole.alias("snippet"))

@@ -11,7 +11,7 @@ from larkspur.operators import search, trends, vectors
 from larkspur.operators.feedback import find_seeds
 from larkspur.session import table
 
-QUERY = "trial grid court"
+QUERY = "trial grid reservoir"
 WORDS = ["clinical trial", "patients", "dose", "mg"]
 #: windows of the trend queries
 PREVIOUS, SINCE, UNTIL = "2024-01-01 00:00:00", "2024-06-01 00:00:00", "2025-12-31 00:00:00"
@@ -39,7 +39,7 @@ def fts02_match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts03_match_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_any(documents(spark, sf_dir), ["grid operator", "court"], "title", "text").select("doc_id")
+    return search.match_any(documents(spark, sf_dir), ["grid operator", "reservoir"], "title", "text").select("doc_id")
 
 
 def fts04_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ def _relevance() -> str:
 SQL = {
     "fts01_postings": f"WITH {_D}, p AS (SELECT 'title' AS col, doc_id, unnest(regexp_extract_all(lower(title), '{_T}')) AS term FROM d UNION ALL SELECT 'text', doc_id, unnest({_TOK}) FROM d) SELECT col, count(*) AS n_postings, count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS n_terms FROM p GROUP BY col",
     "fts02_match_and": f"WITH {_D} SELECT doc_id FROM d WHERE list_has_all({_TOK}, ['trial', 'dose'])",
-    "fts03_match_or": f"WITH {_D} SELECT doc_id FROM d WHERE (list_has_all({_TOK}, ['grid', 'operator'])) OR list_contains({_TOK}, 'court')",
+    "fts03_match_or": f"WITH {_D} SELECT doc_id FROM d WHERE (list_has_all({_TOK}, ['grid', 'operator'])) OR list_contains({_TOK}, 'reservoir')",
     "fts04_phrase": f"WITH {_D} SELECT doc_id FROM d WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' grid operator ')",
     "fts05_bm25": f"WITH {_BM} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY score DESC, doc_id LIMIT 20",
     "fts07_exact_boost": f"WITH {_bm25_sql(['grid', 'operator'])} SELECT doc_id, score AS raw_score, round(CASE WHEN contains(lower(text), 'grid operator') THEN score * 1.5 ELSE score END, 6) AS score FROM b JOIN d USING (doc_id) ORDER BY b.score DESC, doc_id LIMIT 20",

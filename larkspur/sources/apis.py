@@ -39,7 +39,10 @@ _ENTSOE = "TimeSeries array<struct<`MktPSRType`: struct<psrType: string>, `in_Do
 _POINTS = "flatten(transform(p.TimeSeries, t -> transform(t.Period.Point, q -> named_struct('psr', t.MktPSRType.psrType, 'start', t.Period.timeInterval.start, 'position', q.position, 'quantity', q.quantity))))"
 _AT = "try_to_timestamp(r.start, \"yyyy-MM-dd'T'HH:mmX\") + make_dt_interval(0, 0, 15 * (r.position - 1), 0)"
 # Production types of the European grid.
-PSR = {"B01": "Biomass", "B02": "Lignite", "B04": "Gas", "B05": "Hard coal", "B06": "Oil", "B09": "Geothermal", "B10": "Pumped storage", "B11": "Run-of-river", "B12": "Reservoir", "B14": "Nuclear", "B15": "Other renewable", "B16": "Solar", "B17": "Waste", "B18": "Wind offshore", "B19": "Wind onshore", "B20": "Other"}
+PSR = {
+    "B01": "Biomass", "B02": "Fossil Brown Coal/Lignite", "B03": "Fossil Coal-derived Gas", "B04": "Fossil Gas", "B05": "Fossil Hard Coal", "B06": "Fossil Oil", "B07": "Fossil Oil Shale", "B08": "Fossil Peat", "B09": "Geothermal",
+    "B10": "Hydro Pumped Storage", "B11": "Hydro Run-of-river and poundage", "B12": "Hydro Water Reservoir", "B13": "Marine", "B14": "Nuclear", "B15": "Other renewable", "B16": "Solar", "B17": "Waste", "B18": "Wind Offshore", "B19": "Wind Onshore", "B20": "Other",
+}
 _PSR = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in PSR.items()) + ")"
 # Settlement zones, the first that a point starts with.
 ZONES = ("LZ_HOUSTON", "LZ_NORTH", "LZ_SOUTH", "LZ_WEST", "LZ_AEN", "LZ_CPS", "LZ_LCRA", "LZ_RAYBN", "HB_HOUSTON", "HB_NORTH", "HB_SOUTH", "HB_WEST", "HB_HUBAVG", "HB_BUSAVG")
@@ -237,8 +240,18 @@ SOURCES: dict[str, Source] = {
     "contributors": Source("contributors struct<_cid: string, _cycle: string, contributor: array<struct<_org_name: string, _total: string, _pacs: string, _indivs: string>>>", "p.contributors.contributor", {"pac_id": "replace(lower(r._org_name), ' ', '_')", "candidate_id": "p.contributors._cid", "cycle": "p.contributors._cycle", "name": "r._org_name", "total": "try_cast(r._total as double)", "pacs": "try_cast(r._pacs as double)", "individuals": "try_cast(r._indivs as double)"}, ("pac_id", "candidate_id", "cycle"), kind="xml"),
     "korean_members": Source("ALLNAMEMBER array<struct<`row`: array<struct<MONA_CD: string, HG_NM: string, ENG_NM: string, POLY_NM: string, ORIG_NM: string, CMITS: string, E_MAIL: string>>>>", "flatten(filter(transform(p.ALLNAMEMBER, x -> x.`row`), x -> x IS NOT NULL))", _MEMBER, ("mona_cd",)),
     "korean_bills": Source("TVBPMBILL11 array<struct<`row`: array<struct<BILL_ID: string, BILL_NO: string, BILL_NAME: string, PROPOSER: string, PROPOSE_DT: string, COMMITTEE: string, PROC_RESULT: string, LINK_URL: string>>>>", "flatten(filter(transform(p.TVBPMBILL11, x -> x.`row`), x -> x IS NOT NULL))", {"bill_id": "r.BILL_ID", "bill_no": "r.BILL_NO", "bill_name": "r.BILL_NAME", "proposer": "r.PROPOSER", "propose_date": "r.PROPOSE_DT", "committee": "r.COMMITTEE", "result": "r.PROC_RESULT", "url": "r.LINK_URL"}, ("bill_id",)),
-    "candidate_bios": Source("candidate struct<candidateId: string, firstName: string, lastName: string, birthDate: string, homeCity: string, homeState: string, education: string, profession: string>", "array(p.candidate)", {"candidate_id": "r.candidateId", "first_name": "r.firstName", "last_name": "r.lastName", "birth_date": "r.birthDate", "home_city": "r.homeCity", "home_state": "r.homeState", "education": "r.education", "profession": "r.profession"}, ("candidate_id",), kind="xml"),
-    "candidate_ratings": Source("candidateRating array<struct<ratingId: string, ratingName: string, sigId: string, sigName: string, rating: string, timespan: string>>", "p.candidateRating", {"rating_id": "r.ratingId", "rating_name": "r.ratingName", "group_id": "r.sigId", "group_name": "r.sigName", "rating": "r.rating", "timespan": "r.timespan"}, ("rating_id",), kind="xml"),
+    "candidate_bios": Source(
+        "bio struct<candidate: struct<candidateId: string, firstName: string, middleName: string, lastName: string, suffix: string, nickName: string, birthDate: string, birthPlace: string, gender: string, family: string, homeCity: string, homeState: string, education: string, profession: string, political: string, religion: string>>",
+        "array(p.bio.candidate)",
+        {"candidate_id": "r.candidateId", "first_name": "r.firstName", "middle_name": "r.middleName", "last_name": "r.lastName", "suffix": "r.suffix", "nick_name": "r.nickName", "birth_date": "r.birthDate", "birth_place": "r.birthPlace", "gender": "r.gender", "family": "r.family", "home_city": "r.homeCity", "home_state": "r.homeState", "education": "r.education", "profession": "r.profession", "political": "r.political", "religion": "r.religion"},
+        ("candidate_id",),
+    ),
+    "candidate_ratings": Source(
+        "candidateRating struct<rating: array<struct<ratingId: string, ratingName: string, sigId: string, sigName: string, rating: string, ratingText: string, timespan: string>>>",
+        "p.candidateRating.rating",
+        {"rating_id": "r.ratingId", "rating_name": "r.ratingName", "group_id": "r.sigId", "group_name": "r.sigName", "rating": "r.rating", "rating_text": "r.ratingText", "timespan": "r.timespan"},
+        ("rating_id",), note="the candidate is that of the request: carry it along with keep",
+    ),
     "video_metadata": Source("title string, author_name string, author_url string, thumbnail_url string", "array(struct(p.*))", {"title": "r.title", "channel": "r.author_name", "channel_url": "r.author_url", "thumbnail": "r.thumbnail_url"}, ("title",), where="r.title IS NOT NULL"),
     "repositories": Source("items array<struct<full_name: string, html_url: string, description: string, stargazers_count: int, language: string>>", "p.items", {"name": "r.full_name", "feed_url": "concat(r.html_url, '/releases.atom')", "title": "r.description", "stars": "r.stargazers_count", "score": "least(greatest(r.stargazers_count / 10000.0, 0), 1)"}, ("name",)),
 }
