@@ -19,7 +19,7 @@ def tier_quota(df: DataFrame, key: str, most: int, least: int) -> DataFrame:
     Each tier's best are taken by a limit of their own, which keeps no more than
     the quota in any task; the one ordered partition holds at most ``most`` rows of each tier."""
     of = F.when(F.col("tier").isin(1, 3), F.col("tier")).otherwise(2)
-    order = ["tier", F.desc("trust"), key]
+    order = [of, F.desc("trust"), key]
     parts = [df.filter(of == t).orderBy(F.desc("trust"), key).limit(quota) for t, quota in ((1, most // 3), (2, most // 2), (3, most // 4))]
     kept = parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy(*order).limit(most)
     lacking = max(0, least - kept.count())

@@ -2,7 +2,8 @@
 
 Query terms are few, so term statistics are computed by array functions inside
 each document's row: nothing is exploded or shuffled but one row of corpus
-statistics. :func:`postings` gives the inverted index in long form for repeated use.
+statistics. For repeated use :class:`StoredIndex` keeps postings in files
+partitioned by the hash of the term, of which a query reads its own terms' alone.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -71,6 +72,49 @@ def bm25(df: DataFrame, key: str, text: str, query: str, mode: str = "or") -> Da
     return counted.withColumn("score", F.round(score, 6)).filter(want).drop(*extra)
 
 
+class StoredIndex:
+    """Postings (term, key, occurrences, length of the document) in Parquet files, partitioned
+    by the hash of the term and sorted by term, with the corpus statistics beside them.
+
+    A query reads the partitions of its terms, and of these the row groups that hold them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.stats = spark.read.parquet(f"{path}/stats").first()  # one row
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, text: str, path: str, buckets: int = 256) -> StoredIndex:
+        docs = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
+        counted = docs.select("key", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("key", "len", "term").agg(F.count(F.lit(1)).alias("n"))
+        rows = counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        # a term of a third of all documents spreads over several files of its partition
+        spread = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("bucket", "term")
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+        return cls(df.sparkSession, path)
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """(term, key, n, len) of some terms."""
+        of = [F.pmod(F.xxhash64(F.lit(t)), F.lit(int(self.stats["buckets"]))).cast("int").alias(f"b{i}") for i, t in enumerate(terms)]
+        wanted = sorted(set(self.spark.range(1).select(*of).first())) if terms else []
+        return self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(*wanted) & F.col("term").isin(*terms)).select("term", "key", "n", "len")
+
+    def bm25(self, query: str, mode: str = "or") -> DataFrame:
+        """(key, score) of the documents that match, rounded to 6 places."""
+        terms = query_terms(query)
+        hits = self.postings(terms)
+        frequency = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each query term
+        mean, total = float(self.stats["mean"] or 1.0) or 1.0, float(self.stats["n"])
+        idf = {t: max(math.log((total - d + 0.5) / (d + 0.5)), FLOOR) for t, d in frequency.items()}
+        if not idf:
+            return hits.select("key", F.lit(0.0).alias("score")).limit(0)
+        weight = F.try_element_at(F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]), F.col("term"))
+        part = weight * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("len") / mean))
+        # documents that hold a query term, summed before the shuffle
+        scored = hits.groupBy("key").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("found"))
+        return scored.filter(F.col("found") == len(terms)).drop("found") if mode == "and" else scored.drop("found")
+
+
 def exact_boost(df: DataFrame, text: Column, phrase: str, factor: float = 1.5) -> DataFrame:
     """Multiplies ``score`` where the phrase stands in the text; the order stays that of the raw score."""
     return df.withColumn("raw_score", F.col("score")).withColumn("score", F.round(F.when(F.contains(F.lower(text), F.lit(phrase.lower())), F.col("score") * factor).otherwise(F.col("score")), 6))

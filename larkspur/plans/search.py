@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from larkspur.functions.text import SCRIPT_RUN, TOKEN, entities, keywords, letter_count, stop_set, tokens
 from larkspur.operators import search, trends, vectors
 from larkspur.operators.feedback import find_seeds
-from larkspur.session import table
+from larkspur.session import shared_folder, table
 
 QUERY = "trial grid reservoir"
 WORDS = ["clinical trial", "patients", "dose", "mg"]
@@ -51,6 +51,12 @@ def fts05_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(search.bm25(documents(spark, sf_dir), "doc_id", "text", QUERY), 20).select("doc_id", "score", "rank")
 
 
+def fts05_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same twenty from postings written once, of which the query's terms alone are read."""
+    index = search.StoredIndex.build(documents(spark, sf_dir), "doc_id", "text", shared_folder(spark, "index"))
+    return _ranked(index.bm25(QUERY).withColumnRenamed("key", "doc_id"), 20).select("doc_id", "score", "rank")
+
+
 def fts07_exact_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.bm25(documents(spark, sf_dir), "doc_id", "text", "grid operator")
     top = search.exact_boost(hits, F.col("text"), "grid operator").orderBy(F.desc("raw_score"), "doc_id").limit(20)
@@ -321,3 +327,4 @@ SQL = {
     "agg07_fit": f"WITH {_D} SELECT source, count(*) AS n, round(avg(list_has_any({_TOK}, ['trial', 'dose', 'patients'])::INT) * 100, 4) AS fit_percent FROM d GROUP BY source",
     "top09_sentences": f"WITH {_D}, s AS (SELECT source, doc_id, unnest(string_split_regex(text, '[.!?。]\\s+')) AS sentence, generate_subscripts(string_split_regex(text, '[.!?。]\\s+'), 1) - 1 AS pos FROM d), k AS (SELECT source, doc_id, pos, ({' + '.join(f'contains(lower(sentence), {chr(39)}{w}{chr(39)})::INT' for w in WORDS)}) AS score FROM s WHERE strlen(sentence) BETWEEN 20 AND 500), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id, pos) AS rank FROM k WHERE score > 0) SELECT source, rank, doc_id, pos::BIGINT AS pos, score::BIGINT AS score FROM r WHERE rank <= 3",
 }
+SQL["fts05_stored"] = SQL["fts05_bm25"]

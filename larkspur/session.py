@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the session names in
-    ``spark.checkpoint.dir``, else one set here (tests and local runs only)."""
+    """The shared folder for checkpoints and written tables, which the session names
+    in ``spark.checkpoint.dir``; a session that names none must set it (or
+    ``SparkContext.setCheckpointDir``) first. Set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have checkpoints removed."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
@@ -25,9 +26,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "larkspur-checkpoints")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"  # a local run, as in tests
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -113,3 +113,32 @@ def test_feedback_updates_every_term_in_every_round(spark):
     assert len(total) == 703 and total["gained"] == -0.5 and total["word5"] == 1.0 and total["other"] == 0.75
     assert total["seed"] == pytest.approx(2.75 / 4) and e.scores["seed"] == pytest.approx(total["seed"])
     assert "gained" not in e.best(5) and len(e.scores) <= 13
+
+
+def test_stored_index_reads_only_its_terms_and_gives_the_same_scores(spark, tmp_path):
+    import os
+    import random
+
+    from larkspur.operators.search import StoredIndex, bm25
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(400)] + [(1000, None), (1001, "")], "id int, t string")
+    index = StoredIndex.build(docs, "id", "t", str(tmp_path / "index"))
+    for query, mode in (("w5 w77 w1200", "or"), ("w5 W77", "and"), ("absent", "or"), ("w9", "and")):
+        want = {(r.id, r.score) for r in bm25(docs, "id", "t", query, mode).select("id", "score").collect()}
+        assert {(r.key, r.score) for r in index.bm25(query, mode).collect()} == want, query
+    plan = index.postings(["w5", "w77"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket" in plan.split("PartitionFilters")[1][:200]
+    size = lambda d: sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(d) for f in fs)
+    of = [r.b for r in spark.sql("select pmod(xxhash64(x), 256) b from values ('w5'), ('w77'), ('w1200') t(x)").collect()]
+    assert sum(size(tmp_path / "index" / "postings" / f"bucket={b}") for b in of) < 0.1 * size(tmp_path / "index" / "postings")
+
+
+def test_quotas_treat_other_tiers_as_the_second(spark):
+    from larkspur.operators.curate import tier_quota
+
+    rows = [(i, 1 + i % 3, i / 100) for i in range(60)] + [(100 + i, 7, 0.99) for i in range(5)]
+    out = [tuple(r) for r in tier_quota(spark.createDataFrame(rows, "id int, tier int, trust double"), "id", 24, 0).collect()]
+    count = lambda t: sum(r[1] == t for r in out)
+    assert count(1) == 8 and count(2) + count(7) == 12 and count(7) == 5 and count(3) == 4  # 24 in all
