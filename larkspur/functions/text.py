@@ -179,3 +179,8 @@ def json_keywords(text: Column) -> Column:
     listed = F.from_json(body, "keywords array<string>")["keywords"]
     by_lang = F.flatten(F.map_values(F.from_json(body, "keywords map<string, array<string>>")["keywords"]))
     return F.array_distinct(F.coalesce(listed, by_lang, F.array().cast("array<string>")))
+
+
+def worst_state(states: Column) -> Column:
+    """The worst of several health states: unhealthy, then degraded, else healthy."""
+    return F.when(F.array_contains(states, "unhealthy"), "unhealthy").when(F.array_contains(states, "degraded"), "degraded").otherwise("healthy")

@@ -151,3 +151,20 @@ def resolve(base: Column, href: Column) -> Column:
 
 def looks_like_feed(url: Column) -> Column:
     return url.rlike(r"(?i)(rss|feed|atom|\.xml)") & ~url.rlike(r"(?i)(comment|feedback)")
+
+
+# Names of publishers by a part of their address, in this order.
+PUBLISHERS = {
+    "en": {"korea.kr": "Government Policy", "youtube": "YouTube", "yna.co.kr": "Yonhap News", "hani.co.kr": "Hankyoreh", "khan.co.kr": "Kyunghyang", "chosun": "Chosun Ilbo", "donga": "Donga Ilbo", "joongang": "JoongAng Ilbo", "": "News"},
+    "ko": {"korea.kr": "정책브리핑", "youtube": "유튜브", "yna.co.kr": "연합뉴스", "hani.co.kr": "한겨레", "khan.co.kr": "경향신문", "chosun": "조선일보", "donga": "동아일보", "joongang": "중앙일보", "": "뉴스"},
+}
+
+
+def source_name(url: Column, feed_name: Column, language: str = "en") -> Column:
+    """The name of who published an address; a video is named by its feed, if that has a name."""
+    out = None
+    for part, name in PUBLISHERS[language].items():
+        value = F.coalesce(F.nullif(feed_name, F.lit("")), F.lit(name)) if part == "youtube" else F.lit(name)
+        hit = F.contains(url, F.lit(part))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out.otherwise(PUBLISHERS[language][""])

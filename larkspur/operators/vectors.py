@@ -82,3 +82,19 @@ def feedback_terms(df: DataFrame, key: str, text: str, relevant: Column) -> Data
     """(term, score): tf of relevant pages less half the tf of others."""
     tf = augmented_tf(term_counts(df, key, text), key).join(df.select(key, relevant.alias("rel")), key)
     return tf.groupBy("term").agg(F.round(F.sum(F.when(F.col("rel"), F.col("tf")).otherwise(-0.5 * F.col("tf"))), 6).alias("score"))
+
+
+def relevance(candidates: DataFrame, positives: DataFrame | None, key: str, text: str, words: list[str]) -> DataFrame:
+    """(key, score): keyword relevance, blended 0.6 to 0.4 with the likeness to positive documents if there are any."""
+    by_words = candidates.select(key, keyword_relevance(F.col(text), words).alias("w"))
+    if positives is None or positives.isEmpty():
+        return by_words.select(key, F.round("w", 6).alias("score"))
+    blended = by_words.join(tfidf_relevance(candidates, positives, key, text).withColumnRenamed("score", "t"), key)
+    return blended.select(key, F.round(0.6 * F.col("w") + 0.4 * F.col("t"), 6).alias("score"))
+
+
+def filter_specific(keywords: DataFrame, specificity: DataFrame, least: float) -> DataFrame:
+    """Keywords (``kw``) whose specificity reaches ``least``; those without one are kept."""
+    known = specificity.select(F.lower("kw").alias("__kw"), F.col("specificity").alias("__s"))
+    rows = keywords.join(known, F.lower(keywords["kw"]) == F.col("__kw"), "left")
+    return rows.filter(F.col("__s").isNull() | (F.col("__s") >= least)).drop("__kw", "__s")

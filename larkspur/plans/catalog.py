@@ -310,9 +310,9 @@ def jon02_inner(s: SparkSession, d: str) -> DataFrame:
 
 @query("WITH h AS (SELECT doc_id, regexp_extract(lower(url), '^https?://([^/]*)', 1) AS host FROM documents WHERE url IS NOT NULL), x AS (SELECT doc_id, array_to_string(labels[i:], '.') AS suffix FROM (SELECT doc_id, string_split(host, '.') AS labels, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM h)), k AS (SELECT DISTINCT doc_id, f.domain FROM x JOIN feeds f ON f.domain = x.suffix) SELECT d.doc_id, k.domain FROM documents d LEFT JOIN k USING (doc_id)")
 def jon03_contains_host(s: SparkSession, d: str) -> DataFrame:
-    """Documents whose host is, or lies under, the domain of a feed: an equi-join on host suffixes, where a containment test would compare all pairs."""
+    """Documents whose host is, or lies under, the domain of a feed: an equi-join on host suffixes of two labels or more (a bare ending is no domain and would be one hot key), where a containment test would compare all pairs."""
     docs = table(s, d, "documents").select("doc_id", F.split(urls.host(F.col("url")), r"\.").alias("labels"))
-    suffixes = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("labels"), F.lit(1))), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))).alias("domain"))
+    suffixes = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("labels") - 1, F.lit(1))), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))).alias("domain"))
     hits = suffixes.join(table(s, d, "feeds").select("domain").distinct(), "domain").distinct()
     return docs.select("doc_id").join(hits, "doc_id", "left")
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.urls import resolve
+
 _SKIP = frozenset("script style nav footer header noscript aside form svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("p div li tr h1 h2 h3 h4 h5 h6 br section article main blockquote pre td".split())
@@ -138,11 +140,68 @@ def feed_links(page: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(announced, linked), lambda x: x != ""))
 
 
+def _same_site(df: DataFrame, key: str, page: str, url: str) -> DataFrame:
+    """(key, url, text) of the links of a page that stay on its host, absolute, once each."""
+    base = F.struct(F.col(key).alias("k"), F.col(url).alias("u"))  # the page's address goes along, so nothing is joined
+    found = links(df.select(base.alias("__b"), page), "__b", page).select(F.col("__b.k").alias(key), F.col("__b.u").alias("__base"), "pos", "href", "text")
+    absolute = found.withColumn("url", resolve(F.col("__base"), F.col("href")))
+    return absolute.filter(host("url") == host("__base")).groupBy(key, "url").agg(F.min_by("text", "pos").alias("text"), F.min("pos").alias("pos"))
+
+
+def host(column: str) -> Column:
+    return F.lower(F.regexp_extract(column, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+
+
+def article_links(df: DataFrame, key: str, page: str, url: str) -> DataFrame:
+    """(key, url) of the links that look like articles of the same site: by path or by a numbered parameter."""
+    return _same_site(df, key, page, url).filter(F.col("url").rlike(r"(?i)/(view|read|detail|article|news)[?/]|(?i)(seq|idx|id|no)=\d+")).select(key, "url")
+
+
+# Parts of the addresses of news pages.
+NEWS_PATHS = ("/news/", "/press/", "/article/", "/blog/", "/release/", "/update/", "/announcement/", "/post/")
+
+
+def news_links(df: DataFrame, key: str, page: str, url: str) -> DataFrame:
+    """(key, url, title) of the links of the same site with a news path; titles of at most 100 characters."""
+    rows = _same_site(df, key, page, url)
+    return rows.filter(F.exists(F.array(*[F.lit(p) for p in NEWS_PATHS]), lambda p: F.contains(F.lower("url"), p))).select(key, "url", F.substring(F.trim("text"), 1, 100).alias("title"))
+
+
 def sitemap_urls(document: Column) -> Column:
     """The locations of a sitemap or of a sitemap index."""
     return F.regexp_extract_all(document, F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
 
 
+def sitemap_pages(maps: DataFrame, url: str, document: str, depth: int = 3) -> DataFrame:
+    """(site, page) of all sitemaps in a table of fetched ones (``url``, ``document``): an index
+    is followed into its children, ``depth`` levels deep; ``site`` is the sitemap that no index names."""
+    rows = maps.select(F.col(url).alias("map"), F.explode(sitemap_urls(F.col(document))).alias("loc"), F.lower(document).rlike("<sitemapindex").alias("is_index"))
+    children = rows.filter("is_index").select("loc").distinct()
+    roots = rows.select("map").distinct().join(children.select(F.col("loc").alias("map")), "map", "left_anti")
+    open_ = roots.select(F.col("map").alias("site"), "map")
+    found = None
+    for _ in range(depth):
+        met = open_.join(rows, "map")
+        pages = met.filter("NOT is_index").select("site", F.col("loc").alias("page"))
+        found = pages if found is None else found.unionByName(pages)
+        open_ = met.filter("is_index").select("site", F.col("loc").alias("map"))
+    return found.distinct()
+
+
+def search_results(page: Column) -> Column:
+    """(url, title) of the hits of a result page: links that leave the site, with their
+    target taken out of a redirecting address (uddg=, url=, q=)."""
+    tags = F.regexp_extract_all(page, F.lit(r"(?is)(<a\s[^>]*href=[\"'][^\"']*[\"'][^>]*>.*?</a>)"), F.lit(1))
+
+    def hit(a: Column) -> Column:
+        href = F.replace(F.regexp_extract(a, r"(?i)href=[\"']([^\"']*)", 1), F.lit("&amp;"), F.lit("&"))
+        inner = F.try_url_decode(F.regexp_extract(href, r"[?&](?:uddg|url|q)=(https?(?:%3A|:)[^&]+)", 1))
+        target = F.coalesce(F.nullif(inner, F.lit("")), F.when(href.rlike("^https?://"), href))
+        return F.struct(target.alias("url"), F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", ""), r"\s+", " ")).alias("title"))
+
+    return F.filter(F.transform(tags, hit), lambda h: h["url"].isNotNull() & (h["title"] != ""))
+
+
 def news_urls(urls: Column, words: list[str], most: int) -> Column:
     """URLs with one of the words or a news-like path."""
     hit = lambda u: u.rlike(r"(?i)/(news|article|blog|post|story|20\d{2})/") | F.exists(F.array(*[F.lit(w.lower()) for w in words[:5]]), lambda w: F.contains(F.lower(u), w))
