@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import text, urls
+from larkspur.functions import scores, text, urls
 from larkspur.operators import vectors
 from larkspur.plans.search import SQL as SEARCH_SQL
 from larkspur.plans.search import documents, str10_specificity
@@ -84,10 +84,40 @@ def agg23_worst(s: SparkSession, d: str) -> DataFrame:
     return one.groupBy("category").agg(text.worst_state(F.collect_set(state)).alias("state"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (htm06_articles, htm07_news, htm09_sitemaps, htm10_results, str29_source_names, str11_specific, flt12_topic_contains, win09_first_three, agg23_worst)}
+def dat01_layouts(s: SparkSession, d: str) -> DataFrame:
+    """Moments written in five layouts and read back."""
+    t = F.from_unixtime(F.lit(1_700_000_000) + F.col("id") * 86_461, "yyyy-MM-dd HH:mm:ss").cast("timestamp")
+    forms = [F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss +0000"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ssXXX"), F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "MMM d, yyyy"), F.lit("soon")]
+    text_ = F.get(F.array(*forms), (F.col("id") % 6).cast("int"))
+    return table(s, d, "feeds").select("id", F.date_format(scores.parse_date(text_), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
+def dat03_in_html(s: SparkSession, d: str) -> DataFrame:
+    """The first possible date that stands in a page."""
+    page = F.concat(F.lit("<p>v1.2 of "), F.get(F.array(F.lit("2024.3.9"), F.lit("2024-13-40"), F.lit("2023-11-05"), F.lit("none")), (F.col("id") % 4).cast("int")), F.lit("</p>"))
+    return table(s, d, "feeds").select("id", F.date_format(scores.date_in_html(page), "yyyy-MM-dd").alias("day"))
+
+
+def url05_resolved(s: SparkSession, d: str) -> DataFrame:
+    """Relative links against a page's address."""
+    href = F.get(F.array(F.lit("../x"), F.lit("/y?z=1"), F.lit("//cdn.example/a"), F.lit("https://b.example/c"), F.lit("?q=2")), (F.col("id") % 5).cast("int"))
+    return table(s, d, "feeds").select("id", urls.resolve(F.concat(F.lit("https://"), F.col("domain"), F.lit("/p/q/r")), href).alias("url"))
+
+
+def arr02_split(s: SparkSession, d: str) -> DataFrame:
+    """Lists written with commas, trimmed, without empty parts, and a membership test that ignores case."""
+    parts = text.split_list(F.concat(F.lit(" A, "), F.col("category"), F.lit(",, "), F.col("status"), F.lit(" ,")))
+    return table(s, d, "feeds").filter("category IS NOT NULL AND status IS NOT NULL").select("id", F.array_join(parts, "|").alias("parts"), text.contains_folded(parts, F.lit("ACTIVE")).alias("active"))
+
+
+QUERIES = {f.__name__: f for f in (dat01_layouts, dat03_in_html, url05_resolved, arr02_split, htm06_articles, htm07_news, htm09_sitemaps, htm10_results, str29_source_names, str11_specific, flt12_topic_contains, win09_first_three, agg23_worst)}
 
 _TOK3 = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda t: strlen(t) >= 3)"
 SQL = {
+    "dat01_layouts": "SELECT id, CASE WHEN id % 6 = 5 THEN NULL WHEN id % 6 IN (3, 4) THEN strftime(make_timestamp((1700000000 + id * 86461) * 1000000), '%Y-%m-%d 00:00:00') ELSE strftime(make_timestamp((1700000000 + id * 86461) * 1000000), '%Y-%m-%d %H:%M:%S') END AS moment FROM feeds",
+    "dat03_in_html": "SELECT id, CASE id % 4 WHEN 0 THEN '2024-03-09' WHEN 2 THEN '2023-11-05' END AS day FROM feeds",
+    "url05_resolved": "SELECT id, CASE id % 5 WHEN 0 THEN 'https://' || domain || '/p/x' WHEN 1 THEN 'https://' || domain || '/y?z=1' WHEN 2 THEN 'https://cdn.example/a' WHEN 3 THEN 'https://b.example/c' ELSE 'https://' || domain || '/p/q/r?q=2' END AS url FROM feeds",
+    "arr02_split": "SELECT id, 'A|' || category || '|' || status AS parts, lower(status) = 'active' OR lower(category) = 'active' AS active FROM feeds WHERE category IS NOT NULL AND status IS NOT NULL",
     "htm06_articles": "SELECT id, unnest(['https://' || domain || '/news/' || id, 'https://' || domain || '/view?id=' || id, 'https://' || domain || '/list?seq=' || id]) AS url FROM feeds",
     "htm07_news": "SELECT id, 'https://' || domain || '/news/' || id AS url, 'One news' AS title FROM feeds UNION ALL SELECT id, 'https://' || domain || '/press/' || id || '?x=1', 'Press' FROM feeds",
     "htm09_sitemaps": "SELECT 'https://' || domain || '/sitemap.xml' AS site, 'https://' || domain || p AS page FROM (SELECT DISTINCT domain FROM feeds), (VALUES ('/a/1'), ('/a/2'), ('/b/1'), ('/b/2')) v(p)",
