@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +42,60 @@ LETTERS_SURE, SCORE_SURE, SCORE_UNSURE = {"vi": 0.9, "tr": 0.8, "pl": 0.8, "sv":
 HIGH_SCORE, LEAST_SURE = 10, 0.3
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    return {k: F.length(F.regexp_replace(text, f"[^{r}]", "")) for k, r in SCRIPTS.items()}
+@lru_cache(maxsize=1)
+def _script_table() -> np.ndarray:
+    """The place in SCRIPTS of every code point, 255 for none."""
+    table = np.full(0x110000, 255, np.uint8)
+    for i, ranges in reversed(list(enumerate(SCRIPTS.values()))):
+        for low, high in re.findall(r"(\\x\{[0-9A-F]+\}|\w)-(\\x\{[0-9A-F]+\}|\w)", ranges):
+            first, last = (int(x[3:-1], 16) if len(x) > 1 else ord(x) for x in (low, high))
+            table[first : last + 1] = i
+    return table
+
+
+def _code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a batch in a row, each with the place of its text; texts are parted by a line break."""
+    joined = "\n".join(t or "" for t in texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t or "") + 1 for t in texts])
+    return points, np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[: len(points)]
+
+
+def _script_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Letters of each script: one look-up a code point for a whole batch, some twenty times faster than a pattern for each script."""
+    n = len(SCRIPTS)
+    for texts in batches:
+        points, owner = _code_points(texts.to_pylist())
+        script = _script_table()[points]
+        hit = script < n
+        counts = np.bincount(owner[hit].astype(np.int64) * n + script[hit], minlength=len(texts) * n).astype(np.int32)
+        yield pa.FixedSizeListArray.from_arrays(pa.array(counts), n).cast(pa.list_(pa.int32()))
+
+
+def _triple_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The weights of each language's triples that stand in a text, overlapping, summed."""
+    known = sorted({g for v in TRIGRAMS.values() for g in v}, key=lambda g: [ord(c) for c in g])
+    keys = np.array([(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in known], np.int64)
+    weights = np.array([[TRIGRAMS[k].get(g, 0) for k in TRIGRAMS] for g in known], np.int64)
+    n = len(TRIGRAMS)
+    for texts in batches:
+        points, owner = _code_points(texts.to_pylist())
+        p = points.astype(np.int64)
+        sums = np.zeros((len(texts), n), np.int64)
+        if len(p) > 2:
+            triple = (p[:-2] << 42) | (p[1:-1] << 21) | p[2:]  # the parting line breaks are in no known triple
+            at = np.minimum(np.searchsorted(keys, triple), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == triple)
+            np.add.at(sums, owner[hit], weights[at[hit]])
+        yield pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel().astype(np.int32)), n).cast(pa.list_(pa.int32()))
+
+
+def _script_counts(text: Column) -> Column:
+    return F.arrow_udf(_script_batches, "array<int>")(text)
+
+
+def _triple_scores(low: Column) -> Column:
+    return F.arrow_udf(_triple_batches, "array<int>")(low)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -48,7 +104,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _counts(text: Column) -> Column:
-    return F.struct(*[c.alias(k) for k, c in script_counts(text).items()])
+    return _let(_script_counts(text), lambda n: F.struct(*[n[i].alias(k) for i, k in enumerate(SCRIPTS)]))
 
 
 def _dominant(n: Column) -> Column:
@@ -65,30 +121,17 @@ def dominant_script(text: Column) -> Column:
     return _let(_counts(text), _dominant)
 
 
-def _triples(low: Column) -> Column:
-    """Every three letters in a row, at every place (overlapping), as an array."""
-    runs = F.regexp_extract_all(low, F.lit(r"\p{L}{3,}"), F.lit(0))
-    return F.flatten(F.transform(runs, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
-
-
-def latin_scores(text: Column, common: dict[str, list[str]] = COMMON) -> Column:
-    """A struct with each language's score: its common words that occur (3 each) and the weights of its triples."""
-    weights = F.create_map(*[x for g in sorted({g for v in TRIGRAMS.values() for g in v}) for x in (F.lit(g), F.array(*[F.lit(TRIGRAMS[k].get(g, 0)) for k in TRIGRAMS]))])
-    start = F.array(*[F.lit(0)] * len(TRIGRAMS))
-
-    def scored(low: Column) -> Column:
-        hits = F.filter(F.transform(_triples(low), lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull())
-        sums = F.aggregate(hits, start, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
-        found = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))
-        return _let(F.struct(sums.alias("sums"), found.alias("found")), lambda b: F.struct(*[(F.size(F.array_intersect(b["found"], F.array(*[F.lit(w) for w in common[k]]))) * 3 + b["sums"][i]).alias(k) for i, k in enumerate(TRIGRAMS)]))
-
-    return _let(F.lower(text), scored)
+def _latin_parts(text: Column) -> Column:
+    """What the Latin-script languages are told by: the text in lower case, the weights of its triples, its words."""
+    low = F.lower(text)
+    return F.struct(low.alias("low"), _triple_scores(low).alias("sums"), F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))).alias("found"))
 
 
-def latin_result(text: Column, share: Column, common: dict[str, list[str]] = COMMON) -> Column:
-    """(language, confidence): letters of vi, tr, pl, sv first, else the best score; English unless another
-    scores higher, the earlier in TRIGRAMS on ties. ``share``: the share of Latin letters."""
+def _latin(parts: Column, share: Column, common: dict[str, list[str]]) -> Column:
+    """(language, confidence): letters of vi, tr, pl, sv first, else the best score - common words
+    that occur, 3 each, and the weights of triples; English unless another scores higher, the earlier in TRIGRAMS on ties."""
     names = list(TRIGRAMS)
+    scores = F.struct(*[(F.size(F.array_intersect(parts["found"], F.array(*[F.lit(w) for w in common[k]]))) * 3 + parts["sums"][i]).alias(k) for i, k in enumerate(names)])
 
     def best(n: Column) -> Column:
         most = F.greatest(*[n[k] for k in names])
@@ -97,36 +140,35 @@ def latin_result(text: Column, share: Column, common: dict[str, list[str]] = COM
             out = out.when(n[k] == most, k)
         return F.struct(out.alias("language"), (share * F.when(most > HIGH_SCORE, SCORE_SURE).otherwise(SCORE_UNSURE)).alias("confidence"))
 
-    def judge(low: Column) -> Column:
-        out = None
-        for k, chars in DIACRITICS.items():
-            hit, value = F.length(low) - F.length(F.translate(low, chars, "")) >= 2, F.struct(F.lit(k).alias("language"), (share * LETTERS_SURE[k]).alias("confidence"))
-            out = F.when(hit, value) if out is None else out.when(hit, value)
-        return out.otherwise(_let(latin_scores(low, common), best))
+    out, low = None, parts["low"]
+    for k, chars in DIACRITICS.items():
+        hit, value = F.length(low) - F.length(F.translate(low, chars, "")) >= 2, F.struct(F.lit(k).alias("language"), (share * LETTERS_SURE[k]).alias("confidence"))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out.otherwise(_let(scores, best))
 
-    return _let(F.lower(text), judge)
 
+def latin_language(text: Column, common: dict[str, list[str]] = COMMON) -> Column:
+    """The language of a text in Latin letters."""
+    return _let(_latin_parts(text), lambda parts: _latin(parts, F.lit(1.0), common))["language"]
 
-def latin_language(text: Column) -> Column:
-    return latin_result(text, F.lit(1.0))["language"]
 
-
-def language_result(text: Column) -> Column:
+def language_result(text: Column, common: dict[str, list[str]] = COMMON) -> Column:
     """(language, confidence, script) by the dominant script, its share of the letters being the confidence;
     Han with more than 5 % kana is Japanese; Latin is told by letters, words and triples; under three bytes unknown with 0."""
 
-    def judge(both: Column) -> Column:
-        n, script = both["n"], both["script"]
+    def judge(x: Column) -> Column:
+        n, script = x["n"], x["script"]
         total = sum((n[k] for k in SCRIPTS), F.lit(0))
         share = sum((F.when(script == k, n[k]).otherwise(0) for k in SCRIPTS), F.lit(0)) / total
         of = lambda language: F.struct(language.alias("language"), share.alias("confidence"), script.alias("script"))
-        out = F.when((F.octet_length(text) < 3) | script.isNull(), F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"), script.alias("script")))
+        out = F.when((x["bytes"] < 3) | script.isNull(), F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"), script.alias("script")))
         out = out.when(script == "han", of(F.when(n["hiragana"] + n["katakana"] > 0.05 * total, "ja").otherwise("zh")))
         for k, language in SCRIPT_LANGUAGE.items():
             out = out.when(script == k, of(F.lit(language)))
-        return out.otherwise(_let(latin_result(text, share), lambda r: F.struct(r["language"].alias("language"), r["confidence"].alias("confidence"), script.alias("script"))))
+        return out.otherwise(_let(_latin(x["latin"], share, common), lambda r: F.struct(r["language"].alias("language"), r["confidence"].alias("confidence"), script.alias("script"))))
 
-    return _let(_let(_counts(text), lambda n: F.struct(n.alias("n"), _dominant(n).alias("script"))), judge)
+    parts = F.struct(_counts(text).alias("n"), F.octet_length(text).alias("bytes"), _latin_parts(text).alias("latin"))
+    return _let(parts, lambda p: _let(F.struct(p["n"].alias("n"), _dominant(p["n"]).alias("script"), p["bytes"].alias("bytes"), p["latin"].alias("latin")), judge))
 
 
 def detect(text: Column) -> Column:
