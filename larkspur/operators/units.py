@@ -1,12 +1,15 @@
 """Converting quantities recorded in many units to common units.
 
-Every distinct spelling of a unit is matched against a catalogue of known
-spellings: a character n-gram inverted index proposes candidates (an equi-join
-on n-grams), a weighted edit distance verifies them, and the alias dictionary
-that results is joined to all rows. In the edit distance, changing a scale mark
-(M, MM, k, milli, digits, currency signs) is never cheap, whereas letter
-case within words, plurals, spaces and hyphens are: ``Mcf`` and ``MMcf`` must not meet.
-Words are first led to the catalogue's words they misspell (``milion`` is
+A unit as written is read as marks of scale (thousand, MM, k, giga, 10^6),
+currency and ratio, and the rest, which names a base unit (barrels, cf, therm).
+Every distinct spelling is taken once: its rest is matched to the catalogue's
+base units - a character n-gram inverted index proposes candidates (an equi-join
+on n-grams), a weighted edit distance in which plurals, spaces and hyphens cost
+little verifies them - and its marks give the scale. The alias dictionary that
+results is joined to all rows. M means thousand in barrels, gallons and cubic
+feet, and MM million; in watthours and joules M is mega.
+
+Words are first led to the known words they misspell (``milion`` is
 ``million``), so that a typing error in a word of scale does not change the
 scale; a word as near to two of them (``nillion``) is left as it is and matches nothing.
 
@@ -18,6 +21,7 @@ results; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -33,53 +37,32 @@ M3_PER_CUBIC_FOOT = 0.028316846592
 MMBTU_PER_THERM = 0.1
 GJ_PER_MWH = 3.6
 
-#: Series group -> factor to its common unit -> spellings. One unit per line.
+@dataclass(frozen=True)
+class Group:
+    """A series group: the factor of one base unit (in cents, if it is a price) to the common unit, by base unit, and the common unit's name."""
+
+    bases: dict[str, float]
+    common: str
+    price: bool = False
+
+
+#: What the series groups are measured in, the base units and their value in the common unit.
 CATALOGUE = {
-    "PET.STK": [  # thousand barrels
-        (1.0, ["thousand barrels", "Thousand Barrels (MBBL)", "MBBL", "Mbbl", "k bbl", "kbbl", "1000 bbl", "10^3 bbl", "thousand bbl"]),
-        (1000.0, ["million barrels", "MMBBL", "MMbbl", "mn bbl", "10^6 bbl", "million bbl"]),
-        (0.001, ["barrels", "barrel", "bbl", "BBL", "bbls"]),
-        (0.001 / GALLONS_PER_BARREL, ["gallons", "U.S. gallons", "US gallons", "gal", "gallon"]),
-        (1.0 / GALLONS_PER_BARREL, ["thousand gallons", "Mgal", "1000 gal", "k gal"]),
-        (1000.0 / GALLONS_PER_BARREL, ["million gallons", "MMgal", "mn gal", "10^6 gal"]),
-        (0.001 / M3_PER_BARREL, ["cubic metres", "cubic meters", "m3", "m³", "cu m"]),
-        (1.0 / M3_PER_BARREL, ["thousand cubic metres", "10^3 m3", "1000 m3", "1000 m³"]),
-    ],
-    "PET.PRC": [  # US cents per barrel
-        (1.0, ["cents per barrel", "US cents per barrel", "US cents/bbl", "¢/bbl", "c/bbl"]),
-        (100.0, ["dollars per barrel", "US$ per barrel", "US dollars per barrel", "USD/BBL", "USD per barrel", "$/bbl"]),
-        (1.0 * GALLONS_PER_BARREL, ["cents per gallon", "US cents per gallon", "¢/gal", "c/gal"]),
-        (100.0 * GALLONS_PER_BARREL, ["dollars per gallon", "USD per gallon", "US$ per gallon", "$/gal", "USD/gal"]),
-        (100.0 * M3_PER_BARREL, ["dollars per cubic metre", "USD per m3", "$/m3"]),
-    ],
-    "NG.PROD": [  # million cubic feet
-        (1.0, ["million cubic feet", "million cu ft", "MMCF", "MMcf", "mn cu ft", "10^6 cf"]),
-        (1000.0, ["billion cubic feet", "billion cu ft", "BCF", "Bcf", "10^9 cf"]),
-        (0.001, ["thousand cubic feet", "thousand cu ft", "MCF", "Mcf", "1000 cu ft"]),
-        (0.000001, ["cubic feet", "cu ft", "cf"]),
-        (1.0 / M3_PER_CUBIC_FOOT, ["million cubic metres", "million cubic meters", "million m3", "10^6 m³", "10^6 m3", "mn m3"]),
-        (0.001 / M3_PER_CUBIC_FOOT, ["thousand cubic metres", "10^3 m³", "1000 m3"]),
-        (1000.0 / M3_PER_CUBIC_FOOT, ["billion cubic metres", "bcm", "10^9 m³"]),
-        (0.000001 / M3_PER_CUBIC_FOOT, ["cubic metres", "cubic meters", "m3", "m³"]),
-    ],
-    "NG.PRC": [  # US cents per million Btu
-        (1.0, ["cents per million Btu", "US cents per million Btu", "cents/MMBtu", "¢/MMBtu", "c/MMBtu"]),
-        (100.0, ["dollars per million Btu", "US$ per million Btu", "USD/MMBtu", "$/MMBTU", "USD per MMBtu"]),
-        (1.0 / MMBTU_PER_THERM, ["cents per therm", "¢/therm", "c/thm"]),
-        (100.0 / MMBTU_PER_THERM, ["dollars per therm", "USD per thm", "USD per therm", "$/therm", "$/thm"]),
-    ],
-    "ELEC.GEN": [  # megawatthours
-        (1.0, ["megawatthours", "megawatt hours", "MWh", "MWH"]),
-        (1000.0, ["thousand megawatthours", "1000 MWh", "10^3 MWh", "gigawatthours", "gigawatt hours", "GWh", "GWH"]),
-        (1_000_000.0, ["million megawatthours", "terawatthours", "TWh"]),
-        (0.001, ["kilowatthours", "kilowatt hours", "kWh", "KWH"]),
-        (1000.0, ["million kilowatthours", "million kWh", "mn kWh"]),
-        (1.0 / GJ_PER_MWH, ["gigajoules", "GJ"]),
-        (1000.0 / GJ_PER_MWH, ["terajoules", "TJ"]),
-        (0.001 / GJ_PER_MWH, ["megajoules", "MJ"]),
-        (1_000_000.0 / GJ_PER_MWH, ["petajoules", "PJ"]),
-    ],
+    "PET.STK": Group({"barrel": 1e-3, "gallon": 1e-3 / GALLONS_PER_BARREL, "cubic metre": 1e-3 / M3_PER_BARREL}, "thousand barrels"),
+    "PET.PRC": Group({"barrel": 1.0, "gallon": 1.0 * GALLONS_PER_BARREL, "cubic metre": M3_PER_BARREL}, "cents per barrel", price=True),
+    "NG.PROD": Group({"cubic foot": 1e-6, "cubic metre": 1e-6 / M3_PER_CUBIC_FOOT}, "million cubic feet"),
+    "NG.PRC": Group({"btu": 1e6, "therm": 1.0 / MMBTU_PER_THERM}, "cents per million Btu", price=True),
+    "ELEC.GEN": Group({"watthour": 1e-6, "joule": 1e-9 / GJ_PER_MWH}, "megawatthours"),
 }
+#: Names of base units.
+BASES = {
+    "barrel": ["barrels", "bbl"], "gallon": ["gallons", "gal"], "cubic metre": ["cubic metres", "m3", "cm"], "cubic foot": ["cubic feet", "cu ft", "cf"],
+    "btu": ["btu"], "therm": ["therm", "thm"], "watthour": ["watthours", "wh"], "joule": ["joules", "j"],
+}
+#: Words and signs of scale.
+SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "mn": 1e6, "bn": 1e9, "kilo": 1e3, "mega": 1e6, "giga": 1e9, "tera": 1e12, "peta": 1e15, "k": 1e3}
+#: Letters of scale before a short base unit: those of trade, and those of the SI.
+TRADE, SI = {"m": 1e3, "mm": 1e6, "b": 1e9, "k": 1e3, "": 1.0}, {"k": 1e3, "m": 1e6, "g": 1e9, "t": 1e12, "p": 1e15, "": 1.0}
 _SAYS_NOTHING = r"^\s*(see (name|title|description|notes?)|n/?a|unknown|none|-|\?)?\s*$"
 
 
@@ -97,17 +80,17 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-#: the catalogue's words long enough to be told from their misspellings
-_WORDS = sorted({w for units in CATALOGUE.values() for _, names in units for name in names for w in re.findall(r"[a-z]{5,}", name.lower())} | {"kilowatthours", "gigajoule", "megajoule"})
+#: the words long enough to be told from their misspellings
+_WORDS = sorted({w for names in BASES.values() for name in names for w in re.findall(r"[a-z]{5,}", name)} | {w for w in SCALES if len(w) > 4} | {"barrel", "gallon", "dollars", "dollar", "cents", "meters", "metres", "megawatthours", "gigawatthours", "kilowatthours", "terawatthours", "gigajoules", "terajoules", "megajoules", "petajoules"})
 
 
 @lru_cache(maxsize=65_536)
 def corrected(word: str) -> str:
-    """The catalogue's word that a word misspells by one edit, or two from nine letters on; itself if that is none or several."""
+    """The known word that a word misspells by one edit, or two from nine letters on; itself if that is none or several."""
     if len(word) < 5 or not word.isalpha() or word in _WORDS:
         return word
     near = sorted((d, w) for w in _WORDS if abs(len(w) - len(word)) <= 2 and (d := _edits(word, w)) <= (1 if len(word) < 9 else 2))
-    if not near or (len(near) > 1 and near[0][0] == near[1][0] and _marks(near[0][1]) != _marks(near[1][1])):
+    if not near or (len(near) > 1 and near[0][0] == near[1][0] and _scaled(near[0][1]) != _scaled(near[1][1])):
         return word
     return near[0][1]
 
@@ -122,45 +105,74 @@ def plain_unit(text: str) -> str:
     return " ".join(w if len(w) <= 3 else re.sub(r"[a-z]{5,}", lambda m: corrected(m[0]), w.lower()) for w in t.split())
 
 
-_SCALES = re.compile(r"10\^\d+|\d{3,}|thousand|million|billion|mega|giga|tera|kilo|peta|mn|[$¢]|usd|dollars?|cents?|\bc/|\bper\b|/|\bk\b")
-_MARK = re.compile(r"^(mm|m|k|b|g|t|p)?(bbls?|btu|cf|wh|gal|j)$")
+def _scaled(word: str) -> tuple[float, str]:
+    """The scale that a word carries (megawatthours, million) and what is left of it."""
+    if word in SCALES:
+        return SCALES[word], ""
+    for prefix in ("kilo", "mega", "giga", "tera", "peta"):
+        if word.startswith(prefix):
+            return SCALES[prefix], word[len(prefix) :]
+    return 1.0, word
 
 
-def _marks(text: str) -> tuple[str, ...]:
-    """The marks of scale, currency and ratio in a spelling, as a sorted tuple; they must be equal."""
-    t = text.lower()
-    same = {"usd": "$", "dollar": "$", "dollars": "$", "cent": "¢", "cents": "¢", "c/": "¢", "per": "/", "1000": "k", "10^3": "k", "thousand": "k", "kilo": "k", "10^6": "mn", "million": "mn", "10^9": "bn", "billion": "bn"}
-    out = [same.get(m, m) for m in _SCALES.findall(t)]
-    if re.search(r"\bc/", t):
-        out.append("/")
-    for w in re.split(r"[\s/()]+", t):
-        if (hit := _MARK.match(w)) and hit[1]:
-            out.append(hit[1])
-    return tuple(sorted(out))
+_SHORT = re.compile(r"^(mm|[mkbgtp])?(bbls?|btu|cf|gal|cm|wh|j)$")
 
 
-def unit_distance(a: str, b: str) -> float:
-    """Weighted edit distance in 0..1 of two plain spellings; 1 if their marks of scale differ."""
-    a, b = plain_unit(a), plain_unit(b)
-    if a == b:
-        return 0.0
-    if _marks(a) != _marks(b):
-        return 1.0
+def _amount(text: str) -> tuple[float, str]:
+    """(scale, base as written) of an amount such as "thousand barrels", "MMcf" or "10^3 m3"."""
+    scale, rest = 1.0, []
+    for w in text.split():
+        if hit := re.fullmatch(r"10\^(\d+)", w):
+            scale *= 10.0 ** int(hit[1])
+        elif re.fullmatch(r"1(?:,?000)+", w):
+            scale *= float(w.replace(",", ""))
+        elif hit := _SHORT.match(w.lower()):
+            letters = SI if hit[2] in ("wh", "j") else TRADE
+            if (hit[1] or "") not in letters:
+                return 1.0, ""  # a letter that this unit never has
+            scale *= letters[hit[1] or ""]
+            rest.append(hit[2])
+        else:
+            more, left = _scaled(w.lower())
+            scale *= more
+            rest.append(left)
+    return scale, " ".join(x for x in rest if x)
+
+
+_MONEY = re.compile(r"(?i)^(?:us\s*)?(us\s*dollars?|dollars?|usd|\$|us\s*cents?|cents?|¢|c)\s*(?:per\b|/)\s*")
+
+
+def read_unit(text: str) -> tuple[float | None, float, str]:
+    """(cents of the currency if it is a price, scale, base as written) of a spelling."""
+    t = plain_unit(text)
+    t = re.sub(r"(?<=\S)\s*\([^()]*\)$", "", t)  # the same once more, abbreviated
+    money = _MONEY.match(t)
+    scale, base = _amount(t[money.end() :] if money else t)
+    return (1.0 if "c" in money[1].lower()[:1] or "cent" in money[1].lower() or money[1] == "¢" else 100.0) if money else None, scale, base
+
+
+def base_distance(a: str, b: str) -> float:
+    """Weighted edit distance in 0..1 of two names of base units."""
 
     def cost(c: str) -> float:
         return 0.1 if c in " -.s()" else 1.0
 
-    x, y = a.lower(), b.lower()
     row = [0.0]
-    for c in y:
+    for c in b:
         row.append(row[-1] + cost(c))
-    for c in x:
+    for c in a:
         new = [row[0] + cost(c)]
-        for j, d in enumerate(y, 1):
+        for j, d in enumerate(b, 1):
             swap = 0.0 if c == d else (0.3 if {c, d} <= set("er") else 1.0)
             new.append(min(row[j] + cost(c), new[-1] + cost(d), row[j - 1] + swap))
         row = new
-    return row[-1] / max(len(x), len(y), 1)
+    return row[-1] / max(len(a), len(b), 1)
+
+
+def unit_distance(a: str, b: str) -> float:
+    """Distance of two spellings; 1 if their currency or scale differs."""
+    (money_a, scale_a, base_a), (money_b, scale_b, base_b) = read_unit(a), read_unit(b)
+    return base_distance(base_a, base_b) if (money_a, scale_a) == (money_b, scale_b) else 1.0
 
 
 def stated_unit(units: Column, *texts: Column) -> Column:
@@ -178,29 +190,33 @@ def stated_unit(units: Column, *texts: Column) -> Column:
 def alias_dictionary(spellings: DataFrame, nearest: float = 0.34, gram: int = 2) -> DataFrame:
     """(unit_group, spelling) -> (factor, unit, distance) for a table of distinct spellings.
 
-    Candidates share a character n-gram with a catalogue spelling of their
-    group; the closest within ``nearest`` is taken."""
+    Candidates share a character n-gram with a base unit of their group; the
+    closest within ``nearest`` is taken, and the spelling's marks give the scale."""
     spark = spellings.sparkSession
-    known = spark.createDataFrame(pd.DataFrame([(g, s, float(f), names[0]) for g, units in CATALOGUE.items() for f, names in units for s in names], columns=["unit_group", "known", "factor", "unit"]))
+    rows = [(g, n, b, float(f), group.price) for g, group in CATALOGUE.items() for b, f in group.bases.items() for n in BASES[b]]
+    known = spark.createDataFrame(pd.DataFrame(rows, columns=["unit_group", "known", "base", "value", "price"]))
 
     @F.pandas_udf("array<string>")
     def grams(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> list[str]:
-            t = f"^{plain_unit(text).lower()}$"
-            return sorted({t[i : i + gram] for i in range(len(t) - gram + 1)})
+        return texts.map(lambda x: sorted({f"^{x}$"[i : i + gram] for i in range(len(x) + 3 - gram)}))
 
-        return texts.map(one)
+    @F.pandas_udf("struct<money: double, scale: double, written: string>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_unit(t) for t in texts], columns=["money", "scale", "written"]).astype({"money": float, "scale": float})
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([unit_distance(x, y) for x, y in zip(a, b)])
-
-    left = spellings.select("unit_group", "spelling").distinct()
-    index = known.select("unit_group", "known", F.explode(grams("known")).alias("gram"))  # bounded: the catalogue
-    pairs = left.withColumn("gram", F.explode(grams("spelling"))).join(F.broadcast(index), ["unit_group", "gram"]).select("unit_group", "spelling", "known").distinct()
-    scored = pairs.withColumn("distance", distance("spelling", "known")).filter(F.col("distance") <= nearest)
-    best = scored.groupBy("unit_group", "spelling").agg(F.min(F.struct("distance", "known")).alias("best"))
-    return best.select("unit_group", "spelling", F.col("best.known").alias("known"), F.col("best.distance").alias("distance")).join(F.broadcast(known), ["unit_group", "known"])
+        return pd.Series([base_distance(x, y) for x, y in zip(a, b)])
+
+    left = spellings.select("unit_group", "spelling").distinct().withColumn("r", read("spelling")).select("unit_group", "spelling", "r.*")
+    index = known.select("*", F.explode(grams("known")).alias("gram"))  # bounded: the catalogue
+    pairs = left.withColumn("gram", F.explode(grams("written"))).join(F.broadcast(index), ["unit_group", "gram"]).drop("gram").distinct()
+    # a price needs a currency, an amount has none
+    fits = pairs.filter(F.col("price") == (F.col("money").isNotNull() & ~F.isnan("money"))).withColumn("distance", distance("written", "known")).filter(F.col("distance") <= nearest)
+    best = fits.groupBy("unit_group", "spelling").agg(F.min(F.struct("distance", "known", "base", "value", "price", "money", "scale")).alias("b"))
+    factor = F.when(F.col("b.price"), F.col("b.money") * F.col("b.value") / F.col("b.scale")).otherwise(F.col("b.scale") * F.col("b.value"))
+    unit = F.concat_ws(" ", F.when(F.col("b.price"), F.concat(F.format_number("b.money", 0), F.lit(" cents per"))), F.when(F.col("b.scale") != 1, F.format_string("%.0f", F.col("b.scale"))), "b.base")
+    return best.select("unit_group", "spelling", factor.alias("factor"), unit.alias("unit"), F.col("b.distance").alias("distance"))
 
 
 def convert_units(df: DataFrame, group: str, units: str, value: str, texts: list[str]) -> DataFrame:

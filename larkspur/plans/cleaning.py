@@ -105,7 +105,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     eia = _eia(spark, sf_dir).select(F.lit("eia_series.value").alias("field"), "id", "factor", "common_value")
     load = _load(spark, sf_dir).select(F.lit("entsoe_load.load_mw").alias("field"), "id", "factor", "common_value")
     whole = F.floor(F.round(F.col("common_value"), 6) + 0.5).cast("bigint")
-    return eia.unionByName(load).filter("id is not null and common_value is not null and factor != 1.0").select("field", "id", whole.alias("common_value")).distinct()
+    return eia.unionByName(load).filter("id is not null and common_value is not null and abs(factor - 1.0) > 1e-9").select("field", "id", whole.alias("common_value")).distinct()
 
 
 def p6_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from larkspur.operators.units import convert_units, load_in_megawatts, unit_distance
+from larkspur.operators.units import convert_units, load_in_megawatts, read_unit, unit_distance
 
 
 def test_scale_marks_never_meet():
@@ -51,3 +51,20 @@ def test_a_word_between_two_scales_matches_neither(spark):
     df = spark.createDataFrame(rows, "id int, grp string, units string, value double")
     got = {r.id: r.common_value for r in convert_units(df, "grp", "units", "value", []).collect()}
     assert got == {1: 3.0, 2: None, 3: 5.0, 4: pytest.approx(1.0)}
+
+
+@pytest.mark.parametrize(
+    ("group", "unit", "factor"),
+    [
+        ("PET.STK", "Thousand Barrels (MBBL)", 1.0), ("PET.STK", "10^6 bbl", 1e3), ("PET.STK", "1000 m³", 1 / 0.158987294928), ("PET.STK", "million US gallons", 1e3 / 42), ("PET.STK", "billion barrels", 1e6),
+        ("PET.PRC", "USD per gallon", 4200.0), ("PET.PRC", "US cents/bbl", 1.0), ("PET.PRC", "$/m3", 15.8987294928), ("PET.PRC", "dollars per thousand gallons", 4.2),
+        ("NG.PROD", "MMcf", 1.0), ("NG.PROD", "Mcf", 1e-3), ("NG.PROD", "bcm", 1e3 / 0.028316846592), ("NG.PROD", "cu ft", 1e-6), ("NG.PROD", "thousand cubic metres", 1e-3 / 0.028316846592),
+        ("NG.PRC", "$/MMBTU", 100.0), ("NG.PRC", "c/thm", 10.0), ("NG.PRC", "dollars per million Btu", 100.0), ("NG.PRC", "cents per therms", 10.0),
+        ("ELEC.GEN", "GWh", 1e3), ("ELEC.GEN", "million kilowatthours", 1e3), ("ELEC.GEN", "MJ", 1e-3 / 3.6), ("ELEC.GEN", "thousand megawatt hours", 1e3), ("ELEC.GEN", "petajoules", 1e6 / 3.6),
+        ("PET.STK", "$/bbl", None), ("PET.PRC", "barrels", None), ("ELEC.GEN", "bbl", None), ("NG.PROD", "gcf", None),
+    ],
+)
+def test_any_scale_with_any_base(spark, group, unit, factor):
+    df = spark.createDataFrame([(1, group, unit, 1.0)], "id int, grp string, units string, value double")
+    got = convert_units(df, "grp", "units", "value", []).first().common_value
+    assert got is None if factor is None else got == pytest.approx(factor)
