@@ -66,3 +66,43 @@ def test_prefix_join_finds_every_close_pair(spark):
     got = {r.token for r in close_tokens(spark.createDataFrame(rows, "field string, token string, n int")).collect()}
     want = {a for _, a, n in rows if len(a) > 3 and any(edits(a, b, 2) == 1 and (m > n or (m == n and b < a)) for _, b, m in rows)}
     assert want <= got
+
+
+def pairs_of(spark, rows):
+    df = spark.createDataFrame(rows, "field string, kind string, name string")
+    return {(r.name_a, r.name_b) for r in name_pairs(link_names(df, "field", "kind", "name")).collect()}
+
+
+def test_unlisted_given_names_long_tokens_and_repeated_rows(spark):
+    people = ["Priscilla A. Tobiarsen", "Priscila Tobiarsen", "Tobiarsen, P. A.", "Gwendolyn Marqueset", "Gwendolin Marqueset", "Marqueset, Bertram", "Jean Dorovany", "Joan Dorovany", "Jane Dorovany"]
+    long = "a" + "bcdefghij" * 20
+    rows = [("p", "person", n) for n in people] + [("o", "organisation", f"{long} University"), ("o", "organisation", f"University of {long[:90] + long[91:]}"), ("o", "organisation", "Xyz University"), ("o", "organisation", "Xyw University")]
+    got = pairs_of(spark, rows)
+    pair = lambda a, b: tuple(sorted((a, b)))
+    assert {pair("Priscilla A. Tobiarsen", "Priscila Tobiarsen"), pair("Priscilla A. Tobiarsen", "Tobiarsen, P. A."), pair("Gwendolyn Marqueset", "Gwendolin Marqueset"), pair(rows[9][2], rows[10][2])} <= got
+    assert not any("Bertram" in a + b or "Dorovany" in a + b or "Xy" in a for a, b in got)  # others, and names an edit of which is too much
+    assert pairs_of(spark, rows * 3) == got
+
+
+def test_planted_variants_are_linked(spark):
+    import random
+
+    rng = random.Random(12)
+    stem = lambda: "".join(rng.choice(["ba", "kor", "ti", "lu", "mex", "sa", "vin", "dro", "pel", "gus"]) for _ in range(4)).capitalize()
+    kinds = [("University", ["University of {}", "U. of {}", "{} Univ.", "UNIVERSITY OF {}"]), ("Children's Hospital", ["{} Children's Hospital", "Childrens Hosp., {}", "{} Childrens Hospital"]), ("Pharma", ["{} Pharmaceuticals Inc.", "{} Pharma", "{} Pharmaceuticals, Inc"])]
+    rows, want = [], set()
+    for _ in range(120):
+        name = stem()
+        _, forms = rng.choice(kinds)
+        typo = name[:3] + name[4:]
+        names = {f.format(name) for f in forms} | {forms[0].format(typo)}
+        rows += [("o", "organisation", n) for n in names for _ in range(rng.randint(1, 3))]
+        want |= {(a, b) for a in names for b in names if a < b}
+    given = {"Robert": ["Robert", "Bob", "Rob"], "Elizabeth": ["Elizabeth", "Liz", "Beth"], "Thomas": ["Thomas", "Tom", "Tommy"]}
+    for _ in range(120):
+        family, (full, short), middle = stem(), rng.choice(sorted(given.items())), rng.choice("ABCDEFG")
+        names = {f"{full} {middle}. {family}", f"{family}, {short[1]}", f"{full[0]}. {middle}. {family}", f"{short[2]} {family}", f"{family.upper()}, {full.upper()}", f"Rep. {full} {family[:4] + family[5] + family[4] + family[6:]}"}
+        rows += [("p", "person", n) for n in names]
+        want |= {(a, b) for a in names for b in names if a < b}
+    got = pairs_of(spark, rows)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(got)
