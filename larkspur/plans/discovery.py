@@ -110,10 +110,55 @@ def arr02_split(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "feeds").filter("category IS NOT NULL AND status IS NOT NULL").select("id", F.array_join(parts, "|").alias("parts"), text.contains_folded(parts, F.lit("ACTIVE")).alias("active"))
 
 
-QUERIES = {f.__name__: f for f in (dat01_layouts, dat03_in_html, url05_resolved, arr02_split, htm06_articles, htm07_news, htm09_sitemaps, htm10_results, str29_source_names, str11_specific, flt12_topic_contains, win09_first_three, agg23_worst)}
+def _typed_lists(s: SparkSession, d: str) -> DataFrame:
+    """Keyword lists as people type them: mixed case, blanks, repeats, stop words, numbers."""
+    raw = F.array(F.lit(" Grid "), F.lit("the"), F.lit("GRID"), F.lit(""), F.lit("2024"), F.col("category"), F.lit("x"), F.lit("Price"), F.upper("category"))
+    return table(s, d, "feeds").filter("category IS NOT NULL").select("id", "category", raw.alias("raw"))
+
+
+def str09_clean(s: SparkSession, d: str) -> DataFrame:
+    """Keyword lists without stop words, numbers, blanks and repeats; order and first casing kept."""
+    return _typed_lists(s, d).select("id", F.array_join(text.clean_keywords(F.col("raw"), F.lit("en")), "|").alias("kws"))
+
+
+def str14_filter(s: SparkSession, d: str) -> DataFrame:
+    """Keywords of two bytes and more that are not digits alone, the first five."""
+    return _typed_lists(s, d).select("id", F.array_join(text.keyword_filter(F.col("raw"), 5), "|").alias("kws"))
+
+
+def set05_merged(s: SparkSession, d: str) -> DataFrame:
+    """Two keyword lists, the first's words first, without repeats under case."""
+    first, then = F.array(F.lit("News"), F.col("category")), F.array(F.lit("NEWS"), F.lit("extra"), F.upper("category"))
+    return _typed_lists(s, d).select("id", F.array_join(text.merge_keywords(first, then), "|").alias("kws"))
+
+
+def str05_runs(s: SparkSession, d: str) -> DataFrame:
+    """Runs of letters in titles, by how often they stand there."""
+    return table(s, d, "feeds").select(F.explode(text.letter_runs(F.col("title"))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
+def str19_plain(s: SparkSession, d: str) -> DataFrame:
+    """Text written with tags, CDATA and entities, and made plain again."""
+    raw = F.concat(F.lit("<![CDATA[<b>Feed</b>  &amp; co]]> <i>&#39;"), F.col("category"), F.lit("&#39;</i>\n &lt;x&gt; "))
+    return table(s, d, "feeds").filter("category IS NOT NULL").select("id", text.strip_html(raw).alias("plain"))
+
+
+def htm11_visible(s: SparkSession, d: str) -> DataFrame:
+    """Text of pages without scripts, styles and furniture, and their main content."""
+    page = F.concat(F.lit("<html><head><style>p{}</style></head><body><nav>Menu</nav><header>Top</header><article><p>Main "), F.col("id").cast("string"), F.lit("</p></article> <p>Side</p><script>var a=1</script><footer>End</footer></body></html>"))
+    return table(s, d, "feeds").select("id", html.visible_text(page).alias("visible"), html.content(page).alias("main"))
+
+
+QUERIES = {f.__name__: f for f in (str09_clean, str14_filter, set05_merged, str05_runs, str19_plain, htm11_visible, dat01_layouts, dat03_in_html, url05_resolved, arr02_split, htm06_articles, htm07_news, htm09_sitemaps, htm10_results, str29_source_names, str11_specific, flt12_topic_contains, win09_first_three, agg23_worst)}
 
 _TOK3 = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda t: strlen(t) >= 3)"
 SQL = {
+    "str09_clean": "SELECT id, ' Grid |' || CASE WHEN lower(category) = 'other' THEN '' ELSE category || '|' END || 'Price' AS kws FROM feeds WHERE category IS NOT NULL",
+    "str14_filter": "SELECT id, ' Grid |the|GRID|' || category || '|Price' AS kws FROM feeds WHERE category IS NOT NULL",
+    "set05_merged": "SELECT id, 'News|' || CASE WHEN lower(category) = 'news' THEN '' ELSE category || '|' END || 'extra' AS kws FROM feeds WHERE category IS NOT NULL",
+    "str05_runs": "SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(title, '')), '\\p{L}+')) AS run FROM feeds) GROUP BY run",
+    "str19_plain": "SELECT id, 'Feed & co ' || chr(39) || category || chr(39) || ' <x>' AS plain FROM feeds WHERE category IS NOT NULL",
+    "htm11_visible": "SELECT id, 'Main ' || id || ' Side' AS visible, 'Main ' || id AS main FROM feeds",
     "dat01_layouts": "SELECT id, CASE WHEN id % 6 = 5 THEN NULL WHEN id % 6 IN (3, 4) THEN strftime(make_timestamp((1700000000 + id * 86461) * 1000000), '%Y-%m-%d 00:00:00') ELSE strftime(make_timestamp((1700000000 + id * 86461) * 1000000), '%Y-%m-%d %H:%M:%S') END AS moment FROM feeds",
     "dat03_in_html": "SELECT id, CASE id % 4 WHEN 0 THEN '2024-03-09' WHEN 2 THEN '2023-11-05' END AS day FROM feeds",
     "url05_resolved": "SELECT id, CASE id % 5 WHEN 0 THEN 'https://' || domain || '/p/x' WHEN 1 THEN 'https://' || domain || '/y?z=1' WHEN 2 THEN 'https://cdn.example/a' WHEN 3 THEN 'https://b.example/c' ELSE 'https://' || domain || '/p/q/r?q=2' END AS url FROM feeds",
