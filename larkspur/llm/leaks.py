@@ -11,8 +11,9 @@
    words weigh more, scores exact, partial and edited copies alike; where it
    bridges foreign text, its dense parts and unbroken runs are judged alone.
 
-Scale: the documents are read once, however many items there are. Python turns
-them to n-gram hashes and passes on those few documents of which several hashes
+Scale: the documents are scanned once, however many items there are, and read
+once more for the texts of the pairs found. Python turns
+them to n-gram hashes and passes on the hits of those documents of which several hashes
 stand in a bitmap of fixed size (2 ** 27 bits, the only thing that is broadcast
 unmeasured); the seed join, the counts of seeds and words over all items and the
 classes are ordinary joins and aggregations. Items are aligned in overlapping
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.orphans import salted_join
+from larkspur.operators.orphans import hot_keys, salted_join
 from larkspur.session import cut, small_side
 
 #: places of a seed's three words
@@ -292,22 +293,59 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, item_key: s
     seeds = cut(rare_seeds(parts))
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds))  # fixed size
 
+    # a row is known by its key and the hash of its text: the same on every read, so texts need not be written
+    docs = documents.select(F.col(f"`{doc_key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null").withColumn("th", F.xxhash64("text"))
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, t in zip(batch["key"], batch["text"]):
-                words = words_of(t)
-                places, hashes = seeds_of(words)
+            for key, th, t in zip(batch["key"], batch["th"], batch["text"]):
+                places, hashes = seeds_of(words_of(t))
                 hit = np.flatnonzero(_in_bitmap(bitmap.value, hashes))
                 if len(np.unique(hashes[hit])) >= least_seeds:
-                    rows.append((key, t, places[hit], hashes[hit]))
-            yield pd.DataFrame(rows, columns=["key", "text", "places", "hs"])
-
-    docs = documents.select(F.col(f"`{doc_key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
-    met = cut(docs.mapInPandas(scan, f"key {doc_type}, text string, places array<int>, hs array<bigint>").withColumn("doc", F.monotonically_increasing_id()))
-    hits = met.select("doc", F.explode(F.arrays_zip("places", "hs")).alias("x")).select("doc", F.col("x.hs").alias("h"), F.col("x.places").alias("place"))
-    joined = hits.join(small_side(seeds, 500_000), "h").groupBy("doc", "item", "part").agg(F.collect_list(F.struct("place", "h")).alias("seeds"), F.countDistinct("h").alias("n"))
-    pairs = cut(joined.filter(F.col("n") >= least_seeds).drop("n"))
+                    rows.append((key, th, places[hit], hashes[hit]))
+            yield pd.DataFrame(rows, columns=["key", "th", "places", "hs"])
+
+    met = cut(docs.mapInPandas(scan, f"key {doc_type}, th bigint, places array<int>, hs array<bigint>"))
+    hits = met.select("key", "th", F.explode(F.arrays_zip("places", "hs")).alias("x")).select("key", "th", F.col("x.hs").alias("h"), F.col("x.places").alias("place"))
+    few_seeds = seeds.limit(500_001).count() <= 500_000
+    found = hits.join(F.broadcast(seeds) if few_seeds else seeds, "h").select("key", "th", "item", "part", "place", "h")
+    pair_type = f"key {doc_type}, th bigint, item bigint, part int, places array<int>, hs array<bigint>"
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The hits of each document and passage; a document's rows follow one another, over batches too."""
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = whole["th"].to_numpy() == whole["th"].iloc[-1]
+            start = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            rest = whole.iloc[start:]
+            yield grouped(whole.iloc[:start])
+        if rest is not None:
+            yield grouped(rest)
+
+    def grouped(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            key, th, item, part, place, h = (rows[c].to_numpy() for c in ("key", "th", "item", "part", "place", "h"))
+            # documents that follow one another keep apart by their change of hash or key
+            doc = np.cumsum(np.concatenate(([True], (th[1:] != th[:-1]) | (pd.Series(key[1:]).astype(str).to_numpy() != pd.Series(key[:-1]).astype(str).to_numpy()))))
+            order = np.lexsort((part, item, doc))
+            edge = np.flatnonzero(np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1]) | (part[order][1:] != part[order][:-1]))))
+            for a, b in zip(edge, [*edge[1:], len(order)]):
+                if b - a >= least_seeds:
+                    at = order[a:b]
+                    if len(np.unique(h[at])) >= least_seeds:
+                        out.append((key[at[0]], th[at[0]], item[at[0]], part[at[0]], place[at], h[at]))
+        return pd.DataFrame(out, columns=["key", "th", "item", "part", "places", "hs"])
+
+    if few_seeds:  # a broadcast join leaves a document's hits together: they are gathered where they are
+        pairs = cut(found.mapInPandas(gather, pair_type))
+    else:
+        by = found.groupBy("key", "th", "item", "part").agg(F.collect_list(F.struct("place", "h")).alias("s"), F.countDistinct("h").alias("n")).filter(F.col("n") >= least_seeds)
+        pairs = cut(by.select("key", "th", "item", "part", F.col("s.place").alias("places"), F.col("s.h").alias("hs")))
 
     # weights of words: rare ones, by items, weigh more
     total = max(1, parts.select("item").distinct().count())
@@ -319,18 +357,21 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, item_key: s
     def align_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, item, t, found, target, weight in zip(batch["key"], batch["item_key"], batch["text"], batch["seeds"], batch["target"], batch["weights"]):
+            for key, item, t, places, hashes, target, weight in zip(batch["key"], batch["item_key"], batch["text"], batch["places"], batch["hs"], batch["target"], batch["weights"]):
                 target = target.split(" ")
-                held = leaked(words_of(t), [(x["place"], x["h"]) for x in found], target, dict(zip(target, weight)), least_seeds, least_words, identity)
+                held = leaked(words_of(t), list(zip(places.tolist(), hashes.tolist())), target, dict(zip(target, weight)), least_seeds, least_words, identity)
                 if held:
                     rows.append((key, item, *held))
             yield pd.DataFrame(rows, columns=["key", "item_key", "matched_words", "identity"])
 
-    # an item that leaked into very many documents is a hot key
-    with_target = salted_join(pairs, targets, ["item", "part"], by="doc", how="inner")
-    placed = with_target.join(met.select("doc", "key", "text"), "doc").select("key", "item_key", "text", "seeds", "target", "weights")
-    # alignment is work, not bytes: tasks by the number of pairs, which adaptive coalescing would not see
-    tasks = max(spark.sparkContext.defaultParallelism, pairs.count() // 2_000)
-    judged = placed.repartition(tasks).mapInPandas(align_all, f"key {doc_type}, item_key {item_type}, matched_words int, identity double")
+    # the texts are read once more for the pairs found; few pairs go to the documents, many meet them by shuffle
+    few = small_side(pairs, 100_000)
+    same_row = docs["key"].eqNullSafe(few["key"]) & (docs["th"] == few["th"])
+    placed = docs.join(few, same_row).select(docs["key"], "text", "item", "part", "places", "hs")
+    if parts.limit(10_001).count() <= 10_000:
+        with_target = placed.join(F.broadcast(targets), ["item", "part"])
+    else:  # an item that leaked into very many documents is a hot key
+        with_target = salted_join(placed, targets, ["item", "part"], by="text", how="inner", hot=hot_keys(pairs, ["item", "part"]))
+    judged = with_target.select("key", "item_key", "text", "places", "hs", "target", "weights").mapInPandas(align_all, f"key {doc_type}, item_key {item_type}, matched_words int, identity double")
     best = judged.groupBy("key", "item_key").agg(F.max(F.struct("matched_words", "identity")).alias("best"))
     return best.select(F.col("key").alias(doc_key), F.col("item_key").alias(item_key), "best.matched_words", "best.identity")
